@@ -29,7 +29,8 @@ from .common import stash
 BITS = 18
 SIZE = (1 << BITS) + 1  # the last place is the bias
 KEPT = 300_000
-SHAPES = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^aA0])\1+"), rb"\1+")]
+CLASSES = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)) + bytes(range(48, 58)), b"A" * 26 + b"a" * 154 + b"0" * 10)
+RUNS = re.compile(rb"(.)\1+", re.S)
 
 
 class Hasher:
@@ -39,9 +40,7 @@ class Hasher:
         self.met: dict[bytes, int] = {}
 
     def word(self, w: bytes) -> int:
-        shape = w
-        for pattern, by in SHAPES:
-            shape = pattern.sub(by, shape)
+        shape = RUNS.sub(rb"\1", w.translate(CLASSES))
         return (zlib.crc32(w.lower()) << 32) | zlib.crc32(b"shape " + shape)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
