@@ -178,6 +178,22 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least `least`."""
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w, hasher = model.value, Hasher()
+        for batch in batches:
+            dots = []
+            for t in batch.column("text").to_pylist():
+                at, x = hasher.vector(t)
+                dots.append(np.dot(w[at], x) + w[-1])
+            yield batch.filter(pa.array(np.array(dots, np.float64) >= np.log(least / (1 - least))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(remainder: int, modulus: int, column: str = "doc_id"):
     """Whether crc32 of the id as text leaves this remainder."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)) == remainder

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, html, quality, sharding, simhash
+from . import ann, bpe, chat, decontaminate, html, lm, quality, sharding, simhash, suffix
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_paths(chat.best_paths(chat.linear_threads(rows)))))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=50, with_text=False)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), shards=16)
 
@@ -46,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), order=2)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
