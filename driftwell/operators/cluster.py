@@ -24,14 +24,16 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 1, rounds:
     return KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(rows).transform(rows).select("key", "cluster")
 
 
-def bic(cost: float, n: int, d: int, k: int) -> float:
-    """Bayes information criterion of a spherical k-means fit."""
+def bic(cost: float, sizes: list[int], d: int) -> float:
+    """Bayes information criterion of a k-means fit as a mixture of spheres of one variance."""
+    n, k = sum(sizes), len(sizes)
     variance = max(cost / max(d * (n - k), 1), 1e-300)
-    return n * d * math.log(2 * math.pi * variance) + d * (n - k) + (k * (d + 1)) * math.log(max(n, 2))
+    fit = n * d * (math.log(2 * math.pi * variance) + 1) - 2 * sum(s * math.log(s / n) for s in sizes if s)
+    return fit + k * (d + 1) * math.log(max(n, 2))
 
 
-def aic(cost: float, n: int, d: int, k: int) -> float:
-    return bic(cost, n, d, k) + (k * (d + 1)) * (2 - math.log(max(n, 2)))
+def aic(cost: float, sizes: list[int], d: int) -> float:
+    return bic(cost, sizes, d) + len(sizes) * (d + 1) * (2 - math.log(max(sum(sizes), 2)))
 
 
 def x_means(df: DataFrame, key: str, vector: str, most: int = 10, seed: int = 1) -> tuple[DataFrame, int]:
@@ -40,12 +42,12 @@ def x_means(df: DataFrame, key: str, vector: str, most: int = 10, seed: int = 1)
     n, d, best = rows.count(), len(rows.first()["features"]), None
     for k in range(2, most + 1):
         m = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(rows)
-        score = bic(m.summary.trainingCost, n, d, k)
+        score = bic(m.summary.trainingCost, list(m.summary.clusterSizes), d)
         if best is None or score < best[0]:
             best = (score, k, m)
     whole = Summarizer.metrics("variance")
     spread = rows.select(whole.summary(F.col("features")).getField("variance").alias("v")).first()["v"]
-    if n < 2 or bic(float(sum(spread)) * (n - 1), n, d, 1) <= best[0]:
+    if n < 2 or bic(float(sum(spread)) * (n - 1), [n], d) <= best[0]:
         return rows.select("key", F.lit(0).alias("cluster")), 1
     out = best[2].transform(rows).select("key", "cluster")
     return out, best[1]

@@ -167,6 +167,10 @@ class Modes:
     def __init__(self, most: int = 6, apart: float = 6.0):
         self.most, self.apart, self.modes = most, apart, []
 
+    def settled(self) -> list[NormalModel]:
+        """Modes that more than a stray value or two made."""
+        return [m for m in self.modes if m.n > 2.5]
+
     def nearest(self, x: float) -> NormalModel | None:
         return min(self.modes, key=lambda m: abs(x - m.mean), default=None)
 
@@ -183,11 +187,11 @@ class Modes:
         m.add(x)
 
     def tails(self, x: float) -> tuple[float, float]:
-        total = sum(m.n for m in self.modes)
-        if not total:
+        known = self.settled()
+        if not known:
             return 0.5, 0.5
-        t = np.array([m.tails(x) for m in self.modes])
-        w = np.array([m.n for m in self.modes]) / total
+        t = np.array([m.tails(x) for m in known])
+        w = np.array([m.n for m in known]) / sum(m.n for m in known)
         return float(w @ t[:, 0]), float(w @ t[:, 1])
 
 
@@ -207,7 +211,7 @@ def series_scores(x: np.ndarray, counts: bool, tail: str, rate: float) -> tuple[
             m.age(math.exp(-rate))
             m.add(v)
         typical[i] = seen.mean
-        p[i] = max(probability(model.tails(v), tail), probability(modes.tails(v), tail)) if len(modes.modes) > 1 else probability(model.tails(v), tail)
+        p[i] = max(probability(model.tails(v), tail), probability(modes.tails(v), tail)) if len(modes.settled()) > 1 else probability(model.tails(v), tail)
     return typical, p, model.best() if len(x) else "none"
 
 

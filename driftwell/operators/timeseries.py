@@ -164,19 +164,15 @@ def detect_change(x: np.ndarray) -> tuple[str, int, float, float]:
     s1 = c2[-1] - at * left**2 - (n - at) * right**2
     k = int(np.argmin(s1))
     best = [("level_shift", int(at[k]), float(right[k] - left[k]), float(max(s1[k], 0.0)), 2)]
-    half = n // 2
     for p in at[:: max(1, len(at) // 64)]:
         a, b = x[:p], x[p:]
-        if a.std() > 0 and abs(a.mean()) > 1e-9 and len(b) >= 5:
+        if a.std() > 0 and abs(a.mean()) > 1e-9:
             m = min(len(a), len(b))
-            ref = a[-m:]
+            ref, before = a[-m:], float(np.sum((a - a.mean()) ** 2))
             scale = float(ref @ b[:m] / max(ref @ ref, 1e-300))
-            s = float(np.sum((b[:m] - scale * ref) ** 2)) + float(np.sum((a - a.mean()) ** 2))
-            best.append(("linear_scale", int(p), scale, s, 3))
-            for shift in (-2, -1, 1, 2):
-                moved = np.roll(ref, shift)
-                best.append(("time_shift", int(p), float(shift), float(np.sum((b[:m] - moved) ** 2)) + float(np.sum((a - a.mean()) ** 2)), 3))
-    del half
+            for kind, size, pattern in [("linear_scale", scale, scale * ref), *(("time_shift", float(j), np.roll(ref, j)) for j in (-2, -1, 1, 2))]:
+                left_over = float(np.sum((b[:m] - pattern) ** 2) + np.sum((b[m:] - pattern.mean()) ** 2))
+                best.append((kind, int(p), size, before + left_over, 3))
     kind, place, size, s, k = min(best, key=lambda c: n * math.log(max(c[3], 1e-12) / n) + 2 * c[4])
     if s >= s0:
         return none
