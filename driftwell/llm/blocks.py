@@ -8,12 +8,15 @@ reuses the exchange) and never travel with the hashes.
 
 from __future__ import annotations
 
+import gc
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 6 << 20
 ASKED = "_block int, bucket int, data binary"
 
 
@@ -24,14 +27,51 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(n)).cast("int")), n
 
 
+def utf8(table: pa.Table) -> list[bytes]:
+    """The texts as bytes, straight from the Arrow buffers; null is empty."""
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+def lean(run):
+    """run, with the memory it leaves behind handed back before the worker waits for its next group."""
+
+    def each(*tables):
+        try:
+            return run(*tables)
+        finally:
+            gc.collect(0)
+            pa.default_memory_pool().release_unused()
+
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda table: each(table)
+    if len(inspect.signature(run).parameters) == 2:
+        return lambda key, table: each(key, table)
+    return lambda key, left, right: each(key, left, right)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    """A bucket that rises with the hash, so that hashes in order are in order of bucket."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def planes(a: np.ndarray, width: int = 8) -> bytes:
+    """The low `width` bytes of 8-byte items, all first bytes together, then all second ones, and so on.
+
+    High bytes of sorted hashes, small counts and ids hardly change, so the shuffle's compression takes them away.
+    """
+    return a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(raw: bytes, kind, n: int, at: int, width: int = 8) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.view(kind).ravel()
 
 
-def asked(block: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.Table:
-    """Rows (_block, bucket, data) of entries already in order of bucket; all arrays have 8-byte items."""
+def asked(block: int, bucket: np.ndarray, *arrays: tuple[np.ndarray, int]) -> pa.Table:
+    """Rows (_block, bucket, data) of entries already in order of bucket; arrays with the bytes to keep of their items."""
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
-    rows = [b"".join(a[i:j].tobytes() for a in arrays) for i, j in zip(cuts, cuts[1:])]
+    rows = [b"".join(planes(a[i:j], w) for a, w in arrays) for i, j in zip(cuts, cuts[1:])]
     return pa.table(
         {
             "_block": pa.array(np.full(len(rows), block, np.int32)),
@@ -41,27 +81,33 @@ def asked(block: int, bucket: np.ndarray, *arrays: np.ndarray) -> pa.Table:
     )
 
 
-def gathered(table: pa.Table, kinds: list) -> tuple[list[int], list[np.ndarray]]:
+def gathered(table: pa.Table, kinds: list[tuple[type, int]]) -> tuple[list[int], list[np.ndarray]]:
     """The number of entries in each row of a bucket, and the arrays of all rows one after the other."""
-    rows = table.column("data").to_pylist()
-    sizes = [len(r) // (8 * len(kinds)) for r in rows]
-    parts = [[np.frombuffer(r, k, n, 8 * n * i) for r, n in zip(rows, sizes)] for i, k in enumerate(kinds)]
-    return sizes, [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
+    rows, wide = table.column("data").to_pylist(), sum(w for _, w in kinds)
+    sizes, parts, before = [len(r) // wide for r in rows], [], 0
+    for k, w in kinds:
+        parts.append(np.concatenate([unplaned(r, k, n, before * n, w) for r, n in zip(rows, sizes)] or [np.empty(0, k)]))
+        before += w
+    return sizes, parts
 
 
-def answered(table: pa.Table, sizes: list[int], answers: np.ndarray) -> pa.Table:
-    """The bucket's rows with the answers (uint8 or wider) to each row's entries as data."""
+def answered(table: pa.Table, sizes: list[int], *columns: np.ndarray) -> pa.Table:
+    """The bucket's rows with the answers to each row's entries as data: one array of bytes, or several of 8-byte items."""
     ends = np.cumsum([0, *sizes]).tolist()
+    pack = (lambda a: a.tobytes()) if columns[0].itemsize == 1 else planes
     return pa.table(
         {
             "_block": table.column("_block"),
             "bucket": table.column("bucket"),
-            "data": pa.array([answers[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+            "data": pa.array([b"".join(pack(c[a:b]) for c in columns) for a, b in zip(ends, ends[1:])], pa.binary()),
         }
     )
 
 
-def answers(table: pa.Table, kind=np.uint8) -> np.ndarray:
-    """A block's answers in order of bucket."""
-    rows = sorted(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()))
-    return np.frombuffer(b"".join(d for _, d in rows), kind)
+def answers(table: pa.Table, columns: int = 0) -> np.ndarray:
+    """A block's answers in order of bucket: bytes, or rows of `columns` 8-byte integers."""
+    rows = [d for _, d in sorted(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist()))]
+    if not columns:
+        return np.frombuffer(b"".join(rows), np.uint8)
+    parts = [np.stack([unplaned(r, np.int64, n, 8 * n * i) for i in range(columns)], axis=1) for r in rows if (n := len(r) // (8 * columns))]
+    return np.concatenate(parts) if parts else np.empty((0, columns), np.int64)

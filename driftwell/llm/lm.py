@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks
+from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks, lean, utf8
 from .common import stash
 
 END = b""  # no word is empty
@@ -77,8 +77,8 @@ class Texts:
         met: defaultdict[bytes, int] = defaultdict()
         met.default_factory = met.__len__
         parts, sizes = [], []
-        for t in table.column("text").to_pylist():
-            w = words_of(t)
+        for t in utf8(table):
+            w = [*t.lower().split(), END]
             sizes.append(len(w))
             parts.append(np.fromiter(map(met.__getitem__, w), np.int32, len(w)))
         self.ids, self.out = ids, np.array([held_out(i, modulus) for i in ids], bool)
@@ -136,7 +136,7 @@ def count_bucket(buckets: int):
     """A function that adds up one bucket: (count, state's count, state's kinds of next words) for every entry."""
 
     def run(table):
-        sizes, (code, counts) = gathered(table, [np.uint64, np.int64])
+        sizes, (code, counts) = gathered(table, [(np.uint64, 8), (np.int64, 8)])
         first = table.column("bucket")[0].as_py() < buckets
         order = np.argsort(code, kind="stable")
         new = np.flatnonzero(np.diff(code[order], prepend=~code[order][:1]))
@@ -151,10 +151,7 @@ def count_bucket(buckets: int):
         sums[:, 0] = total
         back = np.empty((len(code), 3), np.int64)
         back[order] = np.repeat(sums, np.diff(np.append(new, len(code))), axis=0)
-        ends = np.cumsum([0, *sizes])
-        # column by column within each block's part, as equal values lie together then
-        flat = np.concatenate([back[a:b].T.ravel() for a, b in zip(ends, ends[1:])])
-        return answered(table, [3 * s for s in sizes], flat)
+        return answered(table, sizes, *back.T.copy())
 
     return run
 
@@ -165,22 +162,20 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
     words = stash(word_counts(docs, modulus))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     own, n_blocks = in_blocks(docs)
-    buckets = 2 * n_blocks
+    buckets = n_blocks
     often = words.where(F.col("n") * 1000 > total).collect()  # fewer than a thousand
     hot = {r["word"]: min(buckets, 1 + int(4 * buckets * r["n"] / total)) for r in often}
 
     def ask(key, table):
         t = Texts(table, modulus, order, buckets, hot)
         _, code, counts, bucket = t.questions()
-        return asked(key[0].as_py(), bucket, code, counts)
+        return asked(key[0].as_py(), bucket, (code, 8), (counts, 8))
 
     def settle(key, table, replies):
         t = Texts(table, modulus, order, buckets, hot)
-        place, _, _, bucket = t.questions()
-        flat, cuts = answers(replies, np.int64), np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
+        place, *_ = t.questions()
         back = np.empty((len(place), 3), np.int64)
-        for a, b in zip(cuts, cuts[1:]):
-            back[place[a:b]] = flat[3 * a : 3 * b].reshape(3, -1).T
+        back[place] = answers(replies, 3)
         at = len(t.asks[0][0])
         known = back[:at, 0][t.word]
         p = (known + delta) / (total + delta * (kinds + 1))
@@ -212,9 +207,9 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
             }
         )
 
-    counted = own.groupBy("_block").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(count_bucket(buckets), ASKED)
+    counted = own.groupBy("_block").applyInArrow(lean(ask), ASKED).groupBy("bucket").applyInArrow(lean(count_bucket(buckets)), ASKED)
     return (
         own.groupBy("_block")
         .cogroup(counted.groupBy("_block"))
-        .applyInArrow(settle, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(lean(settle), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
