@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +44,15 @@ def weights_of(tokens: list[str], words: frozenset[str] = frozenset(), verbs: fr
 
 def weighted_distance(a: list[str], b: list[str], wa: list[int], wb: list[int]) -> int:
     """Edit distance over tokens: insertions and deletions cost a token's weight, changes the larger one."""
-    row = np.concatenate([[0], np.cumsum(wb)])
+    row = [0]
+    for w in wb:
+        row.append(row[-1] + w)
     for t, w in zip(a, wa):
-        above, row = row, np.empty_like(row)
+        above, row = row, [0] * len(row)
         row[0] = above[0] + w
         for j, (u, v) in enumerate(zip(b, wb), 1):
             row[j] = min(above[j] + w, row[j - 1] + v, above[j - 1] + (0 if t == u else max(w, v)))
-    return int(row[-1])
+    return row[-1]
 
 
 class Category:
@@ -79,40 +80,58 @@ class Category:
 
 
 class Categorizer:
-    """Known categories, most matched first."""
+    """Known categories, tried from the most matched down.
+
+    A similarity above the lower threshold needs that share of both total weights in common tokens, so only
+    categories found under the message's rarer tokens are compared: those left out together weigh too little.
+    """
 
     def __init__(self, words: frozenset[str] = frozenset(), verbs: frozenset[str] = frozenset()):
         self.categories: list[Category] = []
-        self.order: list[int] = []
+        self.under: dict[str, list[int]] = {}
         self.words, self.verbs, self.met = words, verbs, {}
 
+    def candidates(self, tokens: list[str], weights: list[int], total: int) -> list[int]:
+        held = dict(zip(tokens, weights))
+        skipped, found = 0, set()
+        for t in sorted(held, key=lambda t: -len(self.under.get(t, ()))):
+            weight = sum(w for u, w in zip(tokens, weights) if u == t)
+            if skipped + weight < LOWER * total:
+                skipped += weight
+            else:
+                found.update(self.under.get(t, ()))
+        return sorted(found, key=lambda i: (-self.categories[i].count, i))
+
+    def match(self, tokens: list[str], weights: list[int]) -> int | None:
+        if not tokens:
+            return next((i for i, c in enumerate(self.categories) if not c.base), None)
+        total, best, top, mine = sum(weights), None, LOWER, set(tokens)
+        for i in self.candidates(tokens, weights, total):
+            c = self.categories[i]
+            need = top * max(total, c.total)
+            if min(total, c.total) < need or sum(w for t, w in zip(c.base, c.weights) if t in mine) < need:
+                continue
+            s = 1 - weighted_distance(tokens, c.base, weights, c.weights) / max(total, c.total, 1)
+            if s > top:
+                best, top = i, s
+                if s > UPPER:
+                    break
+        return best
+
     def category(self, tokens: list[str], length: int) -> int:
         """The number, from 1, of the message's category; a new one if none is similar enough."""
         key = tuple(tokens)
         best = self.met.get(key)
         if best is None:
             weights = weights_of(tokens, self.words, self.verbs)
-            total, best, top = sum(weights), None, LOWER
-            for i in self.order:
-                c = self.categories[i]
-                if bool(tokens) != bool(c.base) or min(total, c.total) < LOWER * max(total, c.total):
-                    continue
-                s = 1 - weighted_distance(tokens, c.base, weights, c.weights) / max(total, c.total, 1)
-                if s > top or (not tokens and not c.base):
-                    best, top = i, s
-                    if s > UPPER:
-                        break
+            best = self.match(tokens, weights)
             if best is None:
                 best = len(self.categories)
                 self.categories.append(Category(tokens, weights))
-                self.order.append(best)
+                for t in set(tokens):
+                    self.under.setdefault(t, []).append(best)
             self.met[key] = best
-        c = self.categories[best]
-        c.take(tokens, length)
-        at = self.order.index(best)
-        while at and self.categories[self.order[at - 1]].count < c.count:
-            self.order[at - 1], self.order[at] = self.order[at], self.order[at - 1]
-            at -= 1
+        self.categories[best].take(tokens, length)
         return best + 1
 
 
