@@ -3,8 +3,8 @@
 The suffixes are sorted bucket by bucket, to a depth of `length` bytes, with ties settled by ranks of a sample
 that covers all differences.  A cover by residues modulo v, of which every two suffixes share a sampled
 position within v, takes a fifth of all positions at this depth; here the cover is chosen by content
-instead (the smallest of the 35 hashes of 16 bytes inside a window), so equal windows hold their sample
-at equal offsets and a seventeenth of the positions does.
+instead (the smallest of the 27 hashes of 24 bytes inside a window), so equal windows hold their sample
+at equal offsets and a fourteenth of the positions does.
 
 1. Samples.  The windows (string starts) between two changes of sample form a run.  Each block of documents
    sends its samples' hashes with a hash of the run's whole text, the sample's rank class; a bucket
@@ -13,7 +13,7 @@ at equal offsets and a seventeenth of the positions does.
 2. Suffixes.  Only windows of samples with several classes are left: the ends of repeats.  Each class sends
    them from its first document, and one bucket of suffix hashes is sorted at a time.
 
-Classes and suffixes are told apart by 64-bit hashes of their bytes.  A sample with many classes in
+Suffixes are told apart by 64-bit hashes of their bytes, classes by 48 bits of their sample's and 40 of their own.  A sample with many classes in
 a block (a phrase all documents share) sends 32 of them, and all its windows take step 2, so
 no bucket grows with a hot phrase but by 32 entries a block.
 
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks
+from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks, lean, utf8
 
-GRAM = 16
+GRAM = 24
 CHUNK = 65_000
 CLASSES = 32
 LAST = np.iinfo(np.int64).max
@@ -57,7 +57,7 @@ class Block:
 
     def __init__(self, table: pa.Table, length: int):
         ids = np.array([LAST if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+        texts = utf8(table)
         self.order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), np.int64)
         self.length, self.ids = length, ids[self.order]
         self.texts = [texts[i] for i in self.order]
@@ -66,11 +66,11 @@ class Block:
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.find_runs()
         kinds, first, which = np.unique(self.klass, return_index=True, return_inverse=True)
-        bucketed = np.argsort(self.key[first] >> np.uint64(20), kind="stable")  # only to have keys together
-        self.kind_of = np.empty(len(kinds), np.int64)
-        self.kind_of[bucketed] = np.arange(len(kinds))
-        self.kind_of = self.kind_of[which]  # of each run
-        self.kinds, self.first = kinds[bucketed], first[bucketed]
+        by_key = np.argsort(self.key[first], kind="stable")
+        place = np.empty(len(kinds), np.int64)
+        place[by_key] = np.arange(len(kinds))
+        self.kind_of = place[which]  # of each run
+        self.kinds, self.first = kinds[by_key], first[by_key]
         self.kind_key, self.kind_doc = self.key[self.first], self.doc[self.first]
 
     def find_runs(self) -> None:
@@ -87,13 +87,14 @@ class Block:
             live = np.flatnonzero(valid)
             if not len(live):
                 continue
-            part = self.data[c : c + size + length + 16]
+            part = self.data[c : c + size + length + 32]
             words = np.empty(len(part) - 8, np.uint64)
             raw = part.tobytes()
             for o in range(8):
                 w = np.frombuffer(raw, "<u8", (len(raw) - o) // 8, o)
                 words[o::8] = w[: len(words[o::8])]
-            h = mixed((words[:-8] * np.uint64(0x165667B19E3779F9)) ^ (mixed(words[8:]) * np.uint64(0xA0761D6478BD642F)))[: size + width - 1]
+            h = (words[:-16] * np.uint64(0x165667B19E3779F9)) ^ (mixed(words[8:-8]) * np.uint64(0xA0761D6478BD642F))
+            h = mixed((h ^ (h >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB) + mixed(words[16:] + np.uint64(1)))[: size + width - 1]
             low = (h & np.uint64(0xFFFFFFFFFFFF0000)) | np.arange(len(h), dtype=np.uint64)
             step = 1
             while 2 * step <= width:
@@ -106,7 +107,7 @@ class Block:
             at = at[np.r_[0, cut]]
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[part] * POWERS[: len(part)])])
             text = (sums[last + length] - sums[first]) * INVERSE[first]
-            key = h[at]
+            key = mixed(h[at] + np.uint64(1))  # least hashes are small: spread them evenly again
             shape = ((at - first) << 8 | (last - first)).astype(np.uint64)
             found.append((first + c, last - first, key, mixed(mixed(text + shape * np.uint64(BASE)) ^ key)))
         kinds = (np.int64, np.int64, np.uint64, np.uint64)
@@ -127,7 +128,6 @@ class Block:
             nth[order] = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             ask = nth < CLASSES
         chosen = np.flatnonzero(ask)
-        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
         return chosen, bucket[chosen]
 
     def open_runs(self, buckets: int, replies: np.ndarray):
@@ -155,7 +155,7 @@ class Block:
         """(window positions, their suffix number; suffixes in order of bucket, their first document, buckets)."""
         pos, h = self.windows(runs)
         doc = self.ids[np.searchsorted(self.starts, pos, "right") - 1]
-        order = np.lexsort((doc, h, bucket_of(h, buckets)))
+        order = np.lexsort((doc, h))
         new = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0 if len(h) else np.empty(0, bool)
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(new) - 1
@@ -174,8 +174,8 @@ class Block:
 
 def sort_samples(table):
     """One bucket of samples: 1 if the class starts in an earlier document, plus 2 if its sample has several classes."""
-    sizes, (key, klass, doc) = gathered(table, [np.uint64, np.uint64, np.int64])
-    kinds, first, which = np.unique(klass, return_index=True, return_inverse=True)
+    sizes, (key, klass, doc) = gathered(table, [(np.uint64, 6), (np.uint64, 5), (np.int64, 8)])
+    kinds, first, which = np.unique(mixed(key * np.uint64(BASE) + klass), return_index=True, return_inverse=True)
     least = np.full(len(kinds), LAST)
     np.minimum.at(least, which, doc)
     _, at, n = np.unique(key[first], return_inverse=True, return_counts=True)
@@ -184,7 +184,7 @@ def sort_samples(table):
 
 def sort_suffixes(table):
     """One bucket of suffixes: 1 if the suffix starts in an earlier document."""
-    sizes, (h, doc) = gathered(table, [np.uint64, np.int64])
+    sizes, (h, doc) = gathered(table, [(np.uint64, 8), (np.int64, 8)])
     kinds, which = np.unique(h, return_inverse=True)
     least = np.full(len(kinds), LAST)
     np.minimum.at(least, which, doc)
@@ -200,18 +200,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
     own, n = in_blocks(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     )
-    buckets = 2 * n
+    buckets = n
 
     def ask_samples(key, table):
         b = Block(table, length)
         chosen, bucket = b.questions(buckets)
-        return asked(key[0].as_py(), bucket, b.kind_key[chosen], b.kinds[chosen], b.kind_doc[chosen])
+        return asked(
+            key[0].as_py(), bucket, (b.kind_key[chosen] >> np.uint64(16), 6), (b.kinds[chosen] >> np.uint64(24), 5), (b.kind_doc[chosen], 8)
+        )
 
     def ask_suffixes(key, table, replies):
         b = Block(table, length)
         _, runs = b.open_runs(buckets, answers(replies))
         *_, h, doc, bucket = b.suffixes(runs, buckets)
-        return asked(key[0].as_py(), bucket, h, doc)
+        return asked(key[0].as_py(), bucket, (h, 8), (doc, 8))
 
     def settle(key, table, replies):
         b = Block(table, length)
@@ -243,13 +245,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
             out["carried"] = table.column("carried").combine_chunks().take(pa.array(b.order))
         return pa.table(out)
 
-    samples = own.groupBy("_block").applyInArrow(ask_samples, ASKED).groupBy("bucket").applyInArrow(sort_samples, ASKED)
+    samples = own.groupBy("_block").applyInArrow(lean(ask_samples), ASKED).groupBy("bucket").applyInArrow(lean(sort_samples), ASKED)
     suffixes = (
         own.groupBy("_block")
         .cogroup(samples.groupBy("_block"))
-        .applyInArrow(ask_suffixes, ASKED)
+        .applyInArrow(lean(ask_suffixes), ASKED)
         .groupBy("bucket")
-        .applyInArrow(sort_suffixes, ASKED)
+        .applyInArrow(lean(sort_suffixes), ASKED)
     )
     replies = samples.withColumn("step", F.lit(1)).unionByName(suffixes.withColumn("step", F.lit(2)))
     schema = T.StructType.fromDDL(
@@ -257,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
     )
     if carry:
         schema = schema.add(own.schema["carried"])
-    return own.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(settle, schema)
+    return own.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(lean(settle), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
