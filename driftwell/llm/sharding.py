@@ -1,7 +1,7 @@
 """Balanced label propagation: documents move towards their neighbours' shards under row quotas.
 
 Documents are linked through hubs (equal texts share one).  Every round counts each hub's members per
-shard, lets a hub's members propose its fullest shard, and accepts proposals, the largest hubs first, while
+shard, lets a hub's members propose its fullest shard that has room, and accepts proposals, the largest hubs first (but those no shard can hold last), while
 the target shard's quota lasts (its free room and what its own members ask to vacate).
 A last pass evens the counts out exactly (at most one apart), moving unlinked documents first.
 
@@ -22,24 +22,28 @@ from .common import drop_stash, number_within, stash
 BUCKETS = 512
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.25) -> DataFrame:
+def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.25) -> DataFrame:
     """nodes (id, hub, ...) with a column shard; rows of one hub together where quotas allow."""
     total = nodes.count()
     room = max(1, int(total / shards * (1 + slack)))
     now = stash(nodes.withColumn("shard", F.pmod(F.xxhash64("id", "hub"), F.lit(shards)).cast("int")))
-    for _ in range(rounds):
+    for turn in range(rounds):
+        sizes = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+        full = [i for i, n in sizes.items() if n >= room] if turn else []
         held = now.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        weight = F.when(F.col("shard").isin(full), 0).otherwise(F.col("n"))  # a full shard draws no one
         best = held.groupBy("hub").agg(
-            F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.sum("n").alias("members"), F.count("*").alias("over")
+            F.max(F.struct(weight.alias("w"), F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("b"), F.sum("n").alias("members")
         )
         wish = (
             held.join(best.where("members > 1"), "hub")
-            .select("hub", "shard", "n", (-F.col("b.s")).cast("int").alias("to"), "members")
-            .where("shard <> to")
+            .where("shard <> b.shard and b.w > 0")
+            .select("hub", "shard", "n", F.col("b.shard").alias("to"), "members")
         )
         # proposals in order of size class, then a hash bucket: a bounded table of running totals
         part = F.when(F.col("members") > room // 8, F.col("shard")).otherwise(-1)  # a large hub moves shard by shard
-        wish = wish.withColumn("rank", (F.lit(40) - F.floor(F.log2("members"))) * BUCKETS + F.pmod(F.xxhash64("hub", part), F.lit(BUCKETS)))
+        size = F.when(F.col("members") > room, 41).otherwise(40 - F.floor(F.log2("members")))  # those no shard can hold go last
+        wish = wish.withColumn("rank", size * BUCKETS + F.pmod(F.xxhash64("hub", part), F.lit(BUCKETS)))
         leave = wish.groupBy(F.col("shard").alias("from3")).agg(F.sum("n").alias("leave"))
         loads = now.groupBy(F.col("shard").alias("to")).agg(F.count("*").alias("held"))
         loads = loads.join(leave, F.col("to") == F.col("from3"), "left").select("to", (F.col("held") - F.coalesce("leave", F.lit(0))).alias("load"))
@@ -65,7 +69,11 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.2
 
 
 def even_out(nodes: DataFrame, shards: int) -> DataFrame:
-    """nodes (id, hub, shard, ...) with counts per shard at most one apart; unlinked rows move first."""
+    """nodes (id, hub, shard, ...) with counts per shard at most one apart.
+
+    Rows that cost no link move first: unlinked ones (class 0), then members away from their hub's fullest shard or
+    of hubs that no shard could hold (class 1), and only then others (class 2).
+    """
     total = nodes.count()
     target = [total // shards + (i < total % shards) for i in range(shards)]
     sizes = {r["shard"]: r["n"] for r in nodes.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
@@ -73,21 +81,28 @@ def even_out(nodes: DataFrame, shards: int) -> DataFrame:
     lack = [max(0, target[i] - sizes.get(i, 0)) for i in range(shards)]
     if not sum(excess):
         return nodes
-    members = nodes.where("hub is not null").groupBy(F.col("hub").alias("hub3")).agg(F.count("*").alias("members"))
-    ranked = nodes.join(members, F.col("hub") == F.col("hub3"), "left").withColumn("tied", F.coalesce(F.col("members") > 1, F.lit(False)))
-    numbered = number_within(ranked, ["shard", "tied"], ["id", "hub"], "at", BUCKETS)
-    free = {(r["shard"], r["tied"]): r["n"] for r in ranked.groupBy("shard", "tied").agg(F.count("*").alias("n")).collect()}
+    held = nodes.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    hubs = held.groupBy(F.col("hub").alias("hub3")).agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.sum("n").alias("members"))
+    linked = hubs.where("members > 1").select("hub3", (-F.col("b.s")).alias("home"), "members")
+    kind = (
+        F.when(F.col("hub3").isNull(), 0)
+        .when((F.col("home") != F.col("shard")) | (F.col("members") > max(1, target[0] // 2)), 1)
+        .otherwise(2)
+    )
+    ranked = nodes.join(linked, F.col("hub") == F.col("hub3"), "left").withColumn("kind", kind).drop("hub3", "home", "members")
+    numbered = number_within(ranked, ["shard", "kind"], ["hub", "id"], "at", BUCKETS)
+    free = {(r["shard"], r["kind"]): r["n"] for r in ranked.groupBy("shard", "kind").agg(F.count("*").alias("n")).collect()}
     mover, before = F.lit(None).cast("long"), 0
     for i in range(shards):
-        alone = free.get((i, False), 0)
-        at = F.when(F.col("tied"), F.col("at") + alone).otherwise(F.col("at"))
+        one, two = free.get((i, 0), 0), free.get((i, 0), 0) + free.get((i, 1), 0)
+        at = F.col("at") + F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, one).otherwise(two)
         mover = F.when((F.col("shard") == i) & (at < excess[i]), at + before).otherwise(mover)
         before += excess[i]
     to, end = F.col("shard"), sum(lack)
     for i in reversed(range(shards)):
         end -= lack[i]
         to = F.when((F.col("mover") >= end) & (F.col("mover") < end + lack[i]), F.lit(i)).otherwise(to)
-    return numbered.withColumn("mover", mover).withColumn("shard", to.cast("int")).drop("mover", "at", "tied", "members", "hub3")
+    return numbered.withColumn("mover", mover).withColumn("shard", to.cast("int")).drop("mover", "at", "kind")
 
 
 def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
