@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from driftwell.plans.config import FUNCTIONS, Condition, Detector, Rule
 from driftwell.sources import writers
 
 HOUR = 3600
+#: Added before rounding, here and in the SQL: the tables' values have two decimals, so means of them often lie just between
+#: two roundings, where the order of summation would decide.
+NUDGE = 1.23e-8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
     def add(f):
         QUERIES[name or f.__name__] = f
         if sql:
-            SQL[name or f.__name__] = sql
+            SQL[name or f.__name__] = re.sub(r", (\d+)\) \+ 0\.0", rf" + {NUDGE}, \1) + 0.0", sql)
         return f
 
     return add
@@ -35,7 +39,7 @@ def query(sql: str | None = None, name: str | None = None):
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     """Columns rounded, and never minus zero."""
     for c in columns:
-        df = df.withColumn(c, F.round(F.col(c), places) + F.lit(0.0))
+        df = df.withColumn(c, F.round(F.col(c) + NUDGE, places) + F.lit(0.0))
     return df
 
 
@@ -278,9 +282,9 @@ def multibucket_mean(spark, sf_dir):
     return rounded(windows.multibucket_mean(hourly(spark, sf_dir), ["event_type"], "bucket", "actual").drop("actual"), "multi_mean")
 
 
-@query("SELECT event_id, user_id, CAST(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS gap FROM events")
+@query("WITH g AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS gap FROM events) SELECT * FROM g WHERE gap IS NOT NULL")
 def inter_arrival(spark, sf_dir):
-    return windows.inter_arrival(read(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "gap")
+    return windows.inter_arrival(read(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "gap").where("gap is not null")
 
 
 @query(f"WITH h AS ({HOURLY}), m AS (SELECT event_type, max(bucket) AS l FROM h GROUP BY 1) SELECT event_type, round(sum(actual * exp(-0.01 * (l - bucket) / {HOUR}.0)), 4) + 0.0 AS decayed FROM h JOIN m USING (event_type) GROUP BY 1")
