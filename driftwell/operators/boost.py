@@ -232,3 +232,14 @@ def aggregate_inference(values, how: str, weights: list[float] | None = None):
         sums = F.transform(F.array_distinct(values), lambda x: F.struct(F.aggregate(F.filter(pairs, lambda p: p["v"] == x), F.lit(0.0), lambda s, p: s + p["w"]).alias("w"), (-x).alias("n")))
         return -F.array_max(sums)["n"]
     raise ValueError(how)
+
+
+def tune_regression(df: DataFrame, features: list[str], target: str, depths=(3, 5), trees=(10, 20), folds: int = 3, seed: int = 1):
+    """The best of a grid of depths and tree counts by cross-validation, fitted on all rows with a target."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = assembled(df.where(F.col(target).isNotNull()), features).withColumn("_y", F.col(target).cast("double"))
+    gbt = GBTRegressor(featuresCol="_x", labelCol="_y", seed=seed, stepSize=0.2)
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(trees)).build()
+    return CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="_y"), numFolds=folds, seed=seed).fit(rows).bestModel

@@ -197,3 +197,11 @@ def influences(df: DataFrame, d: Detector, influencers: list[str], time: str, sp
         .groupBy("bucket", "partition", "person", "i.influencer", "i.influencer_value")
         .agg(aggregate_of(spec.value, "_field" if field else None, None).alias("value"))
     )
+
+
+def prune_persons(values: DataFrame, window: int) -> DataFrame:
+    """Values of persons seen (with a nonzero value) within the last `window` seconds before the last bucket of all."""
+    last = values.where("value <> 0").groupBy("partition", "person").agg(F.max("bucket").alias("_last"))
+    end = values.agg(F.max("bucket").alias("_end"))
+    kept = last.crossJoin(F.broadcast(end)).where(F.col("_last") >= F.col("_end") - window).select("partition", "person")  # one row
+    return values.join(kept, ["partition", "person"], "left_semi")

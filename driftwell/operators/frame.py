@@ -142,3 +142,44 @@ def choose_features(relevance: pd.DataFrame, redundancy: dict[tuple[str, str], f
         out.append(best)
         del left[best]
     return out
+
+
+def sketches(df: DataFrame, by: str, value: str, item: str) -> DataFrame:
+    """(by, distinct, quantiles): mergeable approximations of a group's distinct items and quartiles."""
+    return df.groupBy(by).agg(
+        F.approx_count_distinct(item, 0.02).alias("distinct"), F.percentile_approx(value, [0.25, 0.5, 0.75], 1000).alias("quartiles")
+    )
+
+
+def item_counts(df: DataFrame, item: str, error: float = 0.001, confidence: float = 0.99, seed: int = 1) -> DataFrame:
+    """One row with a count-min sketch of the items, for other tables to look counts up in."""
+    return df.agg(F.count_min_sketch(F.col(item), F.lit(error), F.lit(confidence), F.lit(seed)).alias("sketch"))
+
+
+def ks_distance(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: the Kolmogorov-Smirnov distance of the values of group 0 and group 1 (a column of 0 and 1)."""
+    g = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
+    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = g.agg(F.sum("a").alias("_ta"), F.sum("b").alias("_tb"))
+    return g.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(t)).agg(  # one row
+        F.max(F.abs(F.col("ca") / F.col("_ta") - F.col("cb") / F.col("_tb"))).alias("distance")
+    )
+
+
+def shrunk_covariance(moments: np.ndarray, n: int) -> np.ndarray:
+    """A covariance matrix drawn towards a multiple of the identity, more so the fewer rows it is from."""
+    d = len(moments)
+    scale = np.trace(moments) / d
+    spread = np.sum((moments - scale * np.eye(d)) ** 2)
+    pull = min(1.0, (np.trace(moments @ moments) + np.trace(moments) ** 2) / max((n + 2) * spread, 1e-300))
+    return (1 - pull) * moments + pull * scale * np.eye(d)
+
+
+def covariance(df: DataFrame, columns: list[str], shrink: bool = True) -> np.ndarray:
+    """The columns' covariance matrix from one aggregation."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    m = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = row[f"c{i}_{j}"] or 0.0
+    return shrunk_covariance(m, row["n"]) if shrink else m

@@ -595,6 +595,48 @@ def bucket_results(spark, sf_dir):
     return writers.bucket_results(hourly(spark, sf_dir), "bucket", HOUR, "actual")
 
 
+@query(
+    "WITH g AS (SELECT c_acctbal, count(*) FILTER (WHERE c_nationkey % 2 = 0) AS a, count(*) FILTER (WHERE c_nationkey % 2 = 1) AS b FROM customer GROUP BY 1), c AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM g WINDOW w AS (ORDER BY c_acctbal ROWS UNBOUNDED PRECEDING)) SELECT round(max(abs(ca / ta - cb / tb)), 9) + 0.0 AS distance FROM c"
+)
+def ks_distance(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("odd", F.pmod("c_nationkey", F.lit(2)))
+    return rounded(frame.ks_distance(c, "odd", "c_acctbal"), "distance", places=9)
+
+
+@query()
+def sketches(spark, sf_dir):
+    return frame.sketches(read(spark, sf_dir, "events"), "event_type", "value", "user_id")
+
+
+@query()
+def item_sketch(spark, sf_dir):
+    return frame.item_counts(read(spark, sf_dir, "events"), "user_id")
+
+
+@query(
+    f"WITH v AS (SELECT {BUCKET} AS bucket, CAST(user_id AS VARCHAR) AS person, count(*) AS value FROM events GROUP BY 1, 2), l AS (SELECT person FROM v GROUP BY 1 HAVING max(bucket) >= (SELECT max(bucket) FROM v) - 43200) SELECT v.bucket, v.person, v.value FROM v JOIN l USING (person)"
+)
+def pruned_persons(spark, sf_dir):
+    v = features.feature_values(read(spark, sf_dir, "events"), Detector("non_zero_count", by="user_id"), "ts", HOUR)
+    return features.prune_persons(v, 43_200).select("bucket", "person", "value")
+
+
+@query()
+def model_plot(spark, sf_dir):
+    scored = windows.trailing_score(hourly(spark, sf_dir), ["event_type"], "bucket", "actual")
+    return writers.model_plot(scored, ["event_type"], "bucket")
+
+
+@query()
+def change_annotations(spark, sf_dir):
+    return writers.annotations(series_changes(spark, sf_dir), ["event_type"], "bucket")
+
+
+@query("SELECT count(DISTINCT event_type) AS total_models, CAST(count(*) AS BIGINT) AS total_rows FROM events")
+def model_sizes(spark, sf_dir):
+    return writers.size_stats(read(spark, sf_dir, "events"), ["event_type"])
+
+
 # --- categorization ----------------------------------------------------------------------------
 
 
@@ -614,6 +656,15 @@ def category_definitions(spark, sf_dir):
     return categorize.category_definitions(categorize.categorize(m, "id", "text", ["id"], partition="role"), m, "id", "text")
 
 
+@query()
+def category_counts(spark, sf_dir):
+    """Messages enriched with their category, then counted by it: a categorizer in front of a detector."""
+    m = messages(spark, sf_dir)
+    c = categorize.categorize(m, "id", "text", ["id"], partition="role")
+    rows = m.join(c.select(F.col("key").alias("id"), F.concat_ws(":", "partition", "category").alias("mlcategory")), "id")
+    return features.feature_values(rows.withColumn("ts", F.timestamp_seconds("id")), Detector("count", by="mlcategory", partition="role"), "ts", 100_000)
+
+
 @query("WITH c AS (SELECT event_type AS category, count(*) AS count FROM events GROUP BY 1) SELECT CAST(sum(count) AS BIGINT) AS messages, count(*) AS categories, count(*) FILTER (WHERE count = 1) AS rare, count(*) FILTER (WHERE count > 1 AND count * 100 > (SELECT sum(count) FROM c)) AS frequent, 'ok' AS status FROM c")
 def categorization_status(spark, sf_dir):
     c = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(F.count(F.lit(1)).alias("count"))
