@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -105,6 +105,101 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     )
 
 
+PLACES, BANDS, NEXT = 256, 16, 4
+ODD = (np.random.default_rng(42).integers(0, 1 << 63, (2, PLACES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def positional_bytes(text: str | None, words: int = 5) -> bytes:
+    """One byte a place: the low byte of the least of the text's shingle hashes under the place's own mixing.
+
+    Two texts share each place with the chance of their shingle sets' similarity (and one in 256 besides).
+    """
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return b""
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    last = ends[words - 1 :].tolist() or [len(joined)]
+    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(last), 512):
+        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + 512], last[at : at + 512])], np.uint64)
+        np.minimum(least, ((h[:, None] ^ ODD[0]) * ODD[1]).min(0), out=least)
+    return (least >> np.uint64(8)).astype(np.uint8).tobytes()
+
+
+def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): documents of sigs (doc_id, sig), one of each distinct sig, whose shingle sets are about that similar.
+
+    The same index over positional bytes: postings are keyed by four places with their bytes (16 choices; a
+    pair at 0.8 meets in 6 or 7 of them).  In a posting list a document is tried with the list's smallest id and with its
+    neighbours in order of the other bytes, never with all; the shared places of each pair are tallied
+    over all 256 and held against the minimum, one standard deviation below the expected number.
+    """
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 4 * i + 1, 4).alias("key")) for i in range(BANDS)])
+    rows = sigs.select("doc_id", F.substring("sig", 4 * BANDS + 1, 8).alias("rest"), F.explode(keys).alias("k")).select("doc_id", "rest", "k.band", "k.key")
+    lists = rows.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(lists, ["band", "key"])
+    order = Window.partitionBy("band", "key").orderBy("rest", "doc_id")
+    with_next = shared.select("doc_id", F.array("least", *[F.lead("doc_id", j).over(order) for j in range(1, NEXT + 1)]).alias("others"))
+    pairs = (
+        with_next.select("doc_id", F.explode("others").alias("o"))
+        .where("o is not null and o <> doc_id")
+        .select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
+        .distinct()
+    )
+    p = similarity + (1 - similarity) / 256
+    least = int(PLACES * p - (PLACES * p * (1 - p)) ** 0.5)
+
+    def tally(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("s1"))
+    right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("s2"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """(node, root) of documents that near fingerprints or similar shingle sets link, directly or in steps.
+
+    Fingerprints within a few bits only tell nearly equal texts: at a similarity of 0.8 about ten of 64 bits differ and no
+    byte need be shared.  Links therefore come from both kinds of positional bytes.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            sigs = pa.array([positional_bytes(t, words) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), sigs], ["doc_id", "fp", "sig"])
+
+    marked = stash(
+        docs.where("doc_id is not null")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(run, "doc_id long, fp long, sig binary")
+    )
+    by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("top"))
+    by_sig = marked.groupBy("sig").agg(F.min("doc_id").alias("top"))
+    same = [
+        marked.join(t.withColumnRenamed(c, "_c"), F.col(c) == F.col("_c")).select(F.col("doc_id").alias("a"), F.col("top").alias("b"))
+        for t, c in ((by_fp, "fp"), (by_sig, "sig"))
+    ]
+    links = near_links(marked, distance)
+    far = links.join(by_fp.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b")
+    near = similar_pairs(by_sig.where(F.length("sig") > 0).select(F.col("top").alias("doc_id"), "sig"), similarity)
+    edges = same[0].unionByName(same[1]).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(near)
+    return connected_components(edges)
+
+
+def keep_similar_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with one document left of each group of similar_groups(): its smallest doc_id, one row of it."""
+    gone = similar_groups(docs, words, similarity).where("node <> root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+
+
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """The rows of docs with one document left of each component: its smallest doc_id, one row of it."""
     kept = (
