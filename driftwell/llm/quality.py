@@ -89,15 +89,18 @@ def with_bias(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, SIZE - 1), np.append(x, 1.0)
 
 
-def one_epoch(state, epoch: int, balance: dict[float, float], rates: tuple[float, ...]):
+def one_epoch(state, epoch: int, passes: int, balance: dict[float, float], rates: tuple[float, ...]):
     """A function that takes one group of rows through the updates and returns the places that moved, and by how much."""
 
     def run(table: pa.Table) -> pa.Table:
         m = Ftrl(*(a.copy() for a in state.value), *rates)
         at, x, y = (table.column(c).to_pylist() for c in ("at", "x", "y"))
         order = np.argsort(table.column("_id").to_numpy(), kind="stable")
-        for i in np.random.default_rng(epoch).permutation(order):
-            m.learn(np.array(at[i]), np.array(x[i], np.float64), y[i], balance[y[i]])
+        rows = [(np.array(at[i]), np.array(x[i], np.float64), y[i]) for i in order.tolist()]
+        rng = np.random.default_rng(epoch)
+        for _ in range(passes):
+            for i in rng.permutation(len(rows)).tolist():
+                m.learn(*rows[i], balance[rows[i][2]])
         moved = np.flatnonzero((m.z != state.value[0]) | (m.n != state.value[1]))
         return pa.table({"place": moved, "z": m.z[moved] - state.value[0][moved], "n": m.n[moved] - state.value[1][moved]})
 
@@ -110,6 +113,7 @@ def train(
     label: str = "quality",
     max_rows: int = 12_000,
     epochs: int = 3,
+    updates: int = 20_000,
     parts: int = 4,
     alpha: float = 0.5,
     beta: float = 1.0,
@@ -118,6 +122,8 @@ def train(
 ) -> np.ndarray:
     """Dense weights (2**BITS places and the bias) for P(label = 1), from at most max_rows labelled rows.
 
+    Rows are gone through `epochs` times, or more often (40 times at most) until there have been `updates` updates.
+
     The two classes get equal total weight, the bias takes up their true odds afterwards.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("double").alias("_y"))
@@ -147,13 +153,15 @@ def train(
         if odds:
             w[-1] = 3.0 if 1.0 in odds else -3.0
         return w
+    # few rows are gone through more often, and by fewer groups
+    passes, parts = max(1, -(-min(40, updates // total) // epochs)), max(1, min(parts, total // 1000))
     balance = {y: total / (2 * n) for y, n in odds.items()}
     z, n = np.zeros(SIZE), np.zeros(SIZE)
     spread = rows.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
     for epoch in range(epochs):
         state = spread.sparkSession.sparkContext.broadcast((z, n))  # a fixed number of places
 
-        step = spread.groupBy("part").applyInArrow(one_epoch(state, epoch, balance, (alpha, beta, l1, l2)), "place long, z double, n double").groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
+        step = spread.groupBy("part").applyInArrow(one_epoch(state, epoch, passes, balance, (alpha, beta, l1, l2)), "place long, z double, n double").groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
         z[step["place"]] += step["z"] / parts
         n[step["place"]] += step["n"] / parts
     weights = Ftrl(z, n, alpha, beta, l1, l2).weights(slice(None))
