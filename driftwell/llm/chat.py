@@ -59,12 +59,12 @@ def ancestor_tables(messages: DataFrame, depth: int) -> list[DataFrame]:
     one = messages.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("gain"))
     tables = [one]
     for _ in range(max(0, math.ceil(math.log2(max(depth, 1))))):
-        far = tables[-1].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("gain").alias("g2"))
-        tables.append(
-            stash(tables[-1]
-            .join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain")))
-        )
+        now = tables[-1]
+        far = now.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("gain").alias("g2"))
+        # nodes whose ancestors have run out are carried on without a join
+        further = now.where("up is not null").join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        further = further.select("tree", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"))
+        tables.append(stash(further.unionByName(now.where("up is null"))))
     return tables
 
 
