@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     )
 
 
-PLACES, BANDS, NEXT = 256, 16, 4
+PLACES, BANDS, FEW, CHUNK = 256, 32, 8, 512
 ODD = (np.random.default_rng(42).integers(0, 1 << 63, (2, PLACES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -114,52 +114,111 @@ def positional_bytes(text: str | None, words: int = 5) -> bytes:
 
     Two texts share each place with the chance of their shingle sets' similarity (and one in 256 besides).
     """
+    return least_bytes(shingle_hashes(text, words))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """One 64-bit hash a shingle of the text, with repeats; none of a text without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return b""
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     last = ends[words - 1 :].tolist() or [len(joined)]
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+
+
+def least_bytes(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
+        return b""
     least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(last), 512):
-        h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + 512], last[at : at + 512])], np.uint64)
-        np.minimum(least, ((h[:, None] ^ ODD[0]) * ODD[1]).min(0), out=least)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[at : at + 512, None] ^ ODD[0]) * ODD[1]).min(0), out=least)
     return (least >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
-def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): documents of sigs (doc_id, sig), one of each distinct sig, whose shingle sets are about that similar.
-
-    The same index over positional bytes: postings are keyed by four places with their bytes (16 choices; a
-    pair at 0.8 meets in 6 or 7 of them).  In a posting list a document is tried with the list's smallest id and with its
-    neighbours in order of the other bytes, never with all; the shared places of each pair are tallied
-    over all 256 and held against the minimum, one standard deviation below the expected number.
+def least_tally(similarity: float) -> int:
+    """Shared places that a pair at the similarity has, but for six standard deviations."""
+    p = similarity + (1 - similarity) / 256
+    return int(PLACES * p - 6 * (PLACES * p * (1 - p)) ** 0.5)
+
+
+def forest(x: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Row pairs of a maximum spanning forest of x's rows over the pairs that share at least `least` places."""
+    at, out, n = 0, [], len(x)
+    rows, best, via = np.arange(1, n), np.full(n - 1, -1), np.zeros(n - 1, np.int64)
+    rest = x[1:].copy()
+    while len(rows):
+        tally = np.count_nonzero(rest == x[at], axis=1)
+        better = tally > best
+        best[better], via[better] = tally[better], at
+        k = int(best.argmax())
+        at = int(rows[k])
+        if best[k] >= least:
+            out.append((int(via[k]), at))
+        for v in (rows, best, via, rest):
+            v[k] = v[-1]
+        rows, best, via, rest = rows[:-1], best[:-1], via[:-1], rest[:-1]
+    return out
+
+
+def similar_lists(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): all pairs in posting lists of at most FEW nodes of sigs (node, sig); and the longer lists' cells (band, key, lo, hi, node, sig).
+
+    Postings are keyed by four places with their bytes (32 choices; a pair at 0.8 misses all of them once in 20 million).  A longer
+    list is dealt in chunks of about CHUNK nodes, and each two chunks make a cell, so every pair meets in one.
     """
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 4 * i + 1, 4).alias("key")) for i in range(BANDS)])
-    rows = sigs.select("doc_id", F.substring("sig", 4 * BANDS + 1, 8).alias("rest"), F.explode(keys).alias("k")).select("doc_id", "rest", "k.band", "k.key")
-    lists = rows.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = sigs.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
+    lists = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(lists, ["band", "key"])
-    order = Window.partitionBy("band", "key").orderBy("rest", "doc_id")
-    with_next = shared.select("doc_id", F.array("least", *[F.lead("doc_id", j).over(order) for j in range(1, NEXT + 1)]).alias("others"))
+    few = shared.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = (
-        with_next.select("doc_id", F.explode("others").alias("o"))
-        .where("o is not null and o <> doc_id")
-        .select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
+        few.select(F.explode("nodes").alias("a"), "nodes")
+        .select("a", F.explode(F.filter("nodes", lambda x: x > F.col("a"))).alias("b"))
         .distinct()
     )
-    p = similarity + (1 - similarity) / 256
-    least = int(PLACES * p - (PLACES * p * (1 - p)) ** 0.5)
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    cells = (
+        shared.where(F.col("n") > FEW)
+        .select("band", "key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select("band", "key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .join(sigs, "node")
+        .select("band", "key", "lo", "hi", "node", "sig")
+    )
+    return pairs, cells
+
+
+def places(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PLACES)
+
+
+def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): pairs of nodes of sigs (node, sig) whose signatures link all nodes that pairs of about that similarity link.
+
+    The same index over positional bytes: all pairs of a short posting list have their shared places tallied over all 256; each cell
+    of a long one gives a maximum spanning forest of its tallies, which joins whatever its pairs join.
+    """
+    least = least_tally(similarity)
+    pairs, cells = similar_lists(sigs)
 
     def tally(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array((places(batch.column(2)) == places(batch.column(3))).sum(1) >= least))
+
+    def span(table):
+        table = table.sort_by("node")
+        nodes = table.column("node").to_numpy()
+        edges = np.array(forest(places(table.column("sig")), least), np.int64).reshape(-1, 2)
+        return pa.table({"a": np.minimum(*nodes[edges].T), "b": np.maximum(*nodes[edges].T)})
 
-    left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("s1"))
-    right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("s2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
+    left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("s1"))
+    right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("s2"))
+    close = pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
+    return close.unionByName(cells.groupBy("band", "key", "lo", "hi").applyInArrow(span, "a long, b long")).distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
@@ -189,7 +248,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     ]
     links = near_links(marked, distance)
     far = links.join(by_fp.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b")
-    near = similar_pairs(by_sig.where(F.length("sig") > 0).select(F.col("top").alias("doc_id"), "sig"), similarity)
+    near = similar_pairs(by_sig.where(F.length("sig") > 0).select(F.col("top").alias("node"), "sig"), similarity)
     edges = same[0].unionByName(same[1]).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(near)
     return connected_components(edges)
 

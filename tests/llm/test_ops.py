@@ -438,3 +438,23 @@ def test_ann_squared_distances(spark):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
         assert len(set(np.argsort(d)[:5].tolist()) & {r["vec_id"] for r in hits if r["query_id"] == q}) >= 4
+
+
+def star(n, seed=3):
+    """A text of 400 words in the middle of n independent edits of it, each about 0.83 similar to it and 0.7 to one another."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**9)}" for _ in range(400)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        at = r.randrange(300)
+        w[at : at + 36] = [f"x{r.randrange(10**9)}" for _ in range(36)]
+        out.append(" ".join(w))
+    return [*out[: n // 2], " ".join(base), *out[n // 2 :]]
+
+
+def test_similar_star_is_one_group(spark):
+    df = spark.createDataFrame(list(enumerate(star(500))), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_similar_one(df).collect()] == [0]
