@@ -32,18 +32,15 @@ PIECE = 1 << 15
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of one text: lower-cased A-Z, white-space words, shingles with repeats."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    last = ends[words - 1 :].tolist() or [len(joined)]
-    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes hold."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(last), PIECE):
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + PIECE], last[at : at + PIECE])]
-        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big")
+    for at in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -195,14 +192,15 @@ def places(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PLACES)
 
 
-def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): pairs of nodes of sigs (node, sig) whose signatures link all nodes that pairs of about that similarity link.
+def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of nodes of sigs (node, sig) that may be that similar; and the cells of similar_lists() for crossing_pairs().
 
     The same index over positional bytes: all pairs of a short posting list have their shared places tallied over all 256; each cell
-    of a long one gives a maximum spanning forest of its tallies, which joins whatever its pairs join.
+    of a long one gives a maximum spanning forest of its tallies, the likeliest links of its nodes.
     """
     least = least_tally(similarity)
     pairs, cells = similar_lists(sigs)
+    cells = stash(cells)
 
     def tally(batches):
         for batch in batches:
@@ -218,45 +216,109 @@ def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> DataFrame:
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("s1"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("s2"))
     close = pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
-    return close.unionByName(cells.groupBy("band", "key", "lo", "hi").applyInArrow(span, "a long, b long")).distinct()
+    return close.unionByName(cells.groupBy("band", "key", "lo", "hi").applyInArrow(span, "a long, b long")).distinct(), cells
+
+
+def crossing_pairs(cells: DataFrame, parts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): all pairs of a cell that may be that similar and that parts (node, root) does not join yet."""
+    least = least_tally(similarity)
+    marked = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = marked.groupBy("band", "key", "lo", "hi").agg((F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
+
+    def cross(table):
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        x, a, b = places(table.column("sig")), [], []
+        for i in range(len(x) - 1):
+            other = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+            other = other[np.count_nonzero(x[other] == x[i], axis=1) >= least]
+            a.append(np.minimum(nodes[i], nodes[other]))
+            b.append(np.maximum(nodes[i], nodes[other]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    keys = ["band", "key", "lo", "hi"]
+    return marked.join(split, keys).select(*keys, "node", "root", "sig").groupBy(*keys).applyInArrow(cross, "a long, b long").distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the sorted distinct shingle hashes of each text of texts (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, of sets (node, hashes), are that similar."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / (len(x) + len(y) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("h1"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("h2"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "h2").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
-    """(node, root) of documents that near fingerprints or similar shingle sets link, directly or in steps.
+    """(doc_id, digest, root) of every row: rows with one root are linked, directly or in steps, by that similarity of shingle sets.
 
-    Fingerprints within a few bits only tell nearly equal texts: at a similarity of 0.8 about ten of 64 bits differ and no
-    byte need be shared.  Links therefore come from both kinds of positional bytes.
+    A node is a set of shingles, named by a 64-bit hash; digest is the text's MD5.  Candidates come from near fingerprints (which only
+    tell nearly equal texts: at 0.8 about ten of 64 bits differ and no byte need be shared) and from positional bytes, and
+    every link is held against the sets themselves.  The forests' pairs are compared first, then all pairs that these left apart.
     """
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            sigs = pa.array([positional_bytes(t, words) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), sigs], ["doc_id", "fp", "sig"])
-
-    marked = stash(
-        docs.where("doc_id is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(run, "doc_id long, fp long, sig binary")
-    )
-    by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("top"))
-    by_sig = marked.groupBy("sig").agg(F.min("doc_id").alias("top"))
-    same = [
-        marked.join(t.withColumnRenamed(c, "_c"), F.col(c) == F.col("_c")).select(F.col("doc_id").alias("a"), F.col("top").alias("b"))
-        for t, c in ((by_fp, "fp"), (by_sig, "sig"))
-    ]
-    links = near_links(marked, distance)
-    far = links.join(by_fp.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b")
-    near = similar_pairs(by_sig.where(F.length("sig") > 0).select(F.col("top").alias("node"), "sig"), similarity)
-    edges = same[0].unionByName(same[1]).unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(near)
-    return connected_components(edges)
+            hashes = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
+            names = [xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes]
+            fps = [majority(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (names, fps)), pa.array([least_bytes(h) for h in hashes], pa.binary())],
+                ["doc_id", "digest", "node", "fp", "sig"],
+            )
+
+    marked = stash(keyed(docs).mapInArrow(run, "doc_id long, digest binary, node long, fp long, sig binary"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("digest", "fp", "sig")).alias("m")).select("node", "m.*").where(F.length("sig") > 0)
+    near, cells = similar_pairs(nodes.select("node", "sig"), similarity)
+    of = nodes.groupBy("fp").agg(F.min("node").alias("top"))
+    far = near_links(nodes, distance)
+    far = far.join(of.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b")
+    same = nodes.join(of, "fp").where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    extra = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same)
+    first = stash(near.unionByName(extra).distinct())
+    met = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(cells.select("node")).distinct()
+    texts = keyed(docs).groupBy("digest").agg(F.first("text").alias("text")).join(nodes.select("node", "digest").join(met, "node", "left_semi"), "digest")
+    sets = stash(shingle_sets(texts.select("node", "text"), words))
+    links = stash(verified(first, sets, similarity))
+    more = crossing_pairs(cells, connected_components(links), similarity).join(first, ["a", "b"], "left_anti")
+    parts = connected_components(links.unionByName(verified(more, sets, similarity)))
+    return marked.select("doc_id", "digest", "node").join(parts, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text), the digest 16 bytes of the text (null as no text)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
 
 
 def keep_similar_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs with one document left of each group of similar_groups(): its smallest doc_id, one row of it."""
-    gone = similar_groups(docs, words, similarity).where("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    """The rows of docs with one row left of each group of similar_groups(): of its smallest doc_id, null only where all are."""
+    groups = similar_groups(docs, words, similarity)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
+    kept = kept.select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    found = docs.withColumn("_of", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:

@@ -458,3 +458,22 @@ def star(n, seed=3):
 def test_similar_star_is_one_group(spark):
     df = spark.createDataFrame(list(enumerate(star(500))), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_similar_one(df).collect()] == [0]
+
+
+def test_similar_groups_compare_shingle_sets(spark):
+    """Groups are the components of pairs at 0.8 or more, on a star and on pairs around 0.8."""
+    import random
+
+    r = random.Random(8)
+    texts = star(12, seed=5)
+    for share in range(12, 40, 2):
+        w = [f"y{r.randrange(10**9)}" for _ in range(204)]
+        texts += [" ".join(w), " ".join([*w[: 200 - share], *(f"z{r.randrange(10**9)}" for _ in range(share))])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_similar_one(df).collect()) == sorted(set(root))
