@@ -87,17 +87,21 @@ def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    fps = stash(fingerprints(docs, words))
+def near_roots(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """(fp2, root, component_id): the component of each value of fp, and the smallest doc_id of its rows."""
     parts = connected_components(near_links(fps, distance))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(parts, classes.fp == parts.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(tops, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return fps.join(of, F.col("fp") == F.col("fp2")).select(
+    return rooted.join(tops, "root").select(F.col("fp").alias("fp2"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    fps = stash(fingerprints(docs, words))
+    return fps.join(near_roots(fps, distance), F.col("fp") == F.col("fp2")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -311,9 +315,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
 
 
-def keep_similar_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs with one row left of each group of similar_groups(): of its smallest doc_id, null only where all are."""
-    groups = similar_groups(docs, words, similarity)
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs with one left of each root of groups (doc_id, digest, root): of its smallest doc_id, null only where all are."""
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
     kept = kept.select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"))
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
@@ -321,15 +324,20 @@ def keep_similar_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     return found.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
 
 
+def keep_similar_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with one left of each group of similar_groups()."""
+    return one_of_each(docs, similar_groups(docs, words, similarity))
+
+
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs with one document left of each component: its smallest doc_id, one row of it."""
-    kept = (
-        near_duplicates(docs, words, distance)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_kept"))
-        .distinct()
-    )
-    columns = docs.columns
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    )
+    """The rows of docs with one document left of each component: its smallest doc_id, one row of it; one row of each null doc_id's component."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    marked = stash(keyed(docs).mapInArrow(run, "doc_id long, digest binary, fp long"))
+    roots = near_roots(marked, distance)
+    kept = one_of_each(docs, marked.join(roots, F.col("fp") == F.col("fp2")).select("doc_id", "digest", "root"))
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

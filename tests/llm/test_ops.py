@@ -477,3 +477,13 @@ def test_similar_groups_compare_shingle_sets(spark):
                 root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_similar_one(df).collect()) == sorted(set(root))
+
+
+def test_null_and_shared_ids_keep_their_texts(spark):
+    words = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (7, words("c")), (7, words("d")), (9, words("d")), (None, words("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(-1, words("a")), (-1, words("b")), (7, words("c")), (7, words("d"))])
+    id_and_text = lambda rows: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.collect())
+    assert id_and_text(simhash.keep_similar_one(df)) == want
+    assert id_and_text(simhash.keep_one(df.where("doc_id is null"))) == [*want[:2], (-1, words("d"))]
