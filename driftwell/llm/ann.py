@@ -4,7 +4,8 @@ A vector is coded as a sum of one entry from each of `books` full-dimensional co
 trained one after the other on the residuals of a bounded sample; encoding keeps a beam of the best
 partial sums.  Codes and the norms of what they stand for are stored.  A query scores a code by adding
 up one looked-up inner product per book (for squared distances with the stored norm); each block of
-rows passes its best `rerank` codes a query on to exact scoring with the original vectors.
+rows passes its best `rerank` distinct vectors a query (and those tied with the last) on to exact scoring with the original
+vectors, with all their ids.
 
 The queries are taken in blocks of a fixed size, each broadcast over one pass of all coded rows, so memory
 is bounded whatever the number of either.
@@ -114,26 +115,50 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.values.slice(column.offsets[0].as_py(), len(column) * width).to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def scan(queries, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, top: int, rerank: int, metric: str):
-    """(query id, vec_id, score) arrays: per query the exact best `top` among the block's `rerank` best codes."""
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of each distinct vector; all ids, by vector and then by size; where each vector's ids start, and their number at last."""
+    x = np.ascontiguousarray(x)
+    _, first, of = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, of))
+    return first, ids[order], np.append(0, np.cumsum(np.bincount(of, minlength=len(first))))
+
+
+def scan(queries, block, books: np.ndarray, top: int, rerank: int, metric: str):
+    """(query id, vec_id, score) arrays: per query the exact best `top` of all rows of the block's `rerank` best distinct vectors.
+
+    The block is (ids, starts) of distinct_rows() and the vectors, codes and norms of its distinct vectors.  Vectors whose codes
+    tie with the last of them are scored as well.
+    """
     qids, q = queries
+    ids, starts, x, codes, norms = block
     tables = np.einsum("qd,mkd->mqk", q.astype(np.float32), books)
     rough = np.zeros((len(q), len(x)), np.float32)
     for j in range(len(books)):
         rough += tables[j][:, codes[:, j]]
     if metric == "l2":
         rough = 2 * rough - norms
-    rough[qids[:, None] == ids] = -np.inf
+    held, least = np.diff(starts), ids[starts[:-1]]
+    rough[(qids[:, None] == least) & (least == ids[starts[1:] - 1])] = -np.inf
     keep = min(rerank, len(x))
     best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(keep), (len(q), 1))
-    exact = np.einsum("qd,qrd->qr", q, x[best])
-    if metric == "l2":
-        exact = -((q[:, None, :] - x[best]) ** 2).sum(2)
-    exact = np.where(qids[:, None] == ids[best], -np.inf, exact)
-    order = np.lexsort((ids[best], -exact), axis=1)[:, :top]
-    exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best], order, 1)
+    score = lambda q, v: np.einsum("qd,qrd->qr", q, v) if metric != "l2" else -((q[:, None, :] - v) ** 2).sum(2)
+    cut = np.take_along_axis(rough, best, 1).min(1)
+    plain = ((rough >= cut[:, None]).sum(1) <= keep) & (held[best] == 1).all(1)
+    at, near = qids[plain], best[plain]
+    exact = np.where(at[:, None] == least[near], -np.inf, score(q[plain], x[near]))
+    order = np.lexsort((least[near], -exact), axis=1)[:, :top]
+    exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(least[near], order, 1)
     live = np.isfinite(exact)
-    return np.repeat(qids, live.sum(1)), found[live], exact[live]
+    out = [(np.repeat(at, live.sum(1)), found[live], exact[live])]
+    for i in np.flatnonzero(~plain):
+        near = np.flatnonzero(rough[i] >= cut[i])
+        exact = np.repeat(score(q[i : i + 1], x[None, near])[0], held[near])
+        found = ids[np.repeat(starts[near] - np.append(0, np.cumsum(held[near])[:-1]), held[near]) + np.arange(len(exact))]
+        other = (found != qids[i]) & np.isfinite(exact)
+        exact, found = exact[other], found[other]
+        order = np.lexsort((found, -exact))[:top]
+        out.append((np.full(len(order), qids[i]), found[order], exact[order]))
+    return tuple(np.concatenate(v) for v in zip(*out))
 
 
 def search(
@@ -157,9 +182,10 @@ def search(
             def out():
                 t = pa.Table.from_batches(held).combine_chunks()
                 ids, x = t.column(0).to_numpy(), matrix(t.column(1).chunk(0), width)
-                codes, norms = matrix(t.column(2).chunk(0), count), t.column(3).to_numpy()
+                first, ids, starts = distinct_rows(ids, x)
+                block = ids, starts, x[first], matrix(t.column(2).chunk(0), count)[first], t.column(3).to_numpy()[first]
                 for at in range(0, len(q), 256):
-                    part = scan((qids[at : at + 256], q[at : at + 256]), ids, x, codes, norms, c, top, rerank, metric)
+                    part = scan((qids[at : at + 256], q[at : at + 256]), block, c, top, rerank, metric)
                     yield pa.RecordBatch.from_arrays([pa.array(p) for p in part], ["query_id", "vec_id", "score"])
                 held.clear()
 

@@ -487,3 +487,19 @@ def test_null_and_shared_ids_keep_their_texts(spark):
     id_and_text = lambda rows: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows.collect())
     assert id_and_text(simhash.keep_similar_one(df)) == want
     assert id_and_text(simhash.keep_one(df.where("doc_id is null"))) == [*want[:2], (-1, words("d"))]
+
+
+def test_ann_many_equal_vectors(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 16))
+    x[r.permutation(4000)[:2000]] = x[0] = 3 * x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    same = [i for i in range(4000) if (x[i] == x[0]).all()]
+    got = {}
+    for h in ann.nearest(df, 400).collect():
+        got.setdefault(h["query_id"], []).append((h["rank"], h["vec_id"]))
+    assert len(got) == 10
+    for i in set(got) & set(same):
+        assert [v for _, v in sorted(got[i])] == [v for v in same if v != i][:20]
