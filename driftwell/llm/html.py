@@ -1,8 +1,8 @@
 """Layout-aware HTML extraction: all visible text, laid out as a reader would see it.
 
 A tree builder reads tags with implied ends (a block ends an open paragraph, an item the item before it, a
-cell the cell before it, and so on); visibility rules drop scripts, styles, heads, templates, comments,
-elements marked hidden and those styled away.  The layout keeps block spacing, line breaks, list
+cell the cell before it, and so on); visibility rules drop scripts, styles, heads, templates, comments, fallback
+content, descriptions in svg and math, elements marked hidden and those styled away.  All options of a select are shown.  The layout keeps block spacing, line breaks, list
 marks with nesting, preformatted text and tables whose cells line up in columns.
 
 Rows: null and empty pages give an empty text.  Broken mark-up never fails; text outside any tag is kept.
@@ -25,11 +25,14 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"script", "style", "head", "title", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "svg", "math", "datalist", "select", "map"}
+UNSEEN = {"script", "style", "head", "title", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist", "defs", "desc", "metadata", "annotation", "annotation-xml"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "table", "figure", "hr"}
-BLOCK = SPACED | {"address", "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dt", "fieldset", "figcaption", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "section", "summary", "tr", "caption", "thead", "tbody", "tfoot", "optgroup", "option"}
+BLOCK = SPACED | {"address", "article", "aside", "body", "center", "dd", "details", "dialog", "div", "dt", "fieldset", "figcaption", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "section", "summary", "tr", "caption", "thead", "tbody", "tfoot", "optgroup", "option", "text"}
+INNER = {"optgroup", "option", "text"}  # lines of their own within a paragraph (text: of svg)
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
+    "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "caption", "colgroup"}, {"table"}),
@@ -57,13 +60,18 @@ def visible(tag: str, attributes: str) -> tuple[bool, int]:
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and AWAY.search(unescape(value))):
+            if name == "hidden" or (name == "style" and AWAY.search(unescape(value))):
                 return False, 1
             if name == "start" and tag == "ol" and re.fullmatch(r"-?\d{1,9}", value):
                 start = int(value)
     return True, start
 
 
+def label_of(attributes: str) -> str:
+    """The label attribute, which a browser shows of an option in place of its text and of a group before its options."""
+    return next((unescape(a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() == "label"), "").strip()
+
+
 def build(html: str) -> Node:
     """The page's tree; children are nodes and strings."""
     root = Node("html")
@@ -124,12 +132,17 @@ def build(html: str) -> Node:
             pop_to(d)
             if d := find(CLOSES[tag][0], {"table"}):
                 pop_to(d)
-        if tag in BLOCK and (d := find({"p"}, FENCES)):
+        if tag in BLOCK - INNER and (d := find({"p"}, FENCES)):
             pop_to(d)
         seen, start = visible(tag, m[3])
         node = Node(tag, seen, start)
+        if tag in ("option", "optgroup") and (label := label_of(m[3])):
+            shown = Node(tag, seen)
+            shown.children.append(label)
+            (stack[-1] if tag == "option" else node).children.append(shown)
+            node.seen &= tag == "optgroup"
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (m[3].endswith("/") and (open_tags.get("svg") or open_tags.get("math"))):
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)

@@ -503,3 +503,17 @@ def test_ann_many_equal_vectors(spark):
     assert len(got) == 10
     for i in set(got) & set(same):
         assert [v for _, v in sorted(got[i])] == [v for v in same if v != i][:20]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "so x=2 holds"),
+        ("<svg><title>t</title><defs/><text>left</text><path d='M0'/><text>right</text></svg><p>after", "left\nright\n\nafter"),
+        ("<p>pick <select><optgroup label=Cold><option>red<option label=azure>blue</select> now", "pick\nCold\nred\nazure\nnow"),
+        ("<map name=m><p>in a map<area></map>", "in a map"),
+        ("<p>a <span aria-hidden=true>b</span>", "a b"),
+    ],
+)
+def test_html_shows_what_browsers_show(page, want):
+    assert html.extract_text(page) == want
