@@ -197,7 +197,7 @@ def places(column) -> np.ndarray:
 
 
 def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of nodes of sigs (node, sig) that may be that similar; and the cells of similar_lists() for crossing_pairs().
+    """(a, b): pairs of nodes of sigs (node, sig) that may be that similar; and the cells of similar_lists() for crossing_links().
 
     The same index over positional bytes: all pairs of a short posting list have their shared places tallied over all 256; each cell
     of a long one gives a maximum spanning forest of its tallies, the likeliest links of its nodes.
@@ -223,24 +223,39 @@ def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame,
     return close.unionByName(cells.groupBy("band", "key", "lo", "hi").applyInArrow(span, "a long, b long")).distinct(), cells
 
 
-def crossing_pairs(cells: DataFrame, parts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): all pairs of a cell that may be that similar and that parts (node, root) does not join yet."""
-    least = least_tally(similarity)
+def crossing_links(cells: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links that join, of all pairs of a cell that parts (node, root) leaves apart, those whose sets (node, hashes) are that similar.
+
+    A pair is compared in the first band that it shares; the sets come to the cell, so no row is made for each pair.
+    """
+    least, keys = least_tally(similarity), ["band", "key", "lo", "hi"]
     marked = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = marked.groupBy("band", "key", "lo", "hi").agg((F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
+    split = marked.groupBy(*keys).agg((F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
 
     def cross(table):
-        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
-        x, a, b = places(table.column("sig")), [], []
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy().copy()
+        x, band, out = places(table.column("sig")), table.column("band")[0].as_py(), []
+        hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
         for i in range(len(x) - 1):
             other = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-            other = other[np.count_nonzero(x[other] == x[i], axis=1) >= least]
-            a.append(np.minimum(nodes[i], nodes[other]))
-            b.append(np.maximum(nodes[i], nodes[other]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            same = x[other] == x[i]
+            other, same = (v[np.count_nonzero(same, axis=1) >= least] for v in (other, same))
+            for j in other[same[:, : 4 * BANDS].reshape(-1, BANDS, 4).all(2).argmax(1) == band].tolist():
+                if roots[i] != roots[j] and alike(hashes[i], hashes[j], similarity):
+                    out.append(sorted((nodes[i], nodes[j])))
+                    roots[roots == roots[j]] = roots[i]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    return marked.join(split, keys).join(sets, "node").select(*keys, "node", "root", "sig", "hashes").groupBy(*keys).applyInArrow(cross, "a long, b long")
+
 
-    keys = ["band", "key", "lo", "hi"]
-    return marked.join(split, keys).select(*keys, "node", "root", "sig").groupBy(*keys).applyInArrow(cross, "a long, b long").distinct()
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are that similar."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) * (1 - 1e-9):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) >= similarity
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -263,9 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> Data
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
+                keep.append(alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("h1"))
@@ -304,8 +317,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     texts = keyed(docs).groupBy("digest").agg(F.first("text").alias("text")).join(nodes.select("node", "digest").join(met, "node", "left_semi"), "digest")
     sets = stash(shingle_sets(texts.select("node", "text"), words))
     links = stash(verified(first, sets, similarity))
-    more = crossing_pairs(cells, connected_components(links), similarity).join(first, ["a", "b"], "left_anti")
-    parts = connected_components(links.unionByName(verified(more, sets, similarity)))
+    more = crossing_links(cells, connected_components(links), sets, similarity)
+    parts = connected_components(links.unionByName(more))
     return marked.select("doc_id", "digest", "node").join(parts, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
