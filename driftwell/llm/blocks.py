@@ -21,10 +21,10 @@ ASKED = "_block int, bucket int, data binary"
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """docs with a column _block (by hash of doc_id), and the number of blocks, in proportion to the text."""
+    """docs with a column _block (by hash of doc_id and text, so that no id fills a block), and their number, in proportion to the text."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n = total // block_bytes + 1
-    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(n)).cast("int")), n
+    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text", F.lit("block")), F.lit(n)).cast("int")), n
 
 
 def utf8(table: pa.Table) -> list[bytes]:

@@ -224,12 +224,11 @@ def test_suffix_in_one_alphabet(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute_removed(texts)
 
 
-def test_suffix_splits_hot_samples(spark, monkeypatch):
+def test_suffix_splits_hot_samples(spark):
     rng = random.Random(8)
     line = "A line that every document of this table happens to hold, word for word."
     texts = [(i, words(rng, 15) + str(i) + line + str(i * 7) + words(rng, 15)) for i in range(150)]
-    monkeypatch.setattr(suffix, "CLASSES", 3)
-    got = suffix.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), with_text=False)
+    got = suffix.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), with_text=False, hot=3)
     assert Counter(tuple(r) for r in got.collect()) == brute_removed(texts)
 
 
