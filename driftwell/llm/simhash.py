@@ -3,10 +3,11 @@
 Two 64-bit fingerprints that differ in at most `distance` bits differ in at most `distance` of
 their eight bytes, so they share at least 8 - distance positional bytes: the guaranteed minimum.
 A posting list for a single (position, byte) would hold 1/256 of all fingerprints and its pairs grow
-with the square of the input, so postings are keyed by every choice of 8 - distance positions
-with their byte values (28 choices for distance 2).  Fingerprints that meet in a posting list
-differ in `distance` bytes only, which bounds a list by 256**distance distinct fingerprints.  Each
-candidate's shared positional bytes are tallied and held against the minimum, then its bits verified.
+with the square of the input, so postings are keyed by every choice of four positions with their bytes (for distance
+2: 70 lists a fingerprint, and a pair that reaches the minimum meets in 15 of them).  Each pair that meets in a list has its
+shared positional bytes tallied over all eight places; what reaches the minimum has its bits verified.
+The fingerprints of a long list (a family of near copies) are put into lists of 8 - distance positions, where all pairs that
+reach the minimum still meet; these hold 256**distance fingerprints at most and are compared in cells of bounded size.
 
 Rows: null text counts as no words.  No words: fingerprint zero.  Fewer than `words` words: one
 shingle of them all.  Repeated rows link to each other through their equal fingerprint.  A null doc_id
@@ -28,6 +29,7 @@ from .common import connected_components, stash
 
 SEED = 42
 PIECE = 1 << 15
+SHORT, CELL = 64, 1024
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -56,36 +58,68 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): all pairs of distinct values of fp, a < b, that differ in at most `distance` bits."""
-    least = 8 - distance
-    masks = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), least)]
+def posting_lists(fps: DataFrame, width: int) -> DataFrame:
+    """(key, fp, n): the inverted index of the values of fp by every choice of `width` byte positions, lists of n > 1 only.
+
+    A key is a hash of the positions and their bytes; two lists that a collision joins only add candidates.
+    """
+    masks = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    postings = (
-        fps.select("fp")
-        .distinct()
-        .select("fp", F.explode(keys).alias("k"))
-        .groupBy("k.m", "k.key")
-        .agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-        .where(F.size("fps") > 1)
-    )
-    apart = lambda x, i: F.when(x.bitwiseAND(F.lit((0xFF << 8 * i) - (1 << 64 if i == 7 else 0))) == 0, 1).otherwise(0)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    rows = fps.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "fp", "n")
+
+
+def pairs_of_short(lists: DataFrame, distance: int) -> DataFrame:
+    """(a, b) of lists (key, fp) of at most SHORT values: pairs whose tally of shared positional bytes reaches the minimum and whose bits are near."""
+    shared = lambda x, i: F.when(x.bitwiseAND(F.lit((0xFF << 8 * i) - (1 << 64 if i == 7 else 0))) == 0, 1).otherwise(0)
 
     def near(a):
         def keep(b):
             x = a.bitwiseXOR(b)
-            tally = sum((apart(x, i) for i in range(8)), F.lit(0))
-            return (b > a) & (tally >= least) & (F.bit_count(x) <= distance)
+            tally = sum((shared(x, i) for i in range(8)), F.lit(0))
+            return (b > a) & (tally >= 8 - distance) & (F.bit_count(x) <= distance)
 
         return keep
 
-    return (
-        postings.select(F.explode("fps").alias("a"), "fps")
-        .select("a", F.explode(F.filter("fps", near(F.col("a")))).alias("b"))
-        .distinct()
+    grouped = lists.groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    return grouped.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", near(F.col("a")))).alias("b")).distinct()
+
+
+def pairs_of_long(lists: DataFrame, distance: int) -> DataFrame:
+    """The same of longer lists (key, fp, n): values are dealt in chunks of about CELL, and each two chunks of a list are compared in a task."""
+    chunks = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    cells = lists.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")).select(
+        "key", "fp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
 
+    def compare(table):
+        fp, own = table.column("fp").to_numpy(), table.column("own").to_numpy()
+        low = own == table.column("lo")[0].as_py()
+        left, right = fp[low], fp[~low] if (~low).any() else fp
+        found = []
+        for at in range(0, len(left), 256):
+            x = left[at : at + 256, None] ^ right
+            tally = (x[..., None].view(np.uint8) == 0).sum(2)
+            i, j = np.nonzero((tally >= 8 - distance) & (np.bitwise_count(x.view(np.uint64)) <= distance) & (x != 0))
+            found.append(np.stack([left[at + i], right[j]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b): all pairs of distinct values of fp, a < b, that differ in at most `distance` bits."""
+    wide = max(1, 6 - distance)
+    lists = stash(posting_lists(fps, wide))
+    short = pairs_of_short(lists.where(F.col("n") <= SHORT), distance)
+    # a pair of a long list shares 8 - distance bytes if it passes the tally: such lists are taken apart by as many positions
+    finer = stash(posting_lists(lists.where(F.col("n") > SHORT), 8 - distance))
+    more = pairs_of_short(finer.where(F.col("n") <= SHORT), distance).unionByName(pairs_of_long(finer.where(F.col("n") > SHORT), distance))
+    return short.unionByName(more).distinct()
+
 
 def near_roots(fps: DataFrame, distance: int = 2) -> DataFrame:
     """(fp2, root, component_id): the component of each value of fp, and the smallest doc_id of its rows."""

@@ -130,6 +130,17 @@ def test_simhash_links_are_complete(spark):
     assert got == want
 
 
+def test_simhash_links_in_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHORT", 8)
+    monkeypatch.setattr(simhash, "CELL", 50)
+    rng = np.random.default_rng(2)
+    fps = {int(x) for x in rng.integers(0, 1 << 14, 400)} | {int(x) << 50 for x in rng.integers(0, 1 << 13, 150)} | {(5 << 40) | int(x) for x in rng.integers(0, 512, 60)}
+    fps = sorted(fps)
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_keep_one(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
