@@ -1,10 +1,10 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
 The smoothed n-grams of the training documents are the automaton's states.  A state (the last words read) has
-an arc for every word seen after it, weighing (count - discount) / state count, and a failure arc to
-the state one word shorter, weighing discount * kinds / state count; the empty state gives every
-word its add-`delta` share, unknown words included.  A text is read from left to right: each word
-adds its arc's weight to what the failure arcs let through, and the logarithms are summed.
+an arc for every word seen after it, weighing log10 of ((count - discount) + discount * kinds * p of the word one state shorter) /
+state count, and a failure arc to the state one word shorter, weighing log10 of discount * kinds / state count; the empty state
+has an arc for every word, of its add-`delta` share, unknown words included.  A text is read once from left to right: its state
+is carried from word to word, failure arcs are taken until the state has an arc for the word, and the weights are summed.
 
 Counts cover all training documents.  The automaton is never gathered: each block of documents asks for the
 arcs and states that its texts meet (see blocks.py), one bucket of states at a time counts them over
@@ -12,7 +12,7 @@ all blocks, and the block's texts then run through the answered part.  A state t
 training token in a thousand leads to is split over several buckets by the next word, and its
 parts are added up by those who ask.
 
-Words are told apart by 64-bit hashes; in arcs, 36 bits of the state's hash and 28 of the arc's, besides the bucket.
+Words and states are told apart by 64-bit hashes, a state's arcs by 56 bits of theirs.
 
 Rows: null text is empty; an empty text is its end token alone.  A null doc_id counts as held out of nothing
 (training).  Repeated rows are counted as often as they stand.  An empty table gives an empty
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks, lean, utf8
+from .blocks import ASKED, bucket_of, in_blocks, lean, planes, unplaned, utf8
 from .common import stash
 
 END = b""  # no word is empty
@@ -69,8 +69,61 @@ def word_counts(docs: DataFrame, modulus: int) -> DataFrame:
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Level:
+    """The n-grams of one length that a block's texts hold: arcs (a gram's last word) grouped by bucket and state (what stands before it)."""
+
+    def __init__(self, states: np.ndarray, of: np.ndarray, arcs: np.ndarray, counts: np.ndarray, bucket: np.ndarray, probes, first: int):
+        by_hash = np.argsort(states, kind="stable")
+        rank = np.empty(len(states), np.int64)
+        rank[by_hash] = np.arange(len(states))
+        code = bucket * len(states) + rank[of]
+        self.order = np.argsort(code, kind="stable")  # grams as they are sent
+        every = np.unique(np.append(code, probes[0] * len(states) + rank[probes[1]]))
+        self.sizes = np.bincount(np.searchsorted(every, code), minlength=len(every))  # arcs in each group
+        self.bucket, self.state = every // max(len(states), 1) + first, by_hash[every % max(len(states), 1)]
+        self.states, self.of, self.arcs, self.counts = states, of, arcs, counts
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each bucket's groups start and end, and its arcs."""
+        groups = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-2))
+        return groups, np.append(0, np.cumsum(self.sizes))[groups]
+
+    def rows(self):
+        """(bucket, data) to send: states, arcs in each, arcs (56 bits of their hash), counts."""
+        groups, arcs = self.cuts()
+        for g, h, i, j in zip(groups, groups[1:], arcs, arcs[1:]):
+            mine = self.order[i:j]
+            yield int(self.bucket[g]), packed((self.states[self.state[g:h]], 8), (self.sizes[g:h], 4), (self.arcs[mine], 7), (self.counts[mine], 6))
+
+    def read(self, replies: dict[int, bytes]) -> None:
+        """The answers: total and kinds of each state, count of each gram."""
+        self.held, self.kinds, self.seen = (np.zeros(n, np.int64) for n in (len(self.states), len(self.states), len(self.of)))
+        groups, arcs = self.cuts()
+        for g, h, i, j in zip(groups, groups[1:], arcs, arcs[1:]):
+            held, kinds, seen = unpacked(replies[int(self.bucket[g])], 8, 8, 8)
+            np.add.at(self.held, self.state[g:h], held)
+            np.add.at(self.kinds, self.state[g:h], kinds)
+            self.seen[self.order[i:j]] = seen
+
+
+def packed(*arrays: tuple[np.ndarray, int]) -> bytes:
+    """Arrays of 8-byte items with the bytes to keep of each, in byte planes, compressed."""
+    raw = b"".join(planes(np.ascontiguousarray(a), w) for a, w in arrays)
+    head = np.array([len(raw), *[len(a) for a, _ in arrays]], "<u4").tobytes()
+    return head + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *widths: int) -> list[np.ndarray]:
+    size, *lengths = np.frombuffer(data, "<u4", len(widths) + 1).tolist()
+    raw, at, out = pa.decompress(data[4 * len(widths) + 4 :], size, codec="zstd", asbytes=True), 0, []
+    for n, w in zip(lengths, widths):
+        out.append(unplaned(raw, np.int64, n, at, w))
+        at += n * w
+    return out
+
+
 class Texts:
-    """A block's texts as numbers of its words, and its n-grams with their training counts."""
+    """A block's texts as numbers of its words, and its n-grams by length."""
 
     def __init__(self, table: pa.Table, modulus: int, order: int, buckets: int, hot: dict[int, int]):
         ids = table.column("doc_id").to_pylist()
@@ -84,46 +137,110 @@ class Texts:
         self.ids, self.out = ids, np.array([held_out(i, modulus) for i in ids], bool)
         self.sizes = np.array(sizes, np.int64)
         self.word = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-        self.train = np.repeat(~self.out, self.sizes)
+        train = np.repeat(~self.out, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         h = np.array([xxh64_intdigest(w, SEED) for w in met], np.uint64)
-        self.order, self.buckets, n = order, buckets, len(h)
-        # per order: number of each token's n-gram, of its state; then of each n-gram hash, count, bucket, state
-        self.gram, self.state, self.asks = [self.word], [np.zeros(len(self.word), np.int64)], []
-        counts = np.bincount(self.word, self.train, n).astype(np.int64)
-        self.asks.append((h, counts, bucket_of(h, buckets), None, None))
-        hashes = h
+        self.order, self.n = order, len(h)
+        counts = np.bincount(self.word, train, self.n).astype(np.int64)
+        nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.levels = [Level(np.ones(1, np.uint64), np.zeros(self.n, np.int64), h, counts, bucket_of(h, buckets), nothing, 0)]
+        # of each level: a gram's last word, and the number of the gram one word shorter (its last words) at the level below
+        self.last, self.shorter = [np.arange(self.n)], [np.zeros(self.n, np.int64)]
+        hashes, gram = h, self.word
+        place = np.arange(len(self.word)) - np.repeat(self.starts, self.sizes)
         for k in range(2, order + 1):
-            before = np.full(len(self.word), len(hashes), np.int64)  # the beginning of a text
-            before[1:] = self.gram[-1][:-1]
-            before[self.starts[self.sizes > 0]] = len(hashes)
+            # the state past the grams is the beginning of a text, of one word's length; at higher levels it stands for no state
+            before = np.full(len(self.word), len(hashes), np.int64)
+            before[1:] = gram[:-1]
+            before[place < max(k - 2, 1)] = len(hashes)
             states = np.append(mix(hashes, np.full(1, k, np.uint64)), np.full(1, k, np.uint64) * MIX)
-            grams, gram, seen = np.unique(before * n + self.word, return_inverse=True, return_counts=True)
-            counts = np.bincount(gram, self.train, len(grams)).astype(np.int64)
-            of, w = grams // n, grams % n
+            below = gram
+            grams, where, gram = np.unique(before * self.n + self.word, return_index=True, return_inverse=True)
+            counts = np.bincount(gram, train, len(grams)).astype(np.int64)
+            of, w = grams // self.n, grams % self.n
             hashes = mix(states[of], h[w])
-            code = (states[of] & np.uint64(0xFFFFFFFFF0000000)) | np.maximum(hashes >> np.uint64(36), np.uint64(1))
-            bucket, probes = bucket_of(states << np.uint64(20), buckets)[of], None
+            at = bucket_of(states, buckets)
+            bucket, probes = at[of], nothing
             if k == 2 and hot:
-                parts_of = np.ones(n + 1, np.int64)
+                parts_of = np.ones(self.n + 1, np.int64)
                 parts_of[:-1] = [hot.get(x, 1) for x in h.view(np.int64).tolist()]
                 bucket = (bucket + (hashes >> np.uint64(40)).astype(np.int64) % parts_of[of]) % buckets
-                split = np.flatnonzero((parts_of > 1) & (np.bincount(of, minlength=n + 1) > 0))
-                probes = np.repeat(split, parts_of[split])
-                nth = np.arange(len(probes)) - np.repeat(np.cumsum(parts_of[split]) - parts_of[split], parts_of[split])
-                at = bucket_of(states << np.uint64(20), buckets)
-                code = np.append(code, states[probes] & np.uint64(0xFFFFFFFFF0000000))
-                counts = np.append(counts, np.zeros(len(probes), np.int64))
-                bucket = np.append(bucket, (at[probes] + nth) % buckets)
-            self.gram.append(gram)
-            self.state.append(before)
-            self.asks.append((code, counts, bucket + (k - 1) * buckets, of, probes))
-
-    def questions(self):
-        """(codes, counts, buckets) in order of bucket and code, and each one's place by order."""
-        code, counts, bucket = (np.concatenate([a[i] for a in self.asks]) for i in range(3))
-        order = np.lexsort((code, bucket))
-        return order, code[order], counts[order], bucket[order]
+                split = np.flatnonzero((parts_of > 1) & (np.bincount(of, minlength=self.n + 1) > 0))
+                probe = np.repeat(split, parts_of[split])
+                nth = np.arange(len(probe)) - np.repeat(np.cumsum(parts_of[split]) - parts_of[split], parts_of[split])
+                probes = ((at[probe] + nth) % buckets, probe)
+            self.levels.append(Level(states, of, hashes, counts, bucket, probes, (k - 1) * buckets))
+            self.last.append(w)
+            self.shorter.append(below[where])
+
+    def rows(self, block: int) -> pa.Table:
+        rows = [r for level in self.levels for r in level.rows()]
+        return pa.table(
+            {
+                "_block": pa.array(np.full(len(rows), block, np.int32)),
+                "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                "data": pa.array([r[1] for r in rows], pa.binary()),
+            }
+        )
+
+
+class Automaton:
+    """The part of the automaton that a block's texts meet.
+
+    State 0 is the empty one; then, level by level, every state that training tokens have followed.  arcs finds the arc of
+    (state, word); an arc has a weight and the state it leads to; a state has a failure arc with its weight.
+    """
+
+    def __init__(self, t: Texts, total: int, kinds: int, delta: float, discount: float):
+        self.n = max(t.n, 1)
+        root = t.levels[0]
+        p = (root.seen + delta) / (total + delta * (kinds + 1))
+        self.base, self.known = np.log10(p), root.seen > 0
+        for level in t.levels[2:]:
+            level.held[-1] = 0
+        live = [level.held > 0 for level in t.levels]
+        number, ends = [np.zeros(1, np.int64)], 1
+        for alive in live[1:]:
+            number.append(ends + np.cumsum(alive) - 1)
+            ends += int(alive.sum())
+        # the state to be in for a context of each level: its own, or the one of its last words
+        here = [np.zeros(1, np.int64)]
+        for k in range(1, t.order):
+            below = np.append(here[k - 1][t.shorter[k - 1]] if k > 1 else np.zeros(t.n, np.int64), here[k - 1][-1])
+            here.append(np.where(live[k], number[k], below))
+        fail, back = [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, weights, goto = [], [], []
+        for k, level in enumerate(t.levels):
+            if k:
+                alive = live[k]
+                below = np.append(here[k - 1][t.shorter[k - 1]] if k > 1 else np.zeros(t.n, np.int64), here[k - 1][-1])
+                fail.append(below[alive])
+                back.append(np.log10(discount * level.kinds[alive] / level.held[alive]))
+                share = discount * level.kinds[level.of] * p[t.shorter[k]]
+                p = np.where(alive[level.of], (np.maximum(level.seen - discount, 0) + share) / np.maximum(level.held[level.of], 1), p[t.shorter[k]])
+            arc = np.flatnonzero((level.seen > 0) & live[k][level.of]) if k else np.arange(t.n)
+            keys.append(number[k][level.of[arc]] * self.n + t.last[k][arc])
+            weights.append(np.log10(p[arc]))
+            # after a gram of the longest kind its last words are the context
+            goto.append(here[k + 1][arc] if k + 1 < t.order else here[k][t.shorter[k][arc]])
+        self.fail, self.back = np.concatenate(fail).tolist(), np.concatenate(back).tolist()
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
+        self.weight, self.goto = np.concatenate(weights).tolist(), np.concatenate(goto).tolist()
+        self.start = int(here[-1][-1])
+
+    def read(self, words: list[int]) -> float:
+        """The log10 probability of a text, read from left to right."""
+        arcs, weight, goto, fail, back, n = self.arcs, self.weight, self.goto, self.fail, self.back, self.n
+        state, total = self.start, 0.0
+        for w in words:
+            arc = arcs.get(state * n + w)
+            while arc is None:
+                total += back[state]
+                state = fail[state]
+                arc = arcs.get(state * n + w)
+            total += weight[arc]
+            state = goto[arc]
+        return total
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -132,28 +249,25 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def count_bucket(buckets: int):
-    """A function that adds up one bucket: (count, state's count, state's kinds of next words) for every entry."""
-
-    def run(table):
-        sizes, (code, counts) = gathered(table, [(np.uint64, 8), (np.int64, 8)])
-        first = table.column("bucket")[0].as_py() < buckets
-        order = np.argsort(code, kind="stable")
-        new = np.flatnonzero(np.diff(code[order], prepend=~code[order][:1]))
-        total = np.add.reduceat(counts[order], new)
-        if first:
-            sums = np.zeros((len(new), 3), np.int64)
-        else:
-            state = code[order][new] >> np.uint64(28)
-            head = np.flatnonzero(np.diff(state, prepend=~state[:1]))
-            size = np.diff(np.append(head, len(new)))
-            sums = np.stack([total, np.repeat(np.add.reduceat(total, head), size), np.repeat(np.add.reduceat((total > 0).astype(np.int64), head), size)], axis=1)
-        sums[:, 0] = total
-        back = np.empty((len(code), 3), np.int64)
-        back[order] = np.repeat(sums, np.diff(np.append(new, len(code))), axis=0)
-        return answered(table, sizes, *back.T.copy())
-
-    return run
+def count_bucket(table: pa.Table) -> pa.Table:
+    """One bucket's answers to each row: total count and kinds of next words of its states, count of its arcs, over all blocks."""
+    found = [unpacked(d, 8, 4, 7, 6) for d in table.column("data").to_pylist()]
+    states, sizes, arcs, counts = (np.concatenate([f[i] for f in found]) for i in range(4))
+    groups, lengths = [len(f[0]) for f in found], [len(f[2]) for f in found]
+    kinds, at = np.unique(states, return_inverse=True)
+    of = np.repeat(at, sizes)
+    order = np.lexsort((arcs, of))
+    new = np.flatnonzero((np.diff(arcs[order], prepend=-1) != 0) | (np.diff(of[order], prepend=-1) != 0))
+    total = np.add.reduceat(counts[order], new) if len(new) else counts
+    back = np.empty(len(arcs), np.int64)
+    back[order] = np.repeat(total, np.diff(np.append(new, len(arcs))))
+    held, after = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    np.add.at(held, of[order[new]], total)
+    np.add.at(after, of[order[new]], total > 0)
+    g, a = np.append(0, np.cumsum(groups)).tolist(), np.append(0, np.cumsum(lengths)).tolist()
+    held, after = held[at], after[at]
+    rows = [packed((held[i:j], 8), (after[i:j], 8), (back[x:y], 8)) for i, j, x, y in zip(g, g[1:], a, a[1:])]
+    return pa.table({"_block": table.column("_block"), "bucket": table.column("bucket"), "data": pa.array(rows, pa.binary())})
 
 
 def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1, discount: float = 0.75) -> DataFrame:
@@ -167,34 +281,18 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
     hot = {r["word"]: min(buckets, 1 + int(4 * buckets * r["n"] / total)) for r in often}
 
     def ask(key, table):
-        t = Texts(table, modulus, order, buckets, hot)
-        _, code, counts, bucket = t.questions()
-        return asked(key[0].as_py(), bucket, (code, 8), (counts, 8))
+        return Texts(table, modulus, order, buckets, hot).rows(key[0].as_py())
 
     def settle(key, table, replies):
         t = Texts(table, modulus, order, buckets, hot)
-        place, *_ = t.questions()
-        back = np.empty((len(place), 3), np.int64)
-        back[place] = answers(replies, 3)
-        at = len(t.asks[0][0])
-        known = back[:at, 0][t.word]
-        p = (known + delta) / (total + delta * (kinds + 1))
-        base = np.log10(p)
-        for k in range(1, order):
-            code, _, _, of, probes = t.asks[k]
-            mine, at = back[at : at + len(code)], at + len(code)
-            n_states = int(t.state[k].max(initial=0)) + 1
-            held, after = np.zeros(n_states, np.int64), np.zeros(n_states, np.int64)
-            held[of], after[of] = mine[: len(of), 1], mine[: len(of), 2]
-            if probes is not None and len(probes):
-                held[probes] = after[probes] = 0
-                np.add.at(held, probes, mine[len(of) :, 1])
-                np.add.at(after, probes, mine[len(of) :, 2])
-            c, s = mine[: len(of), 0][t.gram[k]], t.state[k]
-            arc, fail = np.maximum(c - discount, 0), discount * after[s]
-            p = np.where(held[s] > 0, (arc + fail * p) / np.maximum(held[s], 1), p)
+        of = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist()))
+        for level in t.levels:
+            level.read(of)
+        del of
+        a = Automaton(t, total, kinds, delta, discount)
+        read = [a.read(t.word[i : i + n].tolist()) for i, n in zip(t.starts.tolist(), t.sizes.tolist())]
         doc = np.repeat(np.arange(len(t.sizes)), t.sizes)
-        sums = [np.bincount(doc, x, len(t.sizes)) for x in (known > 0, base, np.log10(p))]
+        sums = [np.bincount(doc, x[t.word], len(t.sizes)) for x in (a.known, a.base)] + [np.array(read, np.float64)]
         return pa.table(
             {
                 "doc_id": pa.array(t.ids, pa.int64()),
@@ -207,7 +305,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
             }
         )
 
-    counted = own.groupBy("_block").applyInArrow(lean(ask), ASKED).groupBy("bucket").applyInArrow(lean(count_bucket(buckets)), ASKED)
+    counted = own.groupBy("_block").applyInArrow(lean(ask), ASKED).groupBy("bucket").applyInArrow(lean(count_bucket), ASKED)
     return (
         own.groupBy("_block")
         .cogroup(counted.groupBy("_block"))
