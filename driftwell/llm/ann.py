@@ -7,8 +7,8 @@ up one looked-up inner product per book (for squared distances with the stored n
 rows passes its best `rerank` distinct vectors a query (and those tied with the last) on to exact scoring with the original
 vectors, with all their ids.
 
-The queries are taken in blocks of a fixed size, each broadcast over one pass of all coded rows, so memory
-is bounded whatever the number of either.
+Queries and coded rows are packed in blocks of a fixed size, and Spark brings every block of queries to every block of rows, so
+memory is bounded whatever the number of either; a task keeps the best `top` of the blocks it has seen.
 
 Rows: vectors that are null, empty, zero, of another dimension than the sample's most common one, or hold null or
 non-finite components take no part.  Repeated ids are separate candidates but never match their own
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 BLOCK = 4096
+HELD = 400
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return top, (sums * sums).sum(1)
 
 
-def build(vectors: DataFrame, books: int = 8, size: int = 128, beam: int = 4, sample_rows: int = 8000) -> tuple[DataFrame, np.ndarray]:
+def build(vectors: DataFrame, books: int = 16, size: int = 256, beam: int = 4, sample_rows: int = 8000) -> tuple[DataFrame, np.ndarray]:
     """The coded table (vec_id, v, codes, norm) of every usable row, and the codebooks, fitted on sample_rows rows."""
     good = usable(vectors)
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()["v"]  # bounded
@@ -161,46 +162,76 @@ def scan(queries, block, books: np.ndarray, top: int, rerank: int, metric: str):
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def in_rows(coded: DataFrame, width: int, count: int) -> DataFrame:
+    """The coded table in rows of about BLOCK vectors: (ids, starts) of distinct_rows(), then vectors, codes and norms of the distinct vectors."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids, x = t.column(0).to_numpy(), matrix(t.column(1).chunk(0), width)
+            first, ids, starts = distinct_rows(ids, x)
+            parts = ids, starts, x[first], matrix(t.column(2).chunk(0), count)[first], t.column(3).to_numpy()[first]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["ids", "starts", "x", "codes", "norms"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                held.append(batch.slice(at, BLOCK))
+                if sum(h.num_rows for h in held) >= BLOCK:
+                    yield out()
+        if held:
+            yield out()
+
+    return coded.mapInArrow(run, "ids binary, starts binary, x binary, codes binary, norms binary")
+
+
 def search(
-    coded: DataFrame, books: np.ndarray, queries: DataFrame, top: int = 20, rerank: int = 160, metric: str = "ip", query_block: int = 2048
+    coded: DataFrame, books: np.ndarray, queries: DataFrame, top: int = 20, rerank: int = 320, metric: str = "ip", query_block: int = 1024
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query (vec_id, v): the largest inner products, or ("l2") smallest distances, negated."""
     spark, width, count = coded.sparkSession, books.shape[2], books.shape[0]
-    queries = queries.where(F.size("v") == width)
-    blocks = max(1, -(-queries.count() // query_block))
-    marked = stash(queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")))
-    found = None
-    for b in range(blocks):
-        rows = marked.where(F.col("block") == b).select("vec_id", "v").distinct().toPandas()  # about query_block rows
-        mine = (rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64).reshape(-1, width))
-        shared = spark.sparkContext.broadcast((*mine, books))
-
-        def run(batches, shared=shared):
-            qids, q, c = shared.value
-            held: list[pa.RecordBatch] = []
-
-            def out():
-                t = pa.Table.from_batches(held).combine_chunks()
-                ids, x = t.column(0).to_numpy(), matrix(t.column(1).chunk(0), width)
-                first, ids, starts = distinct_rows(ids, x)
-                block = ids, starts, x[first], matrix(t.column(2).chunk(0), count)[first], t.column(3).to_numpy()[first]
+    queries = queries.where(F.size("v") == width).select("vec_id", "v").distinct()
+    n = max(1, -(-queries.count() // query_block))
+
+    def pack(key, table):
+        q = matrix(table.column("v").combine_chunks(), width)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "qids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
+
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, "block int, qids binary, q binary")
+    shared = spark.sparkContext.broadcast(books)  # of fixed size
+
+    def run(batches):
+        best: dict[int, list] = {}
+
+        def out():
+            for found in best.values():
+                at, ids, exact = (np.concatenate(v) for v in zip(*found))
+                order = np.lexsort((ids, -exact, at))
+                at, ids, exact = at[order], ids[order], exact[order]
+                heads = np.flatnonzero(np.diff(at, prepend=at[:1] - 1))
+                nth = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+                yield pa.RecordBatch.from_arrays([pa.array(v[nth < top]) for v in (at, ids, exact)], ["query_id", "vec_id", "score"])
+            best.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                qids, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, width)
+                ids, starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
+                block = ids, starts, np.frombuffer(row["x"], np.float64).reshape(-1, width), np.frombuffer(row["codes"], np.int16).reshape(-1, count), np.frombuffer(row["norms"], np.float32)
+                found = best.setdefault(row["block"], [])
                 for at in range(0, len(q), 256):
-                    part = scan((qids[at : at + 256], q[at : at + 256]), block, c, top, rerank, metric)
-                    yield pa.RecordBatch.from_arrays([pa.array(p) for p in part], ["query_id", "vec_id", "score"])
-                held.clear()
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    held.append(batch.slice(at, BLOCK))
-                    if sum(h.num_rows for h in held) >= BLOCK:
-                        yield from out()
-            if held and len(q):
-                yield from out()
-
-        part = coded.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+                    found.append(scan((qids[at : at + 256], q[at : at + 256]), block, shared.value, top, rerank, metric))
+                if sum(map(len, best.values())) > HELD:
+                    yield from out()
+        yield from out()
+
+    # the stated queries against all rows, block by block
+    pairs = stash(in_rows(coded, width, count)).crossJoin(stash(asked))
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
