@@ -5,11 +5,15 @@ others; equal seeds of a document and a benchmark item align the two.  Around ev
 are compared, and the document is contaminated if some window of `window` words (the whole item, if
 shorter) that touches the hit agrees in at least `similarity` of them.
 
-All documents' seeds pass a Bloom filter of the benchmark's seeds, of a fixed number of bits whatever the
-benchmark's size; what passes is joined on the seed, by whichever join Spark picks.
+No window that agrees well enough is lost: two substitutions in 13 words (or in 10 to 12) leave a mask whole, and so does one in 8
+or 9.  Items of five to seven words, in which one word may differ, are sought by four masks of four words as well, if there are any.
+
+All documents' seeds pass a Bloom filter of the benchmark's seeds, of 16 bits a seed at least and 2**MOST_BITS in all; what
+passes is joined on the seed, by whichever join Spark picks.  A seed that many items hold (a stock phrase) is dealt out by item.
 
 Rows: null texts and items have no words.  Items of fewer than five words have no seed and can't be told
-from common phrases; they are reported by items_without_seeds().  Repeated rows count once per id; extra
+from common phrases; they are reported by items_without_seeds().  Repeated rows count once per id; documents with a null doc_id are
+searched as well and reported together under null, and each stays or goes by its own text; extra
 columns are ignored; empty tables give an empty result.
 """
 
@@ -26,9 +30,12 @@ from xxhash import xxh64_intdigest
 from .common import stash
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 2, 4, 6, 8))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))  # for items of five to SHORT words
+SHORT = 7
 WORD = re.compile(r"\w+")
 KEPT = 300_000
-BITS = 24
+LEAST_BITS, MOST_BITS = 20, 30
+MANY = 64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -47,21 +54,21 @@ class Words:
         return np.fromiter(map(self.met.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray):
-    """(mask number, seed at each start) for every mask that fits."""
-    for m, mask in enumerate(MASKS):
+def seeds(words: np.ndarray, short: bool):
+    """(span, seed at each start) for every mask that fits, those of short items only if wanted."""
+    for m, mask in enumerate(MASKS + SHORT_MASKS if short else MASKS):
         n = len(words) - mask[-1]
         if n > 0:
             h = np.full(n, m + 1, np.uint64)
             for odd, off in zip(ODD, mask):
                 h = (h ^ words[off : off + n]) * odd
                 h ^= h >> np.uint64(29)
-            yield m, h
+            yield mask[-1] + 1, h
 
 
-def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The two Bloom filter bits of each seed."""
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), ((h * ODD[0]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h * ODD[0]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def around(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -93,10 +100,10 @@ def item_seeds(benchmark: DataFrame, window: int) -> DataFrame:
             ids, seed, span, near, n = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = hashed(t)
-                for m, h in seeds(w):
+                for wide, h in seeds(w, len(w) <= SHORT):
                     ids.append(np.full(len(h), i, np.int64))
                     seed.append(h)
-                    span.append(np.full(len(h), MASKS[m][-1] + 1, np.int32))
+                    span.append(np.full(len(h), wide, np.int32))
                     near.append(around(w, np.arange(len(h)), window))
                     n.append(np.full(len(h), len(w), np.int32))
             yield rows_of(ids, seed, span, near, width, [n])
@@ -109,56 +116,62 @@ def item_seeds(benchmark: DataFrame, window: int) -> DataFrame:
     )
 
 
-def bloom(seeds_of_items: DataFrame) -> np.ndarray:
-    """A filter of 2**BITS bits, put together in Spark word by word."""
+def bloom(seeds_of_items: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2**bits bits, put together in Spark word by word."""
 
     def run(batches):
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
-            bits = np.unique(np.concatenate(probes(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 5), pa.array(np.left_shift(1, bits & 31))], ["word", "bit"])
+            at = np.unique(np.concatenate(probes(h, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], ["word", "bit"])
 
     words = (
         seeds_of_items.select("seed").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     )
-    out = np.zeros(1 << (BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, agreeing, window, hits): every document and item with a window that agrees well enough."""
+def matches(docs: DataFrame, benchmark: DataFrame, key: str, window: int = 13, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, agreeing, window, hits): every value of the column `key` of docs and item with a window that agrees well enough."""
     items = stash(item_seeds(benchmark, window))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.packbits(bloom(items)))  # 2 MiB
+    n, least = items.agg(F.count("*"), F.min("words")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    short = least is not None and least <= SHORT
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(items, bits))  # 2**MOST_BITS bits at most
 
     def search(batches):
         hashed, width = Words(), 2 * window + 8
-        filled = np.unpackbits(shared.value).view(bool)
+        filled = np.unpackbits(shared.value, bitorder="little").view(bool) if bits <= 24 else None
+        found = (lambda at: filled[at]) if bits <= 24 else (lambda at: shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
         for batch in batches:
             ids, seed, span, near, held = [], [], [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in enumerate(batch.column(1).to_pylist()):
                 w = hashed(t)
-                for m, h in seeds(w):
-                    a, b = probes(h)
-                    at = np.flatnonzero(filled[a])
-                    at = at[filled[b[at]]]
+                for wide, h in seeds(w, short):
+                    a, b = probes(h, bits)
+                    at = np.flatnonzero(found(a))
+                    at = at[found(b[at])]
                     for k in range(0, len(at), 4096):
                         part = at[k : k + 4096]
                         ids.append(np.full(len(part), i, np.int64))
                         seed.append(h[part])
-                        span.append(np.full(len(part), MASKS[m][-1] + 1, np.int32))
+                        span.append(np.full(len(part), wide, np.int32))
                         near.append(around(w, part, window))
                         held += len(part)
                         if held >= 16384:
-                            yield rows_of(ids, seed, span, near, width, [])
+                            yield named(rows_of(ids, seed, span, near, width, []), batch)
                             ids, seed, span, near, held = [], [], [], [], 0
-            yield rows_of(ids, seed, span, near, width, [])
+            yield named(rows_of(ids, seed, span, near, width, []), batch)
+
+    def named(rows, batch):
+        """The rows with the ids of the batch's documents in place of their numbers."""
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows.column(0)), *rows.columns[1:]], rows.schema.names)
 
     hits = (
-        docs.where("doc_id is not null")
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(search, "id long, seed long, span int, near binary")
+        docs.select(F.col(key).alias("id"), F.col("text").cast("string"))
+        .mapInArrow(search, f"id {docs.schema[key].dataType.simpleString()}, seed long, span int, near binary")
         .withColumnRenamed("id", "doc_id")
     )
 
@@ -183,21 +196,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, simila
                 ["doc_id", "item_id", "agreeing", "window"],
             )
 
+    # a seed of many items is dealt to parts by item, and its hits are held against each part; a seed of many hits is Spark's to split
+    often = items.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("seed", F.ceil(F.col("n") / MANY).cast("int").alias("parts"))
+    parts = items.join(often, "seed", "left").withColumn("part", F.pmod(F.xxhash64("item_id", "near2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = hits.join(often, "seed", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return (
-        hits.join(items, "seed")
+        spread.join(parts, ["seed", "part"])
         .select("doc_id", "item_id", "span", "words", "near", "near2")
-        .mapInArrow(verify, "doc_id long, item_id long, agreeing int, window int")
+        .mapInArrow(verify, f"doc_id {docs.schema[key].dataType.simpleString()}, item_id long, agreeing int, window int")
         .groupBy("doc_id", "item_id")
         .agg(F.max("agreeing").alias("agreeing"), F.max("window").alias("window"), F.count("*").alias("hits"))
     )
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, agreeing, window, hits): every document and item with a window that agrees well enough."""
+    return matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "doc_id", window, similarity)
+
+
 def items_without_seeds(benchmark: DataFrame) -> DataFrame:
     """item_id of the items with fewer than five words."""
     return benchmark.where(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+)"), 1)) < 5).select("item_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark passage."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of docs whose text holds no benchmark passage; a row goes by its text, whatever its doc_id."""
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    bad = matches(docs.select(digest.alias("digest"), "text"), benchmark, "digest").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, digest == F.col("_bad"), "left_anti")
