@@ -76,31 +76,40 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, at: np.ndarray, x: np.ndarray, label: float, weight: float) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, label: float, weight: float) -> float:
+        """One row's update; its weighted loss before."""
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(np.dot(w, x), -35, 35)))
         g = (p - label) * weight * x
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
+        return -weight * np.log(p if label else 1 - p)
 
 
 def with_bias(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, SIZE - 1), np.append(x, 1.0)
 
 
-def one_epoch(state, epoch: int, passes: int, balance: dict[float, float], rates: tuple[float, ...]):
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, one after the other, and where each list starts."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+
+
+def one_epoch(state, epoch: int, passes: int, enough: float, balance: dict[float, float], rates: tuple[float, ...]):
     """A function that takes one group of rows through the updates and returns the places that moved, and by how much."""
 
     def run(table: pa.Table) -> pa.Table:
         m = Ftrl(*(a.copy() for a in state.value), *rates)
-        at, x, y = (table.column(c).to_pylist() for c in ("at", "x", "y"))
-        order = np.argsort(table.column("_id").to_numpy(), kind="stable")
-        rows = [(np.array(at[i]), np.array(x[i], np.float64), y[i]) for i in order.tolist()]
+        y, order = table.column("y").to_pylist(), np.argsort(table.column("_id").to_numpy(), kind="stable")
+        (at, ends), (x, _) = flat(table.column("at")), flat(table.column("x"))
+        rows = [(at[ends[i] : ends[i + 1]], x[ends[i] : ends[i + 1]], y[i]) for i in order.tolist()]
         rng = np.random.default_rng(epoch)
         for _ in range(passes):
-            for i in rng.permutation(len(rows)).tolist():
-                m.learn(*rows[i], balance[rows[i][2]])
+            loss = sum(m.learn(*rows[i], balance[rows[i][2]]) for i in rng.permutation(len(rows)).tolist())
+            if loss <= enough * len(rows):
+                break
         moved = np.flatnonzero((m.z != state.value[0]) | (m.n != state.value[1]))
         return pa.table({"place": moved, "z": m.z[moved] - state.value[0][moved], "n": m.n[moved] - state.value[1][moved]})
 
@@ -113,7 +122,8 @@ def train(
     label: str = "quality",
     max_rows: int = 12_000,
     epochs: int = 3,
-    updates: int = 20_000,
+    passes: int = 30,
+    enough: float = 0.05,
     parts: int = 4,
     alpha: float = 0.5,
     beta: float = 1.0,
@@ -122,9 +132,10 @@ def train(
 ) -> np.ndarray:
     """Dense weights (2**BITS places and the bias) for P(label = 1), from at most max_rows labelled rows.
 
-    Rows are gone through `epochs` times, or more often (40 times at most) until there have been `updates` updates.
+    In each of `epochs` rounds, each of `parts` groups goes through its rows until a pass has a mean loss of `enough` or less, `passes` times at most.
 
-    The two classes get equal total weight, the bias takes up their true odds afterwards.
+    The two classes get equal total weight; half of their log odds goes to the bias afterwards.  With labels of one class only there is
+    nothing to learn from a text: all weights are zero and the bias is 3 for class 1, -3 for class 0.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("double").alias("_y"))
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -153,15 +164,14 @@ def train(
         if odds:
             w[-1] = 3.0 if 1.0 in odds else -3.0
         return w
-    # few rows are gone through more often, and by fewer groups
-    passes, parts = max(1, -(-min(40, updates // total) // epochs)), max(1, min(parts, total // 1000))
     balance = {y: total / (2 * n) for y, n in odds.items()}
     z, n = np.zeros(SIZE), np.zeros(SIZE)
     spread = rows.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
+    parts = max(1, parts)
     for epoch in range(epochs):
         state = spread.sparkSession.sparkContext.broadcast((z, n))  # a fixed number of places
 
-        step = spread.groupBy("part").applyInArrow(one_epoch(state, epoch, passes, balance, (alpha, beta, l1, l2)), "place long, z double, n double").groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
+        step = spread.groupBy("part").applyInArrow(one_epoch(state, epoch, passes, enough, balance, (alpha, beta, l1, l2)), "place long, z double, n double").groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
         z[step["place"]] += step["z"] / parts
         n[step["place"]] += step["n"] / parts
     weights = Ftrl(z, n, alpha, beta, l1, l2).weights(slice(None))

@@ -322,6 +322,28 @@ def test_quality_held_out(spark, sf_dir):
     assert (good[:, None] > bad[None, :]).mean() > 0.9 and (held["predicted"] == held["quality"]).mean() > 0.85
 
 
+def test_ftrl_against_a_plain_version(spark):
+    rng = np.random.default_rng(31)
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.5, 1.0, 0.05, 0.1
+    m = quality.Ftrl(np.zeros(50), np.zeros(50), alpha, beta, l1, l2)
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        at = np.sort(rng.choice(50, 8, replace=False))
+        x, label = rng.normal(size=8), float(at[0] < 4)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at.tolist(), x.tolist()))))
+        for i, v, w in [(i, v, weight(i)) for i, v in zip(at.tolist(), x.tolist())]:
+            g = (p - label) * v
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+        m.learn(at, x, label, 1.0)
+    assert np.allclose(m.weights(slice(None)), [weight(i) for i in range(50)], atol=1e-9)
+
+
 def test_quality_edges(docs, none, texts, spark):
     labels = spark.createDataFrame([(1, 1, None), (2, None, 0), (999, 0, 1)], "doc_id long, quality int, text int")
     out = quality.held_out_scores(docs, labels).collect()
@@ -374,6 +396,47 @@ def test_lm(docs, texts, none, order):
 # --- 9 ---
 
 
+def brute_contaminated(text, item, window=13, similarity=0.8):
+    """Best agreement of any aligned window of the item's words (all of them, if fewer) with the text's, if it is enough."""
+    import re
+
+    d, w = (re.findall(r"\w+", (x or "").lower()) for x in (text, item))
+    n = min(len(w), window)
+    if len(w) < 5:
+        return False
+    least = math.ceil(similarity * n - 1e-9)
+    return any(sum(x == y for x, y in zip(d[i : i + n], w[j : j + n])) >= least for i in range(len(d) - n + 1) for j in range(len(w) - n + 1))
+
+
+def test_decontaminate_against_sliding_windows(spark):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(300)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, say(5 + i % 14)) for i in range(42)]
+    docs = []
+    for i in range(240):
+        w = list(items[i % 42][1])
+        for at in rng.sample(range(len(w)), rng.randrange(0, 4) if len(w) > 9 else rng.randrange(0, 2)):
+            w[at] = "changed"
+        docs.append((i if i % 9 else None, " ".join([*say(rng.randrange(0, 30)), *w, *say(rng.randrange(0, 30))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, w in items if brute_contaminated(t, " ".join(w))}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()} == want
+    kept = Counter(tuple(r) for r in decontaminate.drop_contaminated(df, bench).collect())
+    assert kept == Counter((d, t) for d, t in docs if not any(brute_contaminated(t, " ".join(w)) for _, w in items))
+
+
+def test_decontaminate_deals_out_common_seeds(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MANY", 3)
+    rng = random.Random(29)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    items = [(i, f"{say(9)} once upon a time there was {say(9)}") for i in range(30)]
+    docs = [(i, f"{say(8)} {items[i][1] if i < 10 else 'once upon a time there was'} {say(8)}") for i in range(40)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d, t in docs for i, w in items if brute_contaminated(t, w)} >= {(i, i) for i in range(10)}
+
+
 def test_decontaminate(spark):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -393,10 +456,10 @@ def test_decontaminate(spark):
         docs.append((i, t))
     docs += [(300, None), (301, ""), (302, "Five words, stand in HERE!"), (303, "five words stand over there"), (None, items[0][1]), (5, docs[5][1])]
     got = decontaminate.contaminated(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, seed int"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == leaks | {(302, 50)}
-    assert len(got) == len(leaks) + 1
+    want = leaks | {(302, 50), (None, 0)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in leaks} - {302}
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in leaks} - {302, None}
     assert [r["item_id"] for r in decontaminate.items_without_seeds(spark.createDataFrame(items[:22], "item_id long, text string")).collect()] == [51]
 
 
@@ -428,6 +491,19 @@ def test_ann(spark):
     assert found / (20 * len(got)) >= 0.95
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_on_the_table(spark, sf):
+    rows = registry.read(spark, f"/root/testdata/{sf}", "embeddings").select("vec_id", "embedding").toPandas()
+    x, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
+    got = registry.op10_ann(spark, f"/root/testdata/{sf}").toPandas()
+    found = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(got[got["query_id"] == ids[q]]["vec_id"]))
+    assert len(got) == 20 * (ids % 20 == 0).sum() and found / len(got) >= 0.98
+
+
 def test_ann_few_rows_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df).collect())

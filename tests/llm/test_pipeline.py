@@ -46,7 +46,7 @@ def test_one_of_each_group_stays(stages):
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] & sets[b]}
     assert not [p for p, j in like.items() if j >= 0.8 and set(p) <= kept]
     for i in set(ids) - kept:
-        assert max(j for p, j in like.items() if i in p) >= 0.65
+        assert max(j for p, j in like.items() if i in p) >= 0.8
     assert len(after) == len(kept)
 
 
