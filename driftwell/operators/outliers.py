@@ -1,8 +1,8 @@
 """Outlier detection by nearest neighbours.
 
-Neighbours are looked up in a bounded reference sample that every task gets (a documented parameter: the
-smallest hashes of the id), or, where the table is within that bound, in the whole table.  Points go
-through tasks in Arrow batches; distances are matrix products of a batch with the sample.
+Neighbours are exact at every size: points are packed in blocks, every block meets every block, distances are matrix products
+of a block's points with another's, and a running best k is kept.  The ensemble's members look at bounded samples, as that is
+the method.
 """
 
 from __future__ import annotations
@@ -16,45 +16,83 @@ from pyspark.sql import functions as F
 
 from driftwell.operators.frame import bounded_sample
 
-REFERENCE_ROWS = 20_000
+BLOCK = 4096
 METHODS = ("lof", "ldof", "distance_kth_nn", "distance_knn")
 
 
-def reference(df: DataFrame, key: str, vector: str, rows: int = REFERENCE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, points) of the reference sample, bounded by `rows`."""
+def reference(df: DataFrame, key: str, vector: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, points) of a sample bounded by `rows`, for the ensemble's members."""
     pdf = bounded_sample(df.where(F.col(vector).isNotNull()), rows, key).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).toPandas()
     return pdf["k"].to_numpy(np.int64), np.array(pdf["v"].tolist(), float)
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int, rows: int = REFERENCE_ROWS) -> DataFrame:
-    """(key, rank, neighbour, distance): each point's k nearest reference points other than itself, ties to the smaller id."""
-    ids, points = reference(df, key, vector, rows)
-    shared = df.sparkSession.sparkContext.broadcast((ids, points, (points * points).sum(1)))
+def in_blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows (ids, points) of up to BLOCK packed points each; null vectors are left out."""
 
     def run(batches):
-        rid, ref, norms = shared.value
+        held: list[pd.DataFrame] = []
+
+        def out():
+            all_of = pd.concat(held)
+            held.clear()
+            for at in range(0, len(all_of), BLOCK):
+                part = all_of.iloc[at : at + BLOCK]
+                yield pd.DataFrame({"ids": [part["k"].to_numpy(np.int64).tobytes()], "points": [np.array(part["v"].tolist(), float).tobytes()]})
+
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                x, own = np.array(part["v"].tolist(), float), part["k"].to_numpy(np.int64)
-                if not len(x) or not len(ref):
-                    continue
-                d2 = (x * x).sum(1)[:, None] + norms - 2 * x @ ref.T
-                d2[own[:, None] == rid] = np.inf
-                n = min(4 * k + 8, len(rid))
-                near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < len(rid) else np.tile(np.arange(n), (len(x), 1))
-                exact = np.sqrt(((x[:, None, :] - ref[near]) ** 2).sum(2))
-                exact[own[:, None] == rid[near]] = np.inf
-                order = np.lexsort((rid[near], exact), axis=1)[:, :k]
-                dist, who = np.take_along_axis(exact, order, 1), rid[np.take_along_axis(near, order, 1)]
-                live = np.isfinite(dist)
-                yield pd.DataFrame({"key": np.repeat(own, live.sum(1)), "rank": np.concatenate([np.arange(1, m + 1) for m in live.sum(1)]).astype(np.int32), "neighbour": who[live], "distance": dist[live]})
+            held.append(pdf)
+            if sum(map(len, held)) >= BLOCK:
+                yield from out()
+        if sum(map(len, held)):
+            yield from out()
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInPandas(run, "ids binary, points binary")
+
+
+def nearest_of(own: np.ndarray, x: np.ndarray, rid: np.ndarray, ref: np.ndarray, k: int) -> pd.DataFrame:
+    """(key, neighbour, distance): the k nearest of the points ref to each of x, other than itself, ties to the smaller id."""
+    norms, out = (ref * ref).sum(1), []
+    for at in range(0, len(x), 512):
+        mine, part = own[at : at + 512], x[at : at + 512]
+        d2 = (part * part).sum(1)[:, None] + norms - 2 * part @ ref.T
+        d2[mine[:, None] == rid] = np.inf
+        n = min(4 * k + 8, len(rid))
+        near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < len(rid) else np.tile(np.arange(n), (len(part), 1))
+        exact = np.sqrt(((part[:, None, :] - ref[near]) ** 2).sum(2))
+        exact[mine[:, None] == rid[near]] = np.inf
+        order = np.lexsort((rid[near], exact), axis=1)[:, :k]
+        dist, who = np.take_along_axis(exact, order, 1), rid[np.take_along_axis(near, order, 1)]
+        live = np.isfinite(dist)
+        out.append(pd.DataFrame({"key": np.repeat(mine, live.sum(1)), "neighbour": who[live], "distance": dist[live]}))
+    return pd.concat(out)
+
+
+def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(key, rank, neighbour, distance): each point's k nearest points other than itself, of the whole table, ties to the smaller id.
+
+    Every block of points meets every block; a task keeps the best k of what its points have met.
+    """
+    blocks = in_blocks(df, key, vector)
 
-    return (
-        df.where(F.col(vector).isNotNull())
-        .select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-        .mapInPandas(run, "key long, rank int, neighbour long, distance double")
-    )
+    def run(batches):
+        best: dict[bytes, pd.DataFrame] = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                own, rid = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ids2, np.int64)
+                x, ref = np.frombuffer(row.points, float).reshape(len(own), -1), np.frombuffer(row.points2, float).reshape(len(rid), -1)
+                found = nearest_of(own, x, rid, ref, k)
+                if row.ids in best:
+                    found = pd.concat([best[row.ids], found]).sort_values(["key", "distance", "neighbour"]).groupby("key").head(k)
+                best[row.ids] = found
+                if len(best) > 32:
+                    yield best.pop(next(iter(best)))
+        yield from best.values()
+
+    pairs = blocks.crossJoin(blocks.select(F.col("ids").alias("ids2"), F.col("points").alias("points2")))
+    met = pairs.mapInPandas(run, "key long, neighbour long, distance double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
+    return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("key", "rank", "neighbour", "distance")
 
 
 def distance_kth_nn(knn: DataFrame) -> DataFrame:
@@ -66,7 +104,7 @@ def distance_knn(knn: DataFrame) -> DataFrame:
 
 
 def lof(knn: DataFrame) -> DataFrame:
-    """(key, score): neighbours' mean local reachability density over the point's own; needs the whole table as reference."""
+    """(key, score): neighbours' mean local reachability density over the point's own."""
     kdist = knn.groupBy(F.col("key").alias("neighbour")).agg(F.max("distance").alias("kdist"))
     reach = knn.join(kdist, "neighbour").select("key", "neighbour", F.greatest("distance", "kdist").alias("reach"))
     lrd = reach.groupBy("key").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("lrd"))
