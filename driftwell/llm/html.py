@@ -2,8 +2,12 @@
 
 A tree builder reads tags with implied ends (a block ends an open paragraph, an item the item before it, a
 cell the cell before it, and so on); visibility rules drop scripts, styles, heads, templates, comments, fallback
-content, descriptions in svg and math, elements marked hidden and those styled away.  All options of a select are shown.  The layout keeps block spacing, line breaks, list
-marks with nesting, preformatted text and tables whose cells line up in columns.
+content (of object, noscript, iframe, audio, video, canvas), descriptions in svg and math, elements marked hidden and those styled away, by a
+style attribute or by a rule of a style element for a tag, classes and ids; visibility is handed down and can be given back to a child.
+All options of a select are shown.  The layout keeps block spacing, line breaks, list marks with nesting, preformatted text (tabs
+to every eighth place) and tables: cells keep their lines, spans their columns, and columns line up, for which WIDEST blanks are put in at most.
+
+Tags are found in time that grows with the page.  Elements more than DEEPEST deep are laid side by side, as in browsers.
 
 Rows: null and empty pages give an empty text.  Broken mark-up never fails; text outside any tag is kept.
 Repeated rows are rendered alike; extra columns are ignored; an empty table gives an empty result.
@@ -18,9 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|[!?/][^>]*>)", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-AWAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+AWAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+SHOWN = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+WIDEST, DEEPEST = 60, 512  # blanks put in at most to line up a column; elements in one another, as browsers keep it
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -46,25 +55,84 @@ FENCES = {"table", "td", "th", "caption", "object", "template", "html"}
 
 
 class Node:
-    __slots__ = ("children", "seen", "start", "tag")
-
-    def __init__(self, tag: str, seen: bool = True, start: int = 1):
-        self.tag, self.seen, self.start, self.children = tag, seen, start, []
-
-
-def visible(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether the element is shown, and an ordered list's first number."""
-    if tag in UNSEEN:
-        return False, 1
-    start = 1
-    if attributes:
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), a or b or c
-            if name == "hidden" or (name == "style" and AWAY.search(unescape(value))):
-                return False, 1
-            if name == "start" and tag == "ol" and re.fullmatch(r"-?\d{1,9}", value):
-                start = int(value)
-    return True, start
+    """An element: gone (not rendered), shown (visibility of its own: True, False or None), names for style rules, cells' spans."""
+
+    __slots__ = ("across", "children", "down", "gone", "names", "shown", "start", "tag")
+
+    def __init__(self, tag: str, gone: bool = False):
+        self.tag, self.gone, self.shown, self.start, self.names, self.across, self.down, self.children = tag, gone, None, 1, (), 1, 1, []
+
+
+def styled(style: str) -> tuple[bool, bool | None]:
+    """(display: none, visibility) of declarations; the last visibility counts."""
+    found = SHOWN.findall(style)
+    return bool(AWAY.search(style)), found[-1].lower() == "visible" if found else None
+
+
+def element(tag: str, attributes: str) -> Node:
+    node = Node(tag, tag in UNSEEN)
+    if not attributes or node.gone:
+        return node
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden":
+            node.gone = True
+        elif name == "style":
+            away, node.shown = styled(unescape(value))
+            node.gone |= away
+        elif name == "class":
+            node.names += tuple("." + x for x in unescape(value).split())
+        elif name == "id":
+            node.names += ("#" + unescape(value),)
+        elif name in ("start", "colspan", "rowspan") and re.fullmatch(r"-?\d{1,9}", value):
+            if name == "start":
+                node.start = int(value) if tag == "ol" else 1
+            elif name == "colspan":
+                node.across = min(max(int(value), 1), 1000)
+            else:
+                node.down = min(max(int(value), 1), 65534)
+    return node
+
+
+def rules_of(sheet: str) -> dict[str, list]:
+    """The rules of a style sheet that hide or show: by their first name (tag, .class or #id) lists of (names, away, shown).
+
+    Selectors are a tag, classes and ids without a space between; rules inside @media and the like don't apply, nor do longer selectors.
+    """
+    out: dict[str, list] = {}
+    depth, at, head = 0, 0, ""
+    sheet = " ".join(part.split("*/", 1)[-1] if i else part for i, part in enumerate(sheet.split("/*")))
+    for m in re.finditer(r"[{}]", sheet):
+        part, at = sheet[at : m.start()], m.end()
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                head = part.rsplit(";", 1)[-1]
+        else:
+            if depth == 1 and not head.lstrip().startswith("@") and len(head) < 10_000:
+                away, shown = styled(part)
+                if away or shown is not None:
+                    for one in head.split(","):
+                        if (k := SELECTOR.fullmatch(one.strip())) and one.strip():
+                            names = [*([k[1].lower()] if k[1] and k[1] != "*" else []), *re.findall(r"[.#][^.#]+", k[2])]
+                            out.setdefault(names[-1] if names else "*", []).append((set(names), away, shown))
+            depth = max(0, depth - 1)
+    return out
+
+
+def looks(node: Node, rules: dict[str, list], inherited: bool) -> tuple[bool, bool]:
+    """(rendered, text visible) of an element, by its own attributes before rules, later rules before earlier ones."""
+    if node.gone:
+        return False, False
+    if rules:
+        for name in ("*", node.tag, *node.names):
+            for names, away, shown in rules.get(name, ()):
+                if names <= {node.tag, *node.names}:
+                    if away:
+                        return False, False
+                    if shown is not None and node.shown is None:
+                        inherited = shown
+    return True, inherited if node.shown is None else node.shown
 
 
 def label_of(attributes: str) -> str:
@@ -72,9 +140,43 @@ def label_of(attributes: str) -> str:
     return next((unescape(a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() == "label"), "").strip()
 
 
+class Scanner:
+    """Finds mark-up in time that grows with the page: what can't be closed any more is told by the last place of each sign."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.plain = 0  # as far as here no tag was found to end
+
+    def mark(self, lt: int) -> tuple[int, str, str] | None:
+        """(end, name, attributes) of the tag, comment or declaration at a '<', the name empty unless it's a tag; None for plain text."""
+        html = self.html
+        nxt = html[lt + 1 : lt + 2]
+        if html.startswith("<!--", lt):
+            m = COMMENT_END.search(html, lt + 2)
+            return (m.end() if m else len(html)), "", ""
+        name = NAME.match(html, lt + 1)
+        if not name:
+            if nxt and nxt in "!?/" and self.last[">"] > lt:
+                return html.index(">", lt) + 1, "", ""
+            return None
+        at = name.end()
+        while True:
+            at = PLAIN.match(html, at).end()
+            if self.last[">"] < at:
+                self.plain = at
+                return None
+            if html[at] == ">":
+                return at + 1, name[0], html[name.end() : at]
+            quote = html[at]
+            # a quote that is never closed is a sign like any other
+            at = html.index(quote, at + 1) + 1 if self.last[quote] > at else at + 1
+
+
 def build(html: str) -> Node:
     """The page's tree; children are nodes and strings."""
     root = Node("html")
+    scanner = Scanner(html)
     stack, open_tags = [root], {"html": 1}
 
     def pop_to(depth: int) -> None:
@@ -95,21 +197,21 @@ def build(html: str) -> Node:
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
-        m = TAG.match(html, lt) if lt >= 0 else None
-        if lt < 0:
+        m = scanner.mark(lt) if lt >= 0 else None
+        if lt < 0 or (not m and scanner.last[">"] < lt):
             stack[-1].children.append(unescape(html[at:]))
             break
         if lt > at or not m:
-            end = lt if m else lt + 1
+            end = lt if m else max(lt + 1, scanner.plain)
             stack[-1].children.append(unescape(html[at:end]))
             if not m:
                 at = end
                 continue
-        at = m.end()
-        if not m[2]:
+        at, name, attributes = m
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lstrip("/").lower()
+        if name[0] == "/":
             if tag == "p" and not find({"p"}, FENCES):
                 stack[-1].children.append(Node("p"))
             elif d := find({tag}, FENCES - {tag} if tag in ("td", "th", "caption") else {"table"} - {tag} if tag not in ("tr", "thead", "tbody", "tfoot") else set()):
@@ -134,26 +236,37 @@ def build(html: str) -> Node:
                 pop_to(d)
         if tag in BLOCK - INNER and (d := find({"p"}, FENCES)):
             pop_to(d)
-        seen, start = visible(tag, m[3])
-        node = Node(tag, seen, start)
-        if tag in ("option", "optgroup") and (label := label_of(m[3])):
-            shown = Node(tag, seen)
+        node = element(tag, attributes)
+        if tag in ("option", "optgroup") and (label := label_of(attributes)):
+            shown = element(tag, attributes)
             shown.children.append(label)
             (stack[-1] if tag == "option" else node).children.append(shown)
-            node.seen &= tag == "optgroup"
+            node.gone |= tag == "option"
         stack[-1].children.append(node)
-        if tag in VOID or (m[3].endswith("/") and (open_tags.get("svg") or open_tags.get("math"))):
+        if tag in VOID or (attributes.endswith("/") and (open_tags.get("svg") or open_tags.get("math"))):
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
             node.children.append(unescape(html[at : end.start() if end else n]) if tag in ("textarea", "title") else html[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        stack.append(node)
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        if len(stack) < DEEPEST:
+            stack.append(node)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
 
 
+def sheets(root: Node) -> str:
+    """The text of all style elements."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            out.append("".join(c for c in node.children if isinstance(c, str)))
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return "\n".join(out)
+
+
 class Flow:
     """Lines of a block being laid out."""
 
@@ -187,15 +300,49 @@ class Flow:
         return self.lines
 
 
-def table_lines(rows: list[list[str]]) -> list[str]:
-    """The rows' cells lined up in columns, two blanks between them."""
-    wide: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(wide):
-                wide.append(0)
-            wide[i] = max(wide[i], len(cell))
-    return ["  ".join(c.ljust(w) for c, w in zip(row, wide)).rstrip() for row in rows if any(row)]
+class Table:
+    """Cells by row and column, spans kept free."""
+
+    def __init__(self, flow: Flow):
+        self.flow, self.rows, self.taken = flow, [], {}
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def cell(self, across: int, down: int):
+        """A place for a cell's lines in the current row: (column, columns, lines)."""
+        if not self.rows:
+            self.row()
+        row = self.rows[-1]
+        at = row[-1][0] + row[-1][1] if row else 0
+        while self.taken.get(at, 0) >= len(self.rows):  # the last row that a cell above reaches into
+            at += 1
+        if down > 1:
+            self.taken |= dict.fromkeys(range(at, at + across), len(self.rows) + down - 1)
+        row.append((at, across, []))
+        return row[-1][2]
+
+    def lines(self) -> list[str]:
+        """The cells lined up in columns, two blanks between them; a cell wider than WIDEST is whole but moves what follows it."""
+        wide: dict[int, int] = {}
+        for row in self.rows:
+            for at, across, lines in row:
+                held = max(map(len, lines), default=0)
+                wide[at] = max(wide.get(at, 0), min(held, WIDEST) if across == 1 else 0)
+        left, x = {}, 0
+        for c in sorted(wide):
+            left[c] = x
+            x += wide[c] + 2 if wide[c] else 0
+        out = []
+        for row in self.rows:
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for at, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        line = line.ljust(left[at]) if len(line) + 2 <= left[at] or not line else line + "  "
+                        line += lines[k]
+                out.append(line)
+        return out
 
 
 def render(root: Node) -> str:
@@ -204,12 +351,13 @@ def render(root: Node) -> str:
     out = flow
     # what is open: (node, next child, what to do at its end)
     lists: list[list] = []
-    tables: list[tuple[Flow, list[list[str]]]] = []
+    tables: list[Table] = []
     pre = 0
-    stack: list[list] = [[root, 0, None]]
+    rules = rules_of(sheets(root))
+    stack: list[list] = [[root, 0, None, True]]
     while stack:
         top = stack[-1]
-        node, k, end = top
+        node, k, end, shown = top
         if k == len(node.children):
             stack.pop()
             if end:
@@ -218,8 +366,10 @@ def render(root: Node) -> str:
         top[1] = k + 1
         child = node.children[k]
         if isinstance(child, str):
+            if not shown:
+                continue
             if pre:
-                head, *more = child.split("\n")
+                head, *more = child.expandtabs(8).split("\n")
                 flow.text(head.replace(" ", " "))
                 for line in more:
                     whole = "".join(flow.parts)
@@ -230,7 +380,8 @@ def render(root: Node) -> str:
                 flow.text(child)
             continue
         tag = child.tag
-        if not child.seen:
+        rendered, shown = looks(child, rules, shown)
+        if not rendered:
             continue
         if tag == "br":
             if not flow.parts and flow.lines and not flow.blank:
@@ -238,44 +389,42 @@ def render(root: Node) -> str:
             flow.close()
             continue
         if tag not in BLOCK and tag not in ("td", "th"):
-            stack.append([child, 0, None])
+            stack.append([child, 0, None, shown])
             continue
         if tag in ("td", "th"):
-            if tables and tables[-1][1] is not None:
-                outer, rows, cell = flow, tables[-1][1], Flow()
-                if not rows:
-                    rows.append([])
-                flow = cell
-
-                def cell_end(outer=outer, rows=rows, cell=cell):
-                    nonlocal flow
-                    rows[-1].append(" ".join(x.strip() for x in cell.result() if x.strip()))
-                    flow = outer
-
-                stack.append([child, 0, cell_end])
+            if tables:
+                outer, lines, cell, outside = flow, tables[-1].cell(child.across, child.down), Flow(), lists
+                flow, lists = cell, []
+
+                def cell_end(outer=outer, lines=lines, cell=cell, outside=outside):
+                    nonlocal flow, lists
+                    lines.extend(x for x in cell.result() if x.strip())
+                    flow, lists = outer, outside
+
+                stack.append([child, 0, cell_end, shown])
             else:
                 flow.text(" ")
-                stack.append([child, 0, None])
+                stack.append([child, 0, None, shown])
             continue
         if tag == "tr":
             if tables:
-                tables[-1][1].append([])
-            stack.append([child, 0, None])
+                tables[-1].row()
+            stack.append([child, 0, None, shown])
             continue
         flow.close(tag in SPACED and not (tag in ("ul", "ol") and lists))
         if tag == "table":
-            tables.append((flow, []))
+            tables.append(Table(flow))
 
             def table_end():
                 nonlocal flow
-                outer, rows = tables.pop()
-                flow = outer
+                table = tables.pop()
+                flow = table.flow
                 flow.close()
-                if lines := table_lines(rows):
+                if lines := [x for x in table.lines() if x]:
                     flow.put(lines)
                 flow.blank = True
 
-            stack.append([child, 0, table_end])
+            stack.append([child, 0, table_end, shown])
         elif tag in ("ul", "ol", "menu"):
             lists.append([tag, child.start])
 
@@ -284,7 +433,7 @@ def render(root: Node) -> str:
                 lists.pop()
                 flow.blank |= not lists
 
-            stack.append([child, 0, list_end])
+            stack.append([child, 0, list_end, shown])
         elif tag == "li":
             kept = flow.prefix
             mark = "- "
@@ -297,7 +446,7 @@ def render(root: Node) -> str:
                 flow.close()
                 flow.prefix, flow.mark = kept, ""
 
-            stack.append([child, 0, item_end])
+            stack.append([child, 0, item_end, shown])
         elif tag == "pre":
             pre += 1
 
@@ -306,7 +455,7 @@ def render(root: Node) -> str:
                 pre -= 1
                 flow.close(True)
 
-            stack.append([child, 0, pre_end])
+            stack.append([child, 0, pre_end, shown])
         else:
             spaced = tag in SPACED
             kept = flow.prefix
@@ -317,7 +466,7 @@ def render(root: Node) -> str:
                 flow.close(spaced)
                 flow.prefix = kept if not flow.mark else flow.prefix
 
-            stack.append([child, 0, block_end])
+            stack.append([child, 0, block_end, shown])
     return "\n".join(out.result()).replace(" ", " ").strip("\n")
 
 

@@ -69,6 +69,75 @@ def test_html(page, want):
     assert html.extract_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><th colspan=2>Head<th>Z<tr><td>a<td>b<td>c</table>", "Head  Z\na  b  c"),
+        ("<table><tr><td rowspan=2>x<td>1<tr><td>2<tr><td>y<td>3</table>", "x  1\n   2\ny  3"),
+        ("<table><tr><td><ul><li>one<li>two</ul><td><p>p1<p>p2<tr><td>q</table>", "- one  p1\n- two  p2\nq"),
+        ("<table><tr><td><table><tr><td>a<td>bb<tr><td>ccc<td>d</table><td>e</table>", "a    bb  e\nccc  d"),
+        ("<style>.x, p#y {display:none} .z{visibility:hidden}</style><div class='a x'>no</div><p id=y>no<p>yes<div class=z>no<b style='visibility:visible'>shown</b>no</div>", "yes\n\nshown"),
+        ("<style>@media print { .x {display:none} } /* .x{display:none} */ div .x{display:none}</style><p class=x>seen", "seen"),
+        ("<pre>a\tb</pre>", "a       b"),
+        ("<p title='a > b' class=\"c\">x</p><a b='>y", "x\n\ny"),
+    ],
+)
+def test_html_layout_and_styles(page, want):
+    assert html.extract_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, "<a " * 300_000, "<a '" * 250_001, "<a \">\" " * 140_000 + "'", "<!" * 500_000, "<b><i>" * 80_000 + "<p><div>" * 40_000, "<table><tr><td>" * 30_000 + "x"])
+def test_html_in_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    text = html.extract_text(page)
+    assert time.perf_counter() - began < 8 and len(text) <= 2 * len(page)
+
+
+def test_html_padding_is_bounded():
+    page = "<table><tr><td>" + "w" * 20_000 + "<td>z" + "<tr><td>a<td>b" * 2_000 + "</table>"
+    text = html.extract_text(page)
+    assert len(text) < 5 * len(page) and "w" * 20_000 + "  z" in text
+
+
+def test_html_words_against_a_plain_renderer(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.away, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            d = dict(attrs)
+            if tag not in html.VOID and (self.away or tag in html.UNSEEN or "hidden" in d or "display:none" in (d.get("style") or "").replace(" ", "")):
+                self.away.append(tag)
+            if tag in html.BLOCK | {"td", "th", "br"}:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in self.away:
+                while self.away and self.away.pop() != tag:
+                    pass
+            if tag in html.BLOCK | {"td", "th", "br"}:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.away:
+                self.out.append(data)
+
+    same = total = 0
+    for r in registry.read(spark, "/root/testdata/sf0.01", "pages").collect():
+        plain = Plain()
+        plain.feed(r["html"] or "")
+        plain.close()
+        mine = [w for w in html.extract_text(r["html"]).split() if w != "-" and not w[:-1].isdigit()]
+        total += 1
+        same += mine == [w for w in "".join(plain.out).replace("\xa0", " ").split() if w != "-" and not w[:-1].isdigit()]
+    assert total and same >= 0.95 * total
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", 5), (1, "<p>a", 5), (None, None, None)], "page_id long, html string, text long")
     assert sorted((r["page_id"] or -1, r["text"], r["n_chars"], r["n_lines"]) for r in html.extract_pages(df).collect()) == [(-1, "", 0, 0), (1, "a", 1, 1), (1, "a", 1, 1)]
