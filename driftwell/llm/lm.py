@@ -35,6 +35,7 @@ from .common import stash
 
 END = b""  # no word is empty
 KEPT = 400_000
+TOGETHER = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 11
 
@@ -223,24 +224,48 @@ class Automaton:
             weights.append(np.log10(p[arc]))
             # after a gram of the longest kind its last words are the context
             goto.append(here[k + 1][arc] if k + 1 < t.order else here[k][t.shorter[k][arc]])
-        self.fail, self.back = np.concatenate(fail).tolist(), np.concatenate(back).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
-        self.weight, self.goto = np.concatenate(weights).tolist(), np.concatenate(goto).tolist()
+        self.fail, self.back = np.concatenate(fail), np.concatenate(back)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.weight, self.goto = key[order], np.concatenate(weights)[order], np.concatenate(goto)[order]
         self.start = int(here[-1][-1])
 
-    def read(self, words: list[int]) -> float:
-        """The log10 probability of a text, read from left to right."""
-        arcs, weight, goto, fail, back, n = self.arcs, self.weight, self.goto, self.fail, self.back, self.n
-        state, total = self.start, 0.0
-        for w in words:
-            arc = arcs.get(state * n + w)
-            while arc is None:
-                total += back[state]
-                state = fail[state]
-                arc = arcs.get(state * n + w)
-            total += weight[arc]
-            state = goto[arc]
-        return total
+    def read(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text, read from left to right: many texts in step, the last and longest one by one."""
+        longest = np.argsort(-sizes, kind="stable")
+        starts, long = starts[longest], sizes[longest]
+        state, total = np.full(len(sizes), self.start), np.zeros(len(sizes))
+        t = 0
+        while (a := int(np.searchsorted(-long, -t, "left"))) >= TOGETHER:
+            w, s = words[starts[:a] + t], state[:a]
+            arc = np.searchsorted(self.keys, s * self.n + w)
+            lost = np.flatnonzero(self.keys[np.minimum(arc, len(self.keys) - 1)] != s * self.n + w)
+            while len(lost):
+                total[lost] += self.back[s[lost]]
+                s[lost] = self.fail[s[lost]]
+                key = s[lost] * self.n + w[lost]
+                arc[lost] = np.searchsorted(self.keys, key)
+                lost = lost[self.keys[np.minimum(arc[lost], len(self.keys) - 1)] != key]
+            total[:a] += self.weight[arc]
+            state[:a] = self.goto[arc]
+            t += 1
+        if a:
+            arcs, weight, goto = dict(zip(self.keys.tolist(), range(len(self.keys)))), self.weight.tolist(), self.goto.tolist()
+            fail, back, n = self.fail.tolist(), self.back.tolist(), self.n
+            for i in range(a):
+                s, p = int(state[i]), 0.0
+                for w in words[starts[i] + t : starts[i] + long[i]].tolist():
+                    arc = arcs.get(s * n + w)
+                    while arc is None:
+                        p += back[s]
+                        s = fail[s]
+                        arc = arcs.get(s * n + w)
+                    p += weight[arc]
+                    s = goto[arc]
+                total[i] += p
+        out = np.empty(len(sizes))
+        out[longest] = total
+        return out
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -290,9 +315,8 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
             level.read(of)
         del of
         a = Automaton(t, total, kinds, delta, discount)
-        read = [a.read(t.word[i : i + n].tolist()) for i, n in zip(t.starts.tolist(), t.sizes.tolist())]
         doc = np.repeat(np.arange(len(t.sizes)), t.sizes)
-        sums = [np.bincount(doc, x[t.word], len(t.sizes)) for x in (a.known, a.base)] + [np.array(read, np.float64)]
+        sums = [np.bincount(doc, x[t.word], len(t.sizes)) for x in (a.known, a.base)] + [a.read(t.word, t.starts, t.sizes)]
         return pa.table(
             {
                 "doc_id": pa.array(t.ids, pa.int64()),
