@@ -35,7 +35,7 @@ from .common import stash
 
 END = b""  # no word is empty
 KEPT = 400_000
-TOGETHER = 64
+STRETCH = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 11
 
@@ -193,7 +193,7 @@ class Automaton:
     """
 
     def __init__(self, t: Texts, total: int, kinds: int, delta: float, discount: float):
-        self.n = max(t.n, 1)
+        self.n, self.order = max(t.n, 1), t.order
         root = t.levels[0]
         p = (root.seen + delta) / (total + delta * (kinds + 1))
         self.base, self.known = np.log10(p), root.seen > 0
@@ -230,42 +230,42 @@ class Automaton:
         self.keys, self.weight, self.goto = key[order], np.concatenate(weights)[order], np.concatenate(goto)[order]
         self.start = int(here[-1][-1])
 
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, log10 probability) of reading one word in each state."""
+        state, p, lost = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        arc, last = np.empty(len(state), np.int64), len(self.keys) - 1
+        while len(lost):
+            key = state[lost] * self.n + word[lost]
+            at = np.searchsorted(self.keys, key)
+            arc[lost] = at
+            lost = lost[self.keys[np.minimum(at, last)] != key]
+            p[lost] += self.back[state[lost]]
+            state[lost] = self.fail[state[lost]]
+        return self.goto[arc], p + self.weight[arc]
+
     def read(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text, read from left to right: many texts in step, the last and longest one by one."""
-        longest = np.argsort(-sizes, kind="stable")
-        starts, long = starts[longest], sizes[longest]
-        state, total = np.full(len(sizes), self.start), np.zeros(len(sizes))
-        t = 0
-        while (a := int(np.searchsorted(-long, -t, "left"))) >= TOGETHER:
-            w, s = words[starts[:a] + t], state[:a]
-            arc = np.searchsorted(self.keys, s * self.n + w)
-            lost = np.flatnonzero(self.keys[np.minimum(arc, len(self.keys) - 1)] != s * self.n + w)
-            while len(lost):
-                total[lost] += self.back[s[lost]]
-                s[lost] = self.fail[s[lost]]
-                key = s[lost] * self.n + w[lost]
-                arc[lost] = np.searchsorted(self.keys, key)
-                lost = lost[self.keys[np.minimum(arc[lost], len(self.keys) - 1)] != key]
-            total[:a] += self.weight[arc]
-            state[:a] = self.goto[arc]
-            t += 1
-        if a:
-            arcs, weight, goto = dict(zip(self.keys.tolist(), range(len(self.keys)))), self.weight.tolist(), self.goto.tolist()
-            fail, back, n = self.fail.tolist(), self.back.tolist(), self.n
-            for i in range(a):
-                s, p = int(state[i]), 0.0
-                for w in words[starts[i] + t : starts[i] + long[i]].tolist():
-                    arc = arcs.get(s * n + w)
-                    while arc is None:
-                        p += back[s]
-                        s = fail[s]
-                        arc = arcs.get(s * n + w)
-                    p += weight[arc]
-                    s = goto[arc]
-                total[i] += p
-        out = np.empty(len(sizes))
-        out[longest] = total
-        return out
+        """The log10 probability of each text, read from left to right, many in step.
+
+        A long text is read in stretches of STRETCH words.  A state is told by the last order - 1 words, so a stretch that goes on in a
+        text finds the state that the one before it ends in by reading that many words from the empty state.
+        """
+        parts = np.maximum(-(-sizes // STRETCH), 1)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, length = starts[text] + nth * STRETCH, np.minimum(sizes[text] - nth * STRETCH, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        text, nth, start, length = text[order], nth[order], start[order], length[order]
+        state = np.full(len(text), self.start)
+        later = np.flatnonzero(nth > 0)
+        state[later] = 0
+        for back in range(self.order - 1, 0, -1):
+            state[later], _ = self.step(state[later], words[start[later] - back])
+        total = np.zeros(len(text))
+        for t in range(int(length.max(initial=0))):
+            a = int(np.searchsorted(-length, -t, "left"))
+            state[:a], p = self.step(state[:a], words[start[:a] + t])
+            total[:a] += p
+        return np.bincount(text, total, len(sizes))
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:

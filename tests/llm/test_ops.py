@@ -424,6 +424,26 @@ def test_quality_edges(docs, none, texts, spark):
 # --- 8 ---
 
 
+def test_lm_reads_long_texts_in_stretches():
+    import pyarrow as pa
+
+    rng = random.Random(41)
+    table = pa.table({"doc_id": [1, 2, 3], "text": [" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in (2000, 700, 255)]})
+    for order in (1, 2, 3, 4):
+        t = lm.Texts(table, 10, order, 3, {})
+        for level in t.levels:
+            level.read({b: lm.count_bucket(pa.table({"_block": [0], "bucket": [b], "data": [d]}))["data"][0].as_py() for b, d in level.rows()})
+        a = lm.Automaton(t, int(t.levels[0].seen.sum()), t.n, 0.1, 0.75)
+        whole = []
+        for i, n in zip(t.starts, t.sizes):
+            state, p = np.array([a.start]), 0.0
+            for w in t.word[i : i + n]:
+                state, q = a.step(state, np.array([w]))
+                p += q[0]
+            whole.append(p)
+        assert np.allclose(a.read(t.word, t.starts, t.sizes), whole)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm(docs, texts, none, order):
     held = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
