@@ -128,3 +128,22 @@ def normalise_space(c: Column | str) -> Column:
 
 def logistic(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-col(x)))
+
+
+def fuzzy_above(value: Column | str, threshold: float, width: float) -> Column:
+    """Degree 0 to 1 to which a value is above a threshold: a half there, steeper the smaller the width."""
+    return 1 / (1 + F.exp(-(col(value) - threshold) / width))
+
+
+def fuzzy_and(*truths: Column) -> Column:
+    out = F.lit(1.0)
+    for t in truths:
+        out = out * t
+    return out
+
+
+def fuzzy_or(*truths: Column) -> Column:
+    out = F.lit(1.0)
+    for t in truths:
+        out = out * (1 - t)
+    return 1 - out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 
@@ -31,9 +32,14 @@ def normal_quantile(p: float) -> float:
 
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
+    return math.exp(log_gamma_upper(a, x))
+
+
+def log_gamma_upper(a: float, x: float) -> float:
+    """log of the regularised upper incomplete gamma function, also far out where the function itself is no double."""
     if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+        return 0.0
+    front = -x + a * math.log(x) - math.lgamma(a)
     if x < a + 1:
         term = total = 1 / a
         k = a
@@ -41,7 +47,7 @@ def gamma_upper(a: float, x: float) -> float:
             k += 1
             term *= x / k
             total += term
-        return max(0.0, 1 - total * front)
+        return math.log(max(1e-300, 1 - total * math.exp(front)))
     b, c = x + 1 - a, 1e300
     d = h = 1 / b
     for i in range(1, 10_000):
@@ -52,7 +58,7 @@ def gamma_upper(a: float, x: float) -> float:
         h *= d * c
         if abs(d * c - 1) < 1e-15:
             break
-    return front * h
+    return front + math.log(h)
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -108,6 +114,19 @@ def cramer_von_mises(x: np.ndarray, cdf) -> float:
     return float(1 / (12 * len(x)) + np.sum((cdf(x) - (2 * i - 1) / (2 * len(x))) ** 2))
 
 
+def two_sided_deviation(p: np.ndarray) -> np.ndarray:
+    """How many standard deviations out these two-sided probabilities lie."""
+    inverse = NormalDist().inv_cdf
+    return np.array([-inverse(max(x, 1e-300) / 2) if x < 1 else 0.0 for x in np.asarray(p, float).tolist()], float)
+
+
+def log_joint_of(n: float, squares: float, least: float) -> float:
+    """log of the joint probability of n (weighted) samples with this sum of squared deviations; one sample keeps its own."""
+    if n <= 0 or squares / n < 1e-8:
+        return 0.0
+    return math.log(max(least, 1e-300)) if n == 1 else log_gamma_upper(n / 2, squares / 2)
+
+
 def joint_less_likely(p: np.ndarray, correlation: float = 0.0) -> float:
     """Chance of a set of samples less likely than one with these two-sided probabilities (chi-squared)."""
     p = np.clip(np.asarray(p, float), 1e-300, 1.0)
@@ -116,13 +135,11 @@ def joint_less_likely(p: np.ndarray, correlation: float = 0.0) -> float:
         return 1.0
     if n == 1:
         return float(p[0])
-    z = np.array([-normal_quantile(x / 2) for x in p])
+    z = two_sided_deviation(p)
     total = float(np.sum(z * z))
-    if total / n < 1e-8:
-        return 1.0
-    if correlation > 0:
+    if correlation > 0 and total / n >= 1e-8:
         total = (total - correlation * z.sum() ** 2 / (n * correlation + 1 - correlation)) / (1 - correlation)
-    return gamma_upper(n / 2, total / 2)
+    return math.exp(log_joint_of(n, total, float(p.min())))
 
 
 def dirichlet_smoothed(counts: np.ndarray, concentration: float = 1.0) -> np.ndarray:

@@ -30,6 +30,18 @@ def tokens_of(text: Column) -> Column:
     )
 
 
+def tokens_of_csv(line: Column) -> Column:
+    """Array of the tokens that came ready in one line of comma-separated values, fields in quotes whole."""
+    field = F.regexp_extract_all(F.concat(F.lit(","), F.coalesce(line, F.lit(""))), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+    return F.filter(F.transform(field, lambda t: F.when(t.startswith('"'), F.replace(F.regexp_replace(t, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(t)), lambda t: t != "")
+
+
+def pattern_counts(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
+    """(pattern, n, least, most): rows by the first pattern that matches them, -1 for none, and the shortest and longest of them."""
+    first = F.coalesce(*[F.when(F.col(text).rlike(p), i) for i, p in enumerate(patterns)], F.lit(-1))
+    return df.groupBy(first.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length(text)).alias("least"), F.max(F.length(text)).alias("most"))
+
+
 def weights_of(tokens: list[str], words: frozenset[str] = frozenset(), verbs: frozenset[str] = frozenset()) -> list[int]:
     """1 a token; dictionary words 2 more (verbs 5), six times the extra from the third in a row."""
     out, run = [], 0

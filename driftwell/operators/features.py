@@ -73,6 +73,7 @@ def prepared(df: DataFrame, d: Detector, time: str, span: int, summary_count: st
         named(attribute).alias("attribute"),
         F.pmod(ts, F.lit(X.DAY)).alias("_day"),
         F.pmod(ts, F.lit(X.WEEK)).alias("_week"),
+        ts.alias("_time"),
     ]
     if d.field_name:
         columns.append(F.col(d.field_name).alias("_field"))
@@ -205,3 +206,43 @@ def prune_persons(values: DataFrame, window: int) -> DataFrame:
     end = values.agg(F.max("bucket").alias("_end"))
     kept = last.crossJoin(F.broadcast(end)).where(F.col("_last") >= F.col("_end") - window).select("partition", "person")  # one row
     return values.join(kept, ["partition", "person"], "left_semi")
+
+
+# Functions whose values start at one, so that models hold them less one.
+FROM_ONE = {"non_zero_count", "distinct_count", "info_content", "rare"}
+
+
+def modelled(value: Column | str, function: str) -> Column:
+    """The value as models hold it: less one for counts that can't be zero."""
+    return X.col(value) - (1 if plain(function) in FROM_ONE else 0)
+
+
+def displayed(value: Column | str, function: str) -> Column:
+    """A modelled value or prediction as it is shown: the offset put back, and no count below zero."""
+    shown = X.col(value) + (1 if plain(function) in FROM_ONE else 0)
+    return F.greatest(shown, F.lit(0.0)) if plain(function) in FROM_ONE | {"count", "rare_count"} else shown
+
+
+def plain(function: str) -> str:
+    """A function's name without its side."""
+    return function.split("_", 1)[1] if function.startswith(("low_", "high_")) else function
+
+
+def sample_times(df: DataFrame, d: Detector, time: str, span: int) -> DataFrame:
+    """(bucket, partition, person, attribute, time): when a bucket's value counts as measured, in epoch seconds.
+
+    The middle of the bucket for counts and sums; the mean time of the measurements for sampled metrics.
+    """
+    sampled = d.spec.value in ("mean", "median", "min", "max", "varp", "metric", "lat_long") and "sum" not in d.spec.name
+    rows = prepared(df, d, time, span)
+    keys = ["bucket", "partition", "person", "attribute"]
+    if not sampled:
+        return rows.select(*keys).distinct().withColumn("time", F.col("bucket") + span / 2)
+    return rows.where("_field is not null").groupBy(*keys).agg(F.avg("_time").alias("time"))
+
+
+def whole_buckets(df: DataFrame, time: str, span: int, latency: int = 0, restored: bool = False) -> DataFrame:
+    """Rows from the first bucket's start on: the first time's bucket, less the latency; a restored job skips that bucket,
+    of which it has seen a part only."""
+    first = df.agg(F.min(X.epoch(time)).alias("_t")).select((F.floor(F.col("_t") / span) * span - latency + (span if restored else 0)).alias("_start"))
+    return df.crossJoin(F.broadcast(first)).where(X.epoch(time) >= F.col("_start")).drop("_start")  # one row

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.windows import running_totals_by_value
+
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with each column less its mean, over its standard deviation; constant columns become zero."""
@@ -159,13 +161,39 @@ def item_counts(df: DataFrame, item: str, error: float = 0.001, confidence: floa
 def ks_distance(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: the Kolmogorov-Smirnov distance of the values of group 0 and group 1 (a column of 0 and 1)."""
     g = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = g.agg(F.sum("a").alias("_ta"), F.sum("b").alias("_tb"))
-    return g.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(t)).agg(  # one row
-        F.max(F.abs(F.col("ca") / F.col("_ta") - F.col("cb") / F.col("_tb"))).alias("distance")
+    upto = running_totals_by_value(g.withColumn("_all", F.lit(0)), ["_all"], value, ["a", "b"])
+    return upto.crossJoin(F.broadcast(t)).agg(  # one row
+        F.max(F.abs(F.col("a_upto") / F.col("_ta") - F.col("b_upto") / F.col("_tb"))).alias("distance")
     )
 
 
+def preprocessed(df: DataFrame, processors: list[dict]) -> DataFrame:
+    """df with the columns of a caller's own encodings, each {"kind", "field", ...}; nulls encode as the kind's default.
+
+    n_gram: {"length", "start", "n_grams"} letters of a text from start on, one column a position.  one_hot: {"values": {value:
+    column}}.  frequency and target_mean: {"table": {value: number}, "default", "column"}.  multi: {"processors"}, each
+    reading what the ones before wrote.
+    """
+    for p in processors:
+        kind, field = p["kind"], p.get("field")
+        if kind == "multi":
+            df = preprocessed(df, p["processors"])
+        elif kind == "n_gram":
+            part = F.substring(F.coalesce(F.col(field), F.lit("")), p.get("start", 0) + 1, p["length"])
+            for n in p["n_grams"]:
+                for i in range(p["length"] - n + 1):
+                    df = df.withColumn(f"{field}.{n}{i}", F.when(F.length(part) >= i + n, F.substring(part, i + 1, n)).otherwise(F.lit("")))
+        elif kind == "one_hot":
+            df = df.withColumns({c: F.coalesce(F.col(field).cast("string") == v, F.lit(False)).cast("int") for v, c in p["values"].items()})
+        elif kind in ("frequency", "target_mean"):
+            table = F.create_map(*[F.lit(x) for kv in p["table"].items() for x in (kv[0], float(kv[1]))])
+            df = df.withColumn(p["column"], F.coalesce(F.try_element_at(table, F.coalesce(F.col(field).cast("string"), F.lit(""))), F.lit(float(p.get("default", 0.0)))))
+        else:
+            raise ValueError(f"unknown processor: {kind!r}")
+    return df
+
+
 def shrunk_covariance(moments: np.ndarray, n: int) -> np.ndarray:
     """A covariance matrix drawn towards a multiple of the identity, more so the fewer rows it is from."""
     d = len(moments)

@@ -193,26 +193,58 @@ def ensemble(df: DataFrame, key: str, vector: str, outlier_fraction: float = 0.0
     return good.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, schema)
 
 
-def most_correlated(df: DataFrame, series: str, bucket: str, value: str, top: int = 10, projections: int = 64, candidates: int = 8, seed: int = 5) -> DataFrame:
-    """(a, b, correlation): the most correlated pairs of series, found by random signs and made exact.
+def most_correlated(df: DataFrame, series: str, bucket: str, value: str, top: int = 10, block: int = 512) -> DataFrame:
+    """(a, b, correlation): the pairs of series most correlated over the buckets that both have, more than two; ties by a, b.
 
-    Each standardised series becomes `projections` signs of random sums over buckets; series are sorted by
-    pieces of their signs and meet their next `candidates` in that order, both as they are and negated.
+    Exact: series are dealt in blocks, every two blocks meet once, and all of a pair of blocks' sums over shared buckets are
+    matrix products.  Only each pair of blocks' best go on.  A series is as long as it has buckets; a bucket is held once.
     """
-    stats = df.groupBy(series).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    z = df.join(stats.where("_s > 0"), series).select(series, bucket, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
-    sign = lambda j: F.when(F.pmod(F.xxhash64(F.col(bucket), F.lit(seed * 1000 + j)), F.lit(2)) == 0, 1).otherwise(-1)
-    sketch = z.groupBy(series).agg(*[F.sum(F.col("z") * sign(j)).alias(f"p{j}") for j in range(projections)])
-    bits = [F.concat(*[F.when(F.col(f"p{(j * 7 + i * 13) % projections}") > 0, "1").otherwise("0") for j in range(24)]) for i in range(6)]
-    flipped = [F.translate(b, "01", "10") for b in bits]
-    rows = sketch.select(F.col(series).alias("s"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), b.alias("bits")) for i, b in enumerate([*bits, *flipped])])).alias("x")).select("s", F.col("x.i").alias("i"), "x.bits", (F.col("x.i") % 6).alias("table"))
-    w = Window.partitionBy("table", F.substring("bits", 1, 2)).orderBy("bits", "s")
-    pairs = rows.select(
-        "s", F.array(*[F.lead("s", j).over(w) for j in range(1, candidates + 1)]).alias("ts")
-    ).select("s", F.explode("ts").alias("t")).where("t is not null and s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    left = df.select(F.col(series).alias("a"), F.col(bucket).alias("_u"), F.col(value).alias("_x"))
-    right = df.select(F.col(series).alias("b"), F.col(bucket).alias("_u"), F.col(value).alias("_y"))
-    return (
-        pairs.join(left, "a").join(right, ["b", "_u"]).groupBy("a", "b").agg(F.corr("_x", "_y").alias("correlation"), F.count(F.lit(1)).alias("n"))
-        .where("n > 2").orderBy(F.desc(F.abs("correlation")), "a", "b").limit(top).select("a", "b", "correlation")
+    times = df.select(bucket).distinct()
+    place = times.withColumn("_i", F.row_number().over(Window.orderBy(bucket)) - 1)  # as many rows as there are buckets
+    wide = times.count()
+    rows, kind = df.where(F.col(value).isNotNull() & F.col(series).isNotNull()).join(place, bucket), dict(df.dtypes)[series]
+    count = rows.select(series).distinct().count()
+    blocks = max(1, -(-count // block))
+    lists = rows.groupBy(F.col(series).alias("s")).agg(
+        F.collect_list(F.struct(F.col("_i").cast("int").alias("i"), F.col(value).cast("double").alias("v"))).alias("points")
     )
+    dealt = lists.withColumn("k", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.full((len(pdf), wide), np.nan)
+        for row, points in enumerate(pdf["points"]):
+            for q in points:
+                x[row, q["i"]] = q["v"]
+        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "ids": [pdf["s"].tolist()], "x": [x.tobytes()]})
+
+    packed = dealt.groupBy("k").applyInPandas(pack, f"k int, ids array<{kind}>, x binary")
+    other = packed.select(F.col("k").alias("l"), F.col("ids").alias("jds"), F.col("x").alias("y"))
+    pairs = packed.withColumn("l", F.explode(F.sequence("k", F.lit(blocks - 1)))).join(other, "l")
+
+    def meet(batches):
+        for pdf in batches:
+            for ids, x, jds, y in zip(pdf["ids"], pdf["x"], pdf["jds"], pdf["y"]):
+                ids, jds = np.array(list(ids)), np.array(list(jds))
+                x, y = (np.frombuffer(m, float).reshape(-1, wide) for m in (x, y))
+                yield best_pairs(ids, x, jds, y, top)
+
+    best = pairs.select("ids", "x", "jds", "y").repartition(min(blocks * (blocks + 1) // 2, 4096)).mapInPandas(meet, f"a {kind}, b {kind}, correlation double")
+    return best.orderBy(F.desc(F.abs("correlation")), "a", "b").limit(top)
+
+
+def best_pairs(ids: np.ndarray, x: np.ndarray, jds: np.ndarray, y: np.ndarray, top: int) -> pd.DataFrame:
+    """(a, b, correlation) of the `top` most correlated pairs, a < b, of the rows of x and y; NaN where a row has no value."""
+    here, there = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    # about each row's mean, so that sums of squares keep their digits
+    x, y = (np.nan_to_num(m - np.nansum(m, 1, keepdims=True) / np.maximum(1, k.sum(1, keepdims=True))) for m, k in ((x, here), (y, there)))
+    n, sx, sy = here @ there.T, x @ there.T, here @ y.T
+    vx, vy = n * ((x * x) @ there.T) - sx * sx, n * (here @ (y * y).T) - sy * sy
+    with np.errstate(all="ignore"):
+        r = np.where((n > 2) & (vx > 1e-9) & (vy > 1e-9), (n * (x @ y.T) - sx * sy) / np.sqrt(vx * vy), np.nan)
+    # a block with itself holds every pair twice
+    fit = ~np.isnan(r) & (ids[:, None] < jds if np.array_equal(ids, jds) else ids[:, None] != jds)
+    i, j = np.nonzero(fit)
+    a, b, value = ids[i], jds[j], r[i, j]
+    left, right = np.where(a < b, a, b), np.where(a < b, b, a)
+    order = np.lexsort((right, left, -np.abs(value)))[:top]
+    return pd.DataFrame({"a": left[order], "b": right[order], "correlation": np.clip(value[order], -1, 1)})

@@ -320,10 +320,10 @@ def flagship(spark, sf_dir):
     """Hourly counts by event type, zero-filled, scored against the trailing day, most unusual first in each bucket."""
     values = features.feature_values(read(spark, sf_dir, "events"), Detector("high_count", by="event_type"), "ts", HOUR)
     scored = windows.trailing_score(values.withColumn("value", F.col("value").cast("double")), ["partition", "person"], "bucket", "value", "high")
-    return rules.top_records(scored, "bucket", "probability", 3, ["person"]).select("bucket", "person", F.col("value").alias("actual"), "typical", "probability", "score", X.severity("score").alias("severity"), "rank")
-
-
-query()(flagship)
+    # equal chances tie whatever their last digits
+    top = rules.top_records(scored.withColumn("order", F.round("probability", 12)), "bucket", "order", 3, ["person"])
+    out = top.select("bucket", "person", F.col("value").alias("actual"), "typical", "probability", "score", X.severity("score").alias("severity"), F.col("rank").cast("long").alias("rank"))
+    return rounded(out, "typical", "probability", "score")
 
 
 # --- scores ------------------------------------------------------------------------------------
@@ -419,12 +419,6 @@ def detector_equaliser(spark, sf_dir):
     return rounded(hierarchy.equalised(read(spark, sf_dir, "part"), "p_brand", "p_retailprice").select("p_partkey", "equalised"), "equalised", places=9)
 
 
-@query()
-def joint_scores(spark, sf_dir):
-    leaves = read(spark, sf_dir, "events").groupBy(X.bucket_of("ts", HOUR).alias("bucket"), "event_type").agg((1 / (1 + F.sum("value") / 50)).alias("p"))
-    return hierarchy.combined(leaves, ["bucket"], "p", "attributes")
-
-
 @query(f"WITH e AS (SELECT {BUCKET} AS bucket, event_type, user_id, value FROM events), a AS (SELECT bucket, event_type, sum(value) AS s FROM e GROUP BY 1, 2), b AS (SELECT bucket, event_type, user_id, sum(value) AS s2 FROM e GROUP BY 1, 2, 3) SELECT bucket, event_type, user_id, round(greatest(0.0, least(1.0, 1 - (-(s - s2)) / least(-s, -1e-12))), 6) + 0.0 AS influence FROM a JOIN b USING (bucket, event_type)")
 def influence_of_users(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(X.bucket_of("ts", HOUR).alias("bucket"), "event_type", "user_id", "value")
@@ -621,12 +615,6 @@ def pruned_persons(spark, sf_dir):
     return features.prune_persons(v, 43_200).select("bucket", "person", "value")
 
 
-@query()
-def model_plot(spark, sf_dir):
-    scored = windows.trailing_score(hourly(spark, sf_dir), ["event_type"], "bucket", "actual")
-    return writers.model_plot(scored, ["event_type"], "bucket")
-
-
 @query()
 def change_annotations(spark, sf_dir):
     return writers.annotations(series_changes(spark, sf_dir), ["event_type"], "bucket")
@@ -735,12 +723,6 @@ def correlated_pairs(spark, sf_dir):
     return rounded(pairs, "correlation")
 
 
-@query()
-def most_correlated(spark, sf_dir):
-    d = read(spark, sf_dir, "events").groupBy(X.bucket_of("ts", X.DAY).alias("bucket"), "user_id").agg(F.sum("value").alias("v"))
-    return outliers.most_correlated(d, "user_id", "bucket", "v")
-
-
 PRICE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -791,14 +773,6 @@ def natural_breaks(spark, sf_dir):
     return cluster.break_columns(read(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", 4)
 
 
-@query()
-def naive_bayes(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    from pyspark.ml.functions import array_to_vector
-
-    return cluster.naive_bayes(e, "embedding", "label").transform(e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))).select("vec_id", "label", "prediction")
-
-
 @query()
 def random_projection(spark, sf_dir):
     return cluster.project(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
@@ -815,8 +789,12 @@ def inference_requests(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from driftwell.plans import scoring  # noqa: F401  registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from driftwell.plans import scoring  # noqa: F401  registers its queries here
+
     return dict(SQL)
