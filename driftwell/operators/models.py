@@ -232,3 +232,32 @@ def multinomial_probability(counts: np.ndarray, category: int, concentration: fl
     """Chance of a category at most as likely as this one under smoothed counts, ties included."""
     c = np.asarray(counts, float) + concentration / len(counts)
     return float(c[c <= c[category] + 1e-12].sum() / c.sum())
+
+
+def pair_probabilities(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """The rows of df that hold both numbers, with probability: the chance of a pair at most as likely under its key's normal model of two variables.
+
+    Mean and precision are unknown, so the predictive law is Student's t of n - 2 degrees; in two dimensions its tail has a closed form.
+    The moments are one aggregation a key.  Fewer than three pairs, or pairs on one line, tell nothing: probability 1.  Null keys are a key.
+    """
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    n = F.count(F.lit(1))
+    moments = both.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        n.alias("_n"), F.avg(a).alias("_x"), F.avg(b).alias("_y"), (n * F.var_pop(a)).alias("_xx"), (n * F.covar_pop(a, b)).alias("_xy"), (n * F.var_pop(b)).alias("_yy")
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    dx, dy, det = a - F.col("_x"), b - F.col("_y"), F.col("_xx") * F.col("_yy") - F.col("_xy") ** 2
+    far = (dx * dx * F.col("_yy") - 2 * dx * dy * F.col("_xy") + dy * dy * F.col("_xx")) / F.nullif(det, F.lit(0.0)) * F.col("_n") / (F.col("_n") + 1)
+    known = (F.col("_n") >= 3) & (det > 1e-12 * F.col("_xx") * F.col("_yy"))
+    p = F.when(known, F.greatest(F.exp(-(F.col("_n") - 2) / 2 * F.log1p(far)), F.lit(LEAST))).otherwise(F.lit(1.0))
+    return both.join(moments, on).select(*df.columns, p.alias("probability"))
+
+
+def constant_scores(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The rows of df with a value, with constant (the key's first value in order) and probability: 1 of the constant, all but none of others."""
+    known = df.where(F.col(value).isNotNull())
+    first = known.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min_by(value, F.struct(*order, value)).alias("constant"))
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    p = F.when(F.col(value) == F.col("constant"), 1.0).otherwise(LEAST)
+    return known.join(first, on).select(*df.columns, "constant", p.alias("probability"))

@@ -74,6 +74,33 @@ def seasonal_means(df: DataFrame, keys: list[str], bucket: str, value: str, peri
     return df.groupBy(*keys, F.pmod(bucket, F.lit(period)).alias("phase")).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
 
 
+def week_part_means(df: DataFrame, keys: list[str], bucket: str, value: str, period: int) -> DataFrame:
+    """(keys, weekend, phase, mean, count): seasonal_means() of weekdays and weekends (Saturday and Sunday, UTC) apart."""
+    day = F.pmod(F.floor(F.col(bucket) / 86400) + 3, F.lit(7))  # Monday is 0
+    return seasonal_means(df.withColumn("weekend", day >= 5), [*keys, "weekend"], bucket, value, period)
+
+
+def seasonal_variance(df: DataFrame, keys: list[str], bucket: str, value: str, period: int) -> DataFrame:
+    """(keys, rows, phases, variance, residual_variance, f): how much of a key's variance the means of a period's phases explain.
+
+    f compares what the phases explain with what they leave, each by its degrees of freedom; null where nothing is left to compare.
+    Rows meet in one aggregation by phase; the rest is on phases.
+    """
+    known = df.where(F.col(value).isNotNull())
+    inside = known.groupBy(*keys, F.pmod(bucket, F.lit(period)).alias("_phase")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"), (F.count(F.lit(1)) * F.var_pop(value)).alias("_left")
+    )
+    whole = Window.partitionBy(*keys)
+    centre = F.sum(F.col("_n") * F.col("_mean")).over(whole) / F.sum("_n").over(whole)
+    between = inside.withColumn("_between", F.col("_n") * (F.col("_mean") - centre) ** 2)
+    sums = between.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("phases"), F.sum("_between").alias("_b"), F.sum("_left").alias("_l"))
+    f = (F.col("_b") / (F.col("phases") - 1)) / (F.col("_l") / (F.col("rows") - F.col("phases")))
+    fine = (F.col("phases") > 1) & (F.col("rows") > F.col("phases")) & (F.col("_l") > 0)
+    return sums.select(
+        *keys, "rows", "phases", ((F.col("_b") + F.col("_l")) / F.col("rows")).alias("variance"), (F.col("_l") / F.col("rows")).alias("residual_variance"), F.when(fine, f).alias("f")
+    )
+
+
 def running_totals_by_value(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = 256) -> DataFrame:
     """counts, one row a (keys, value), with {column}_upto: the column's total over the key's values up to this one.
 

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from driftwell.functions import expressions as X
-from driftwell.operators import categorize, cluster, features, frame, hierarchy, outliers, windows
+from driftwell.operators import categorize, cluster, features, frame, hierarchy, models, outliers, windows
 from driftwell.plans.catalogue import BUCKET, HOUR, HOURLY, P_SQL, SCORE_SQL, flagship, hourly, part_probabilities, query, read, rounded
 from driftwell.plans.config import Detector
 from driftwell.sources import writers
@@ -258,3 +258,45 @@ def pretokenised(spark, sf_dir):
 @query("SELECT CASE WHEN regexp_matches(text, '\\d') THEN 0 WHEN regexp_matches(text, '[?!]') THEN 1 WHEN regexp_matches(text, '^[A-Z]') THEN 2 ELSE -1 END AS pattern, count(*) AS n, min(length(text))::INTEGER AS least, max(length(text))::INTEGER AS most FROM conversations GROUP BY 1")
 def pattern_counts(spark, sf_dir):
     return categorize.pattern_counts(read(spark, sf_dir, "conversations"), "text", ["\\d", "[?!]", "^[A-Z]"])
+
+
+# --- priors, parts of the week, summaries ------------------------------------------------------
+
+
+@query(
+    "WITH m AS (SELECT p_brand, count(*) AS n, avg(p_size) AS x, avg(p_retailprice) AS y, count(*) * var_pop(p_size) AS xx, count(*) * covar_pop(p_size, p_retailprice) AS xy, count(*) * var_pop(p_retailprice) AS yy FROM part GROUP BY 1), "
+    "d AS (SELECT p_partkey, n, ((p_size - x) ** 2 * yy - 2 * (p_size - x) * (p_retailprice - y) * xy + (p_retailprice - y) ** 2 * xx) / (xx * yy - xy * xy) * n / (n + 1) AS far FROM part JOIN m USING (p_brand)) "
+    "SELECT p_partkey, round(exp(-(n - 2) / 2.0 * ln(1 + far)), 7) + 0.0 AS probability FROM d"
+)
+def pair_probabilities(spark, sf_dir):
+    """Size and price of every part under its brand's normal model of two variables."""
+    p = models.pair_probabilities(read(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice")
+    return rounded(p.select("p_partkey", "probability"), "probability", places=7)
+
+
+@query("SELECT l_orderkey, l_linenumber, first_value(l_tax) OVER w AS constant, CASE WHEN l_tax = first_value(l_tax) OVER w THEN 1.0 ELSE 0.0 END AS probability FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax)")
+def constant_scores(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    return rounded(models.constant_scores(lines, ["l_orderkey"], ["l_linenumber"], "l_tax").drop("l_tax"), "probability")
+
+
+@query(f"WITH h AS ({HOURLY}) SELECT event_type, (bucket // 86400 + 3) % 7 >= 5 AS weekend, bucket % 86400 AS phase, round(avg(actual), 6) + 0.0 AS mean, count(actual) AS count FROM h GROUP BY 1, 2, 3")
+def week_part_means(spark, sf_dir):
+    return rounded(windows.week_part_means(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", X.DAY), "mean")
+
+
+@query(
+    f"WITH h AS ({HOURLY}), r AS (SELECT event_type, bucket % 86400 AS phase, actual, avg(actual) OVER (PARTITION BY event_type) AS a, avg(actual) OVER (PARTITION BY event_type, bucket % 86400) AS m FROM h), "
+    "s AS (SELECT event_type, count(*) AS rows, count(DISTINCT phase) AS phases, sum((m - a) ** 2) AS b, sum((actual - m) ** 2) AS l FROM r GROUP BY 1) "
+    "SELECT event_type, rows, phases, round((b + l) / rows, 5) + 0.0 AS variance, round(l / rows, 5) + 0.0 AS residual_variance, CASE WHEN l > 0 AND rows > phases THEN round(b / (phases - 1) / (l / (rows - phases)), 5) + 0.0 END AS f FROM s"
+)
+def seasonal_variance(spark, sf_dir):
+    return rounded(windows.seasonal_variance(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", X.DAY), "variance", "residual_variance", "f", places=5)
+
+
+@query(
+    """SELECT '{"num_columns":3,"column_names":["p_partkey","p_size","p_brand"],"column_is_categorical":[false,false,true]}' AS document UNION ALL """
+    """SELECT '{"data":["' || p_partkey || '","' || p_size || '","' || p_brand || '"]}' FROM part"""
+)
+def data_summary(spark, sf_dir):
+    return writers.data_summary(read(spark, sf_dir, "part"), ["p_partkey", "p_size", "p_brand"], ["p_brand"])

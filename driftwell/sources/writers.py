@@ -33,6 +33,17 @@ def size_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("total_models"), F.sum("_n").alias("total_rows"))
 
 
+def data_summary(df: DataFrame, columns: list[str], categorical: list[str]) -> DataFrame:
+    """(document): one that names the columns and says which are categorical, and one a row of df with its values as text; null stays null."""
+    head = F.struct(
+        F.lit(len(columns)).alias("num_columns"),
+        F.array(*map(F.lit, columns)).alias("column_names"),
+        F.array(*[F.lit(c in categorical) for c in columns]).alias("column_is_categorical"),
+    )
+    rows = df.select(F.to_json(F.struct(F.array(*[F.col(c).cast("string") for c in columns]).alias("data"))).alias("document"))
+    return df.sparkSession.range(1).select(F.to_json(head).alias("document")).unionByName(rows)
+
+
 def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
