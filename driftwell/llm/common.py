@@ -10,18 +10,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one of a local session, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(spark, "_driftwell_dir", None) or tempfile.mkdtemp(prefix="driftwell-")
         spark._driftwell_dir = named
     return named.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop's objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when the driver ends, or before that by drop_stash().
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    at, files = file_system(df.sparkSession, path)
     df.write.parquet(path)
+    files.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
@@ -31,9 +45,8 @@ def drop_stash(df: DataFrame) -> None:
     """Delete a table written by stash() that nothing reads any more."""
     path = getattr(df, "_stashed", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = file_system(df.sparkSession, path)
+        files.delete(at, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

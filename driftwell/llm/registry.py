@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html, lm, quality, sharding, simhash, suffix
+from . import ann, audit, bpe, chat, decontaminate, html, lm, packing, quality, sharding, simhash, suffix, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,19 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), every=20, top=20)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64.0, offset=1_000_000, components=32)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end=1)
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.mask_counts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()
@@ -88,4 +102,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": CHAT_SQL}
+    return {"op3_chat": CHAT_SQL, "op13_audit": audit.AUDIT_SQL}
