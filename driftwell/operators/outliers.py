@@ -1,7 +1,6 @@
 """Outlier detection by nearest neighbours.
 
-Neighbours are exact at every size: points are packed in blocks, every block meets every block, distances are matrix products
-of a block's points with another's, and a running best k is kept.  The ensemble's members look at bounded samples, as that is
+Neighbours are exact at every size (operators/neighbours.py).  The ensemble's members look at bounded samples, as that is
 the method.
 """
 
@@ -15,84 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators.frame import bounded_sample
+from driftwell.operators.neighbours import neighbours, usable
 
-BLOCK = 4096
 METHODS = ("lof", "ldof", "distance_kth_nn", "distance_knn")
+MEMBER_ROWS = 10_000  # points in a member's sample at most, so that what tasks are given is bounded
 
 
-def reference(df: DataFrame, key: str, vector: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, points) of a sample bounded by `rows`, for the ensemble's members."""
-    pdf = bounded_sample(df.where(F.col(vector).isNotNull()), rows, key).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).toPandas()
-    return pdf["k"].to_numpy(np.int64), np.array(pdf["v"].tolist(), float)
-
-
-def in_blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows (ids, points) of up to BLOCK packed points each; null vectors are left out."""
-
-    def run(batches):
-        held: list[pd.DataFrame] = []
-
-        def out():
-            all_of = pd.concat(held)
-            held.clear()
-            for at in range(0, len(all_of), BLOCK):
-                part = all_of.iloc[at : at + BLOCK]
-                yield pd.DataFrame({"ids": [part["k"].to_numpy(np.int64).tobytes()], "points": [np.array(part["v"].tolist(), float).tobytes()]})
-
-        for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= BLOCK:
-                yield from out()
-        if sum(map(len, held)):
-            yield from out()
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.mapInPandas(run, "ids binary, points binary")
-
-
-def nearest_of(own: np.ndarray, x: np.ndarray, rid: np.ndarray, ref: np.ndarray, k: int) -> pd.DataFrame:
-    """(key, neighbour, distance): the k nearest of the points ref to each of x, other than itself, ties to the smaller id."""
-    norms, out = (ref * ref).sum(1), []
-    for at in range(0, len(x), 512):
-        mine, part = own[at : at + 512], x[at : at + 512]
-        d2 = (part * part).sum(1)[:, None] + norms - 2 * part @ ref.T
-        d2[mine[:, None] == rid] = np.inf
-        n = min(4 * k + 8, len(rid))
-        near = np.argpartition(d2, n - 1, axis=1)[:, :n] if n < len(rid) else np.tile(np.arange(n), (len(part), 1))
-        exact = np.sqrt(((part[:, None, :] - ref[near]) ** 2).sum(2))
-        exact[mine[:, None] == rid[near]] = np.inf
-        order = np.lexsort((rid[near], exact), axis=1)[:, :k]
-        dist, who = np.take_along_axis(exact, order, 1), rid[np.take_along_axis(near, order, 1)]
-        live = np.isfinite(dist)
-        out.append(pd.DataFrame({"key": np.repeat(mine, live.sum(1)), "neighbour": who[live], "distance": dist[live]}))
-    return pd.concat(out)
-
-
-def neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, rank, neighbour, distance): each point's k nearest points other than itself, of the whole table, ties to the smaller id.
-
-    Every block of points meets every block; a task keeps the best k of what its points have met.
-    """
-    blocks = in_blocks(df, key, vector)
-
-    def run(batches):
-        best: dict[bytes, pd.DataFrame] = {}
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                own, rid = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ids2, np.int64)
-                x, ref = np.frombuffer(row.points, float).reshape(len(own), -1), np.frombuffer(row.points2, float).reshape(len(rid), -1)
-                found = nearest_of(own, x, rid, ref, k)
-                if row.ids in best:
-                    found = pd.concat([best[row.ids], found]).sort_values(["key", "distance", "neighbour"]).groupby("key").head(k)
-                best[row.ids] = found
-                if len(best) > 32:
-                    yield best.pop(next(iter(best)))
-        yield from best.values()
-
-    pairs = blocks.crossJoin(blocks.select(F.col("ids").alias("ids2"), F.col("points").alias("points2")))
-    met = pairs.mapInPandas(run, "key long, neighbour long, distance double")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
-    return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("key", "rank", "neighbour", "distance")
+def reference(rows: DataFrame, most: int) -> np.ndarray:
+    """Points of a sample bounded by `most`, for the ensemble's members."""
+    return np.array([r["v"] for r in bounded_sample(rows, most, "id").select("v").collect()], float)
 
 
 def distance_kth_nn(knn: DataFrame) -> DataFrame:
@@ -104,17 +34,21 @@ def distance_knn(knn: DataFrame) -> DataFrame:
 
 
 def lof(knn: DataFrame) -> DataFrame:
-    """(key, score): neighbours' mean local reachability density over the point's own."""
+    """(key, score): neighbours' mean local reachability density over the point's own.
+
+    A point among so many copies that nothing lies apart has twice the largest density of any other; without any other, all are 1.
+    """
     kdist = knn.groupBy(F.col("key").alias("neighbour")).agg(F.max("distance").alias("kdist"))
-    reach = knn.join(kdist, "neighbour").select("key", "neighbour", F.greatest("distance", "kdist").alias("reach"))
-    lrd = reach.groupBy("key").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("lrd"))
+    reach = knn.join(kdist, "neighbour").groupBy("key").agg(F.avg(F.greatest("distance", "kdist")).alias("reach"))
+    least = reach.where("reach > 0").agg(F.min("reach").alias("least"))
+    lrd = reach.join(F.broadcast(least)).select("key", F.when(F.col("reach") > 0, 1 / F.col("reach")).otherwise(F.coalesce(2 / F.col("least"), F.lit(1.0))).alias("lrd"))
     theirs = lrd.select(F.col("key").alias("neighbour"), F.col("lrd").alias("theirs"))
     return knn.join(theirs, "neighbour").groupBy("key").agg(F.avg("theirs").alias("theirs")).join(lrd, "key").select("key", (F.col("theirs") / F.col("lrd")).alias("score"))
 
 
 def ldof(df: DataFrame, key: str, vector: str, knn: DataFrame) -> DataFrame:
     """(key, score): mean distance to the neighbours over the mean distance among them (at most k*k pairs a point)."""
-    v = df.select(F.col(key).alias("neighbour"), F.col(vector).cast("array<double>").alias("v"))
+    v = usable(df, key, vector).select(F.col("id").alias("neighbour"), "v")
     sets = knn.join(v, "neighbour").groupBy("key").agg(F.collect_list("v").alias("vs"), F.avg("distance").alias("outer"))
 
     def run(vs: pd.Series) -> pd.Series:
@@ -133,25 +67,27 @@ def ldof(df: DataFrame, key: str, vector: str, knn: DataFrame) -> DataFrame:
 
 
 def ensemble_plan(n: int, d: int) -> tuple[int, int, int, int]:
-    """(members, sample rows, neighbours, projected dimension) for n points of dimension d."""
-    sample = max(10, int(10 * math.sqrt(n)))
+    """(members, sample rows, neighbours, projected dimension) for n points of dimension d; samples stop growing at MEMBER_ROWS."""
+    sample = min(MEMBER_ROWS, max(10, int(10 * math.sqrt(n))))
     k = int(min(max(0.01 * sample, 5), 100))
     wide = int(min(max(min(d, math.log(sample, 3)), 2), 10))
     members = int(min(max(2 * math.ceil(d / wide), math.sqrt(n) / 5, 6), 20))
     return members, sample, k, min(wide, d)
 
 
-def ensemble(df: DataFrame, key: str, vector: str, outlier_fraction: float = 0.05, seed: int = 3, influence: bool = False) -> DataFrame:
+def ensemble(df: DataFrame, key: str, vector: str, outlier_fraction: float = 0.05, seed: int = 3, influence: bool = False, threshold: float = 0.1) -> DataFrame:
     """(key, outlier_score[, influences]): several models on samples of projected points, combined by Bayes' rule.
 
     Every member has its own random projection and sample; a point's distances are held against the sample's
-    own, whose log scores are taken as normal.
+    own, whose log scores are taken as normal.  Influences, each coordinate's share in the score, are given for scores over the
+    threshold and null for others: with one coordinate at its mean a projection moves along one line, so nothing is projected anew.
     """
-    good = df.where(F.col(vector).isNotNull())
-    n = good.count()
+    rows = usable(df, key, vector)
+    n = rows.count()
     if not n:
-        return good.select(F.col(key).alias("key"), F.lit(0.0).alias("outlier_score"))
-    _, points = reference(df, key, vector, min(n, max(2000, int(30 * math.sqrt(n)))))
+        empty = rows.select(F.col("id").alias("key"), F.lit(0.0).alias("outlier_score"))
+        return empty.withColumn("influences", F.lit(None).cast("array<double>")) if influence else empty
+    points = reference(rows, min(n, 3 * MEMBER_ROWS, max(2000, int(30 * math.sqrt(n)))))
     members, size, k, wide = ensemble_plan(n, points.shape[1])
     mean, spread = points.mean(0), np.where(points.std(0) > 0, points.std(0), 1.0)
     rng, parts = np.random.default_rng(seed), []
@@ -168,29 +104,42 @@ def ensemble(df: DataFrame, key: str, vector: str, outlier_fraction: float = 0.0
         parts.append((project, ref, own.mean(), max(own.std(), 1e-6)))
     shared = df.sparkSession.sparkContext.broadcast(parts)
 
-    def scores(x):
-        logs = np.zeros(len(x))
-        for project, ref, m, s in shared.value:
-            z = (distances(((x - mean) / spread) @ project, ref, min(k, len(ref)), 0) - m) / s
-            # outliers: the same spread, three deviations out
-            logs += np.clip((z - 1.5) * 3, -20, 20)
+    def odds(z, ref, m, s):
+        # outliers: the same spread, three deviations out
+        return np.clip(((distances(z, ref, min(k, len(ref)), 0) - m) / s - 1.5) * 3, -20, 20)
+
+    def score(logs):
         lift = np.exp(np.clip(logs / (0.8 * members), -50, 50)) * outlier_fraction
         return lift / (lift + 1 - outlier_fraction)
 
+    def shares(x, scored):
+        """Of each row: how far the score falls with each coordinate at its mean, as shares of one."""
+        out = []
+        for row, full in zip(x, scored):
+            logs = np.zeros(len(row))
+            for project, ref, m, s in shared.value:
+                logs += odds(row @ project - row[:, None] * project, ref, m, s)
+            gain = np.maximum(full - score(logs), 0) + 1e-12
+            out.append(gain / gain.sum())
+        return out
+
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["v"].tolist(), float)
-            out = pd.DataFrame({"key": pdf["k"].to_numpy(np.int64), "outlier_score": scores(x)})
-            if influence:
-                moved = np.stack([scores(np.where(np.arange(x.shape[1]) == j, mean, x)) for j in range(x.shape[1])], axis=1)
-                gain = np.maximum(out["outlier_score"].to_numpy()[:, None] - moved, 0) + 1e-12
-                out["influences"] = list(gain / gain.sum(1, keepdims=True))
-            yield out
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                x = (np.array(part["v"].tolist(), float) - mean) / spread
+                logs = np.zeros(len(x))
+                for project, ref, m, s in shared.value:
+                    logs += odds(x @ project, ref, m, s)
+                out = pd.DataFrame({"key": part["id"].to_numpy(np.int64), "outlier_score": score(logs)})
+                if influence:
+                    above = np.flatnonzero(out["outlier_score"].to_numpy() > threshold)
+                    given = dict(zip(above.tolist(), shares(x[above], out["outlier_score"].to_numpy()[above])))
+                    out["influences"] = [given.get(i) for i in range(len(out))]
+                yield out
 
     schema = "key long, outlier_score double" + (", influences array<double>" if influence else "")
-    return good.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def most_correlated(df: DataFrame, series: str, bucket: str, value: str, top: int = 10, block: int = 512) -> DataFrame:

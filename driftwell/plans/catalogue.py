@@ -693,7 +693,7 @@ def outliers_distance_knn(spark, sf_dir):
 
 
 @query(
-    f"{KNN}, kd AS (SELECT key, max(distance) AS kd FROM k GROUP BY 1), r AS (SELECT k.key, k.neighbour, greatest(k.distance, kd.kd) AS reach FROM k JOIN kd ON k.neighbour = kd.key), l AS (SELECT key, 1 / greatest(avg(reach), 1e-12) AS lrd FROM r GROUP BY 1) "
+    f"{KNN}, kd AS (SELECT key, max(distance) AS kd FROM k GROUP BY 1), r AS (SELECT k.key, k.neighbour, greatest(k.distance, kd.kd) AS reach FROM k JOIN kd ON k.neighbour = kd.key), m AS (SELECT key, avg(reach) AS reach FROM r GROUP BY 1), l AS (SELECT key, CASE WHEN reach > 0 THEN 1 / reach ELSE coalesce(2 / (SELECT min(reach) FROM m WHERE reach > 0), 1) END AS lrd FROM m) "
     "SELECT k.key, round(avg(n.lrd) / any_value(o.lrd), 6) + 0.0 AS score FROM k JOIN l n ON k.neighbour = n.key JOIN l o ON k.key = o.key GROUP BY 1"
 )
 def outliers_lof(spark, sf_dir):
