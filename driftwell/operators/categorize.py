@@ -1,19 +1,31 @@
 """Log-message categorization: tokens, weights, similarity to known categories, reverse searches.
 
-Assignment depends on the order of arrival, so each partition's messages go through one state in order; only
-distinct token lists need comparing, so messages are first reduced to distinct token lists with their
-first arrival, and the long tail joins back by its tokens.
+Categories are those token lists that no category before them resembles.  Only distinct token lists need comparing, by their
+first arrival.  No group of rows holds a partition: the earliest undecided lists, bounded in number, are gone
+through in order, which decides each of them, as everything earlier is decided; the new categories then take what
+resembles them out of all later lists at once, by a set-similarity join over rare tokens, and so on until no list is left.
+Each list at last joins the most similar category that came before it, of equally similar ones the oldest.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.skew import join_counted
+from driftwell.sources.tables import dropped, written
+
 UPPER, LOWER = 0.85, 0.7
+#: Lists more similar than LOWER have this share of either's weight in common, as total weights differ by LOWER at most.
+SHARED = 2 - 1 / LOWER
+LISTS = 16_384  # lists that are gone through in order at a time, about
+RANGES = 8192  # ranges of the order of arrival at most
+EXAMPLE = 1000  # characters that are kept of an example
+FREQUENT = 10_000  # tokens whose frequency is known to every task
 # English names of days and months and zone names that count as date words.
 DATE_WORDS = [w for n in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December") for w in (n, n[:3])] + ["GMT", "UTC"]
 TOKEN = r"[a-zA-Z0-9/]+(?:[_.\-]+[a-zA-Z0-9/]+)*"
@@ -56,6 +68,9 @@ def weights_of(tokens: list[str], words: frozenset[str] = frozenset(), verbs: fr
 
 def weighted_distance(a: list[str], b: list[str], wa: list[int], wb: list[int]) -> int:
     """Edit distance over tokens: insertions and deletions cost a token's weight, changes the larger one."""
+    if min(len(a), len(b)) > 24:
+        names = {t: i for i, t in enumerate({*a, *b})}
+        return long_distance(*(np.array([names[t] for t in x]) for x in (a, b)), np.array(wa), np.array(wb))
     row = [0]
     for w in wb:
         row.append(row[-1] + w)
@@ -67,6 +82,43 @@ def weighted_distance(a: list[str], b: list[str], wa: list[int], wb: list[int])
     return row[-1]
 
 
+def long_distance(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> int:
+    """weighted_distance() of numbered tokens, a row at a time: insertions are a running minimum over the weights so far."""
+    upto = np.concatenate([[0], np.cumsum(wb)])
+    row = upto
+    for t, w in zip(a, wa):
+        best = row + w
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(b == t, 0, np.maximum(wb, w)))
+        row = np.minimum.accumulate(best - upto) + upto
+    return int(row[-1])
+
+
+def similarity(a: list[str], b: list[str], wa: list[int], wb: list[int]) -> float:
+    """One less the distance's share of the larger weight; 0 where the tokens that only one of them has rule out more than LOWER."""
+    most, mine, theirs = max(sum(wa), sum(wb), 1), set(a), set(b)
+    alone = max(sum(w for t, w in zip(a, wa) if t not in theirs), sum(w for t, w in zip(b, wb) if t not in mine))
+    if alone >= (1 - LOWER) * most + 1e-9:
+        return 0.0
+    return 1 - weighted_distance(a, b, wa, wb) / most
+
+
+def rare_tokens(tokens: list[str], weights: list[int], frequency: dict[str, int]) -> list[str]:
+    """The distinct tokens, rarest first, down to where all that follow weigh less than SHARED: similar lists share one of them.
+
+    An empty list has the empty token alone.
+    """
+    held: dict[str, int] = {}
+    for t, w in zip(tokens, weights):
+        held[t] = held.get(t, 0) + w
+    left, out, total = sum(weights), [], sum(weights)
+    for t in sorted(held, key=lambda t: (frequency.get(t, 0), t)):
+        if left < SHARED * total - 1e-9:
+            break
+        out.append(t)
+        left -= held[t]
+    return out or [""]
+
+
 class Category:
     def __init__(self, tokens: list[str], weights: list[int]):
         self.base, self.weights, self.count = tokens, weights, 0
@@ -92,41 +144,42 @@ class Category:
 
 
 class Categorizer:
-    """Known categories, tried from the most matched down.
+    """Known categories and one state in order of arrival.
 
-    A similarity above the lower threshold needs that share of both total weights in common tokens, so only
+    by_count: categories are tried from the most matched down, and one above the upper threshold is taken at once.
+    Otherwise the most similar is taken, of equally similar ones the oldest, which needs no counts.  Only
     categories found under the message's rarer tokens are compared: those left out together weigh too little.
     """
 
-    def __init__(self, words: frozenset[str] = frozenset(), verbs: frozenset[str] = frozenset()):
+    def __init__(self, words: frozenset[str] = frozenset(), verbs: frozenset[str] = frozenset(), by_count: bool = True):
         self.categories: list[Category] = []
         self.under: dict[str, list[int]] = {}
-        self.words, self.verbs, self.met = words, verbs, {}
+        self.words, self.verbs, self.met, self.by_count = words, verbs, {}, by_count
 
     def candidates(self, tokens: list[str], weights: list[int], total: int) -> list[int]:
-        held = dict(zip(tokens, weights))
+        held: dict[str, int] = {}
+        for t, w in zip(tokens, weights):
+            held[t] = held.get(t, 0) + w
         skipped, found = 0, set()
         for t in sorted(held, key=lambda t: -len(self.under.get(t, ()))):
-            weight = sum(w for u, w in zip(tokens, weights) if u == t)
-            if skipped + weight < LOWER * total:
-                skipped += weight
+            if skipped + held[t] < SHARED * total - 1e-9:
+                skipped += held[t]
             else:
                 found.update(self.under.get(t, ()))
-        return sorted(found, key=lambda i: (-self.categories[i].count, i))
+        return sorted(found, key=lambda i: (-self.categories[i].count if self.by_count else 0, i))
 
     def match(self, tokens: list[str], weights: list[int]) -> int | None:
         if not tokens:
             return next((i for i, c in enumerate(self.categories) if not c.base), None)
-        total, best, top, mine = sum(weights), None, LOWER, set(tokens)
+        total, best, top = sum(weights), None, LOWER
         for i in self.candidates(tokens, weights, total):
             c = self.categories[i]
-            need = top * max(total, c.total)
-            if min(total, c.total) < need or sum(w for t, w in zip(c.base, c.weights) if t in mine) < need:
+            if min(total, c.total) < LOWER * max(total, c.total):
                 continue
-            s = 1 - weighted_distance(tokens, c.base, weights, c.weights) / max(total, c.total, 1)
+            s = similarity(tokens, c.base, weights, c.weights)
             if s > top:
                 best, top = i, s
-                if s > UPPER:
+                if self.by_count and s > UPPER:
                     break
         return best
 
@@ -147,41 +200,145 @@ class Categorizer:
         return best + 1
 
 
-def categorize(df: DataFrame, key: str, text: str, order: list[str], partition: str | None = None, patterns: tuple[str, ...] = (), words: frozenset[str] = frozenset()) -> DataFrame:
-    """(partition, key, category) of every message, in order of arrival within its partition."""
+def token_lists(rows: DataFrame, words: frozenset[str], verbs: frozenset[str]) -> DataFrame:
+    """(partition, tokens, n, weights, rare, pos, range): the distinct lists; pos rises with first arrival, in ranges of it."""
+    lists = written(rows.groupBy("partition", "tokens").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")))
+    often = lists.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
+    known = rows.sparkSession.sparkContext.broadcast({r["t"]: r["count"] for r in often})
+
+    def run(batches):
+        for pdf in batches:
+            weights = [weights_of(list(t), words, verbs) for t in pdf["tokens"]]
+            yield pdf.assign(weights=weights, rare=[rare_tokens(list(t), w, known.value) for t, w in zip(pdf["tokens"], weights)])
+
+    kind = lists.schema["first"].dataType.simpleString()
+    wide = lists.mapInPandas(run, f"partition string, tokens array<string>, first {kind}, n long, weights array<int>, rare array<string>")
+    order = ["first", "partition", "tokens"]
+    ranges = min(RANGES, lists.count() // (LISTS // 4) + 1)
+    ordered = wide.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    out = written(ordered.drop("first").withColumn("range", F.shiftright("pos", 33).cast("int")))
+    dropped(lists)
+    return out
+
+
+def alike(lists: DataFrame, categories: DataFrame) -> DataFrame:
+    """(pos, category_pos, similarity): lists with the categories before them that they resemble."""
+    a = lists.select("partition", "pos", "tokens", "weights", "rare", F.explode("rare").alias("t"))
+    b = categories.select("partition", F.explode("rare").alias("t"), *[F.col(c).alias(f"b_{c}") for c in ("pos", "tokens", "weights", "rare")])
+    add = lambda w: F.aggregate(w, F.lit(0), lambda x, y: x + y)
+    total, other = add("weights"), add("b_weights")
+    # a pair meets under each rare token that both have, and is compared under the first of them
+    pairs = a.join(b, ["partition", "t"]).where((F.col("b_pos") < F.col("pos")) & (F.element_at(F.array_intersect("rare", "b_rare"), 1) == F.col("t")))
+    fit = pairs.where(F.least(total, other) >= LOWER * F.greatest(total, other))
+
+    def compare(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
+        return pd.Series([similarity(list(x), list(y), list(v), list(w)) for x, y, v, w in zip(a, b, wa, wb)], dtype=float)
+
+    s = F.pandas_udf(compare, "double")("tokens", "b_tokens", "weights", "b_weights")
+    return fit.select("pos", F.col("b_pos").alias("category_pos"), s.alias("similarity")).where(F.col("similarity") > LOWER)
+
+
+def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One partition's lists, each with the position of its category, which is its own for a new one."""
+    state, found = Categorizer(by_count=False), []
+    pdf = pdf.sort_values("pos")
+    at = []
+    for pos, tokens, weights in zip(pdf["pos"], pdf["tokens"], pdf["weights"]):
+        tokens, weights = list(tokens), list(weights)
+        best = state.match(tokens, weights)
+        if best is None:
+            best = len(at)
+            at.append(pos)
+            state.categories.append(Category(tokens, weights))
+            for t in set(tokens):
+                state.under.setdefault(t, []).append(best)
+        found.append(at[best])
+    return pdf.assign(category_pos=found)
+
+
+def decided_lists(lists: DataFrame, window: int = LISTS) -> DataFrame:
+    """(partition, tokens, weights, rare, pos, category_pos) of the lists that no category of an earlier window resembles.
+
+    Those whose category is their own are all categories, exactly as one state in order would find them.
+    """
+    columns = ["partition", "tokens", "weights", "rare", "pos"]
+    schema = "partition string, tokens array<string>, weights array<int>, rare array<string>, pos long, category_pos long"
+    left, found = lists, []
+    while True:
+        sizes = left.groupBy("range").count().orderBy("range").collect()  # RANGES at most
+        if not sizes:
+            break
+        upto, n = sizes[0]["range"], sizes[0]["count"]
+        for r in sizes[1:]:
+            if n + r["count"] > window:
+                break
+            upto, n = r["range"], n + r["count"]
+        found.append(written(left.where(F.col("range") <= upto).select(*columns).groupBy("partition").applyInPandas(in_order, schema)))
+        if upto == sizes[-1]["range"]:
+            break
+        later = left.where(F.col("range") > upto)
+        rest = written(later.join(alike(later, found[-1].where("pos = category_pos")).select("pos").distinct(), "pos", "left_anti"))
+        if left is not lists:
+            dropped(left)
+        left = rest
+    if left is not lists:
+        dropped(left)
+    if len(found) < 2:
+        return found[0] if found else written(lists.select(*columns, F.col("pos").alias("category_pos")))
+    out = written(*found)
+    dropped(*found)
+    return out
+
+
+def numbered_categories(categories: DataFrame) -> DataFrame:
+    """(category_pos, category, global_category): categories counted from 1 in their partition and over all, range by range of the order of arrival."""
+    c = categories.select("partition", F.col("pos").alias("category_pos"), F.shiftright("pos", 33).alias("r"))
+    sizes = c.groupBy("partition", "r").count()
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda w: F.coalesce(F.sum("count").over(w), F.lit(0))
+    own = sizes.select("partition", "r", start(upto("partition")).alias("before"))
+    every = sizes.groupBy("r").agg(F.sum("count").alias("count")).select("r", start(upto(F.lit(0))).alias("before_all"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("category_pos"))
+    return c.withColumn("p", place("partition", "r")).withColumn("q", place("r")).join(own, ["partition", "r"]).join(every, "r").select(
+        "category_pos", (F.col("p") + F.col("before")).cast("int").alias("category"), (F.col("q") + F.col("before_all")).alias("global_category")
+    )
+
+
+def categorize(
+    df: DataFrame, key: str, text: str, order: list[str], partition: str | None = None, patterns: tuple[str, ...] = (),
+    words: frozenset[str] = frozenset(), verbs: frozenset[str] = frozenset(), window: int = LISTS,
+) -> DataFrame:
+    """(partition, key, category, global_category) of every message.
+
+    category counts a partition's categories from 1 in order of arrival, global_category those of all partitions.
+    """
     c = F.col(text).cast("string")
     for p in patterns:
         c = F.regexp_replace(c, p, "")
     part = F.coalesce(F.col(partition).cast("string"), F.lit("")) if partition else F.lit("")
-    rows = df.select(part.alias("partition"), F.col(key).alias("key"), tokens_of(c).alias("tokens"), F.length(c).alias("length"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
-    lists = rows.groupBy("partition", "tokens").agg(
-        F.min(F.struct(*[f"_o{i}" for i in range(len(order))])).alias("first"), F.count(F.lit(1)).alias("n"), F.max("length").alias("length")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        state = Categorizer(words)
-        found = [state.category(list(t), int(n or 0)) for t, n in zip(pdf["tokens"], pdf["length"])]
-        return pdf[["partition", "tokens"]].assign(category=found)
-
-    at = F.to_json("first")
-    if len(order) == 1:
-        at = F.col("first._o0")
-    named = lists.select("partition", "tokens", "length", at.alias("at")).groupBy("partition").applyInPandas(
-        run, "partition string, tokens array<string>, category int"
-    )
-    return rows.join(named, ["partition", "tokens"]).select("partition", "key", "category")
+    rows = df.select(part.alias("partition"), F.col(key).alias("key"), tokens_of(c).alias("tokens"), F.struct(*order).alias("at"))
+    lists = token_lists(rows, words, verbs)
+    decided = decided_lists(lists, window)
+    categories = decided.where("pos = category_pos")
+    assigned = decided.select("pos", "category_pos")
+    rest = lists.join(assigned.select("pos"), "pos", "left_anti")
+    best = alike(rest, categories).groupBy("pos").agg(F.max_by("category_pos", F.struct("similarity", -F.col("category_pos"))).alias("category_pos"))
+    of = written(assigned, best)
+    named = written(lists.select("partition", "tokens", "n", "pos").join(of, "pos").join(numbered_categories(categories), "category_pos").select("partition", "tokens", "n", "category", "global_category"))
+    dropped(lists, decided, of)
+    return join_counted(rows, named, ["partition", "tokens"], "n", ["key"]).select("partition", "key", "category", "global_category")
 
 
 def category_definitions(assigned: DataFrame, messages: DataFrame, key: str, text: str, examples: int = 4) -> DataFrame:
     """(partition, category, count, terms, regex, max_length, examples) of each category."""
     rows = assigned.join(messages.select(F.col(key).alias("key"), F.col(text).alias("_t")), "key").withColumn("tokens", tokens_of(F.col("_t")))
     counts = rows.groupBy("partition", "category").agg(F.count(F.lit(1)).alias("count"), F.max(F.length("_t")).alias("longest"), F.min(F.struct("key", "tokens")).getField("tokens").alias("base"))
-    distinct = rows.select("partition", "category", F.substring("_t", 1, 200).alias("e")).distinct()
-    some = distinct.groupBy("partition", "category").agg(F.slice(F.array_sort(F.collect_set("e")), 1, examples).alias("examples"))
+    distinct = rows.select("partition", "category", F.substring("_t", 1, EXAMPLE).alias("e")).where("e is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("partition", "category").orderBy("e"))
+    some = distinct.withColumn("_p", place).where(F.col("_p") <= examples).groupBy("partition", "category").agg(F.array_sort(F.collect_list("e")).alias("examples"))
     held = rows.select("partition", "category", "key", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("partition", "category", "t").agg(F.count(F.lit(1)).alias("n"))
     common = held.join(counts.select("partition", "category", "count"), ["partition", "category"]).where("n = count").groupBy("partition", "category").agg(F.collect_set("t").alias("common"))
-    out = counts.join(some, ["partition", "category"]).join(common, ["partition", "category"], "left")
+    out = counts.join(some, ["partition", "category"], "left").join(common, ["partition", "category"], "left")
     kept = F.filter("base", lambda t: F.array_contains(F.coalesce("common", F.array().cast("array<string>")), t))
     quoted = F.transform(kept, lambda t: F.regexp_replace(t, r"([.\-/])", r"\\$1"))
     return out.select(
@@ -195,10 +352,9 @@ def category_definitions(assigned: DataFrame, messages: DataFrame, key: str, tex
 
 def categorization_status(counts: DataFrame, dead: int = 0) -> DataFrame:
     """One row: status ok or warn, from a table (category, count)."""
-    a = counts.agg(
-        F.sum("count").alias("messages"), F.count(F.lit(1)).alias("categories"), F.count_if(F.col("count") == 1).alias("rare"),
-        F.max("count").alias("_most"), F.collect_list("count").alias("_c"),
-    ).withColumn("frequent", F.size(F.filter("_c", lambda c: (c > 1) & (c * 100 > F.col("messages")))))
+    a = counts.agg(F.sum("count").alias("messages"), F.count(F.lit(1)).alias("categories"), F.count_if(F.col("count") == 1).alias("rare"))
+    often = counts.join(F.broadcast(a.select("messages"))).agg(F.count_if((F.col("count") > 1) & (F.col("count") * 100 > F.col("messages"))).cast("int").alias("frequent"))
+    a = a.join(F.broadcast(often))
     warn = (F.col("messages") >= 100) & (
         (F.col("categories") == 1) | (F.col("rare") > 0.9 * F.col("categories")) | (F.col("categories") > 0.5 * F.col("messages"))
         | (F.col("frequent") == 0) | (F.lit(dead) > 0.5 * F.col("categories"))

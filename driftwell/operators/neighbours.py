@@ -6,9 +6,9 @@ k-th neighbour is bounded from above by what lies with it in its part of a block
 It is then sent only to rings that may hold something nearer: by the ring's distances from its pivot, and by the plane
 half-way between two pivots.  Pivots and rings are bounded in number, so what tasks are given doesn't grow with the table.
 
-Rows: null keys, and vectors that are null, empty or hold null or non-finite entries take no part, nor do vectors of another
-length than most (of equally common lengths the longest counts).  Of several rows with one key the least vector counts, so
-repeated rows are one point.  Ties go to the smaller key.  Keys are whole numbers.
+Rows: null keys, and vectors that are null, empty or hold null or non-finite entries take no part.  Of several rows with one
+key the least vector counts, so repeated rows are one point.  Vectors of another length than most of these (of equally common
+lengths the longest counts) take no part either.  Ties go to the smaller key.  Keys are whole numbers.
 """
 
 from __future__ import annotations
@@ -36,8 +36,16 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     # minus zero becomes zero, so that equal vectors are equal
     v = F.transform(F.col(vector).cast("array<double>"), lambda c: c + F.lit(0.0))
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", fine))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (most["d"] if most else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def of_one_length(points: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(the distinct points of the commonest length, their number, that of their rows, the length)."""
+    sizes = points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    most = sizes.orderBy(F.desc("rows"), F.desc("d")).first()
+    if not most:
+        return points, 0, 0, 0
+    return points.where(F.size("v") == most["d"]), most["n"], most["rows"], most["d"]
 
 
 def distinct_points(rows: DataFrame, k: int) -> DataFrame:
@@ -47,10 +55,9 @@ def distinct_points(rows: DataFrame, k: int) -> DataFrame:
     def in_batch(batches):
         for batch in batches:
             by: dict[bytes, list[int]] = {}
-            v = batch.column("v")
-            wide = len(v.flatten()) // max(1, len(v))
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide) if wide else np.zeros((0, 0))
-            for i, row in zip(batch.column("id").to_pylist(), x):
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(batch.column("v").value_lengths().to_numpy())
+            for i, row in zip(batch.column("id").to_pylist(), np.split(flat, ends[:-1])):
                 by.setdefault(row.tobytes(), []).append(i)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -245,19 +252,18 @@ def asked(parts: DataFrame, rings, k: int, d: int) -> DataFrame:
     return parts.select("cell", "ids", "owner", "points").mapInArrow(run, "ring string, asked binary, wanted binary, bound binary")
 
 
-def rings_of(points: DataFrame, n: int, k: int, part: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(the table of parts, the parts with their rings, the points asked of each ring, the dimension)."""
-    d = len(points.select("v").first()["v"])
+def rings_of(points: DataFrame, n: int, d: int, k: int, part: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the table of parts, the parts with their rings, the points asked of each ring)."""
     context = points.sparkSession.sparkContext
     centres = context.broadcast(choose_pivots(points, n, part))
     parts = written(packed(points, centres, n, d, part))
     named, known = with_rings(parts, n, part)
-    return parts, named, asked(parts, context.broadcast(Rings(centres.value, known, k)), k, d), d
+    return parts, named, asked(parts, context.broadcast(Rings(centres.value, known, k)), k, d)
 
 
-def self_join(points: DataFrame, n: int, k: int, part: int) -> tuple[DataFrame, DataFrame]:
+def self_join(points: DataFrame, n: int, d: int, k: int, part: int) -> tuple[DataFrame, DataFrame]:
     """((id, neighbour, distance) of each distinct point's k + 1 nearest, itself and its copies included; the written table it reads)."""
-    parts, named, asks, d = rings_of(points, n, k, part)
+    parts, named, asks = rings_of(points, n, d, k, part)
 
     def meet(batches):
         for batch in batches:
@@ -275,15 +281,14 @@ def self_join(points: DataFrame, n: int, k: int, part: int) -> tuple[DataFrame,
 def neighbours(df: DataFrame, key: str, vector: str, k: int, part: int = PART) -> DataFrame:
     """(key, rank, neighbour, distance): each point's k nearest points other than itself, of the whole table, ties to the smaller key."""
     rows = usable(df, key, vector)
-    points = written(distinct_points(rows, k))
-    size = points.agg(F.count("*").alias("n"), F.sum("copies").alias("all")).first()
-    n, every = size["n"], size["all"] or 0
+    table = written(distinct_points(rows, k))
+    points, n, every, d = of_one_length(table)
     if not n:
         return df.sparkSession.createDataFrame([], "key long, rank int, neighbour long, distance double")
-    found, parts = self_join(points, n, k, part)
+    found, parts = self_join(points, n, d, k, part)
     lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
     of = written(lists.join(points.select(F.element_at("ids", 1).alias("id"), "v", "copies"), "id"))
-    dropped(parts, points)
+    dropped(parts, table)
     out = [of.where("copies = 1").select("id", "near")]
     if every > n:
         # a vector of very many rows is joined where the rows are, the others by their vectors
@@ -298,6 +303,8 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, part: int = PART) -
         )
         for one in out
     ]
+    if len(ranked) == 1:
+        return ranked[0]
     result = written(*ranked)
     dropped(of)
     return result
@@ -305,11 +312,11 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, part: int = PART) -
 
 def pairs_met(df: DataFrame, key: str, vector: str, k: int, part: int = PART) -> int:
     """How many pairs of points neighbours() measures, for judging how much of the table it can leave out."""
-    points = written(distinct_points(usable(df, key, vector), k))
-    n = points.count()
+    table = written(distinct_points(usable(df, key, vector), k))
+    points, n, _, d = of_one_length(table)
     if not n:
         return 0
-    parts, named, asks, _ = rings_of(points, n, k, part)
+    parts, named, asks = rings_of(points, n, d, k, part)
     met = asks.join(named.select("ring", "size"), "ring").agg(F.sum(F.octet_length("asked") / 8 * F.col("size"))).first()[0]
-    dropped(parts, points)
+    dropped(parts, table)
     return int(met or 0)

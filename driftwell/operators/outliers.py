@@ -83,7 +83,9 @@ def ensemble(df: DataFrame, key: str, vector: str, outlier_fraction: float = 0.0
     threshold and null for others: with one coordinate at its mean a projection moves along one line, so nothing is projected anew.
     """
     rows = usable(df, key, vector)
-    n = rows.count()
+    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    n = most["count"] if most else 0
+    rows = rows.where(F.size("v") == (most["d"] if most else 0))
     if not n:
         empty = rows.select(F.col("id").alias("key"), F.lit(0.0).alias("outlier_score"))
         return empty.withColumn("influences", F.lit(None).cast("array<double>")) if influence else empty
