@@ -1,8 +1,6 @@
-"""Regression and classification with boosted trees: distributed training, inference, feature importance, class weights.
+"""Regression and classification with boosted trees: training, inference, feature importance, class weights.
 
-Training is Spark ML's gradient-boosted trees over the whole table; losses it lacks are reached through the
-target (msle trains on log(1 + y)) or residuals clipped once (huber).  More than two classes train one model
-each.  A trained ensemble is exported to plain arrays for importance and for the JSON definition.
+Trees are grown by operators/trees.py over the whole table, of several classes one a class and round.
 """
 
 from __future__ import annotations
@@ -11,68 +9,43 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.operators import trees as T
+from driftwell.operators.trees import goes_left, tree_values
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """df with the vector column _x; missing features become the column's absence marker -1e30, a split of their own."""
-    filled = [F.coalesce(F.col(f).cast("double"), F.lit(-1e30)).alias(f"_f{i}") for i, f in enumerate(features)]
-    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(df.select("*", *filled)).drop(*[f"_f{i}" for i in range(len(features))])
 
+def train_regression(df: DataFrame, features: list[str], target: str, loss: str = "mse", parameter: float = 1.0, trees: int = 20, depth: int = 5, seed: int = 1, **more) -> T.Model:
+    """A regression model of the rows that have a target; parameter is the width of the huber loss."""
+    return T.fit(df, features, target, loss, parameter, T.Parameters(trees=trees, depth=depth, seed=seed, **more))
 
-def train_regression(df: DataFrame, features: list[str], target: str, loss: str = "mse", parameter: float = 1.0, trees: int = 20, depth: int = 5, seed: int = 1):
-    """A regression model of the rows that have a target."""
-    rows = assembled(df.where(F.col(target).isNotNull()), features).withColumn("_y", F.col(target).cast("double"))
-    make = lambda: GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="prediction", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2)
-    if loss == "msle":
-        return make().fit(rows.withColumn("_y", F.log1p(F.greatest("_y", F.lit(0.0)))))
-    model = make().fit(rows)
-    if loss == "huber":
-        p = model.transform(rows)
-        r = F.col("_y") - F.col("prediction")
-        clipped = F.col("prediction") + F.greatest(F.lit(-parameter), F.least(F.lit(parameter), r))
-        model = make().fit(p.withColumn("_y", clipped).drop("prediction"))
-    return model
 
+def predict_regression(model: T.Model, df: DataFrame, features: list[str], loss: str = "mse") -> DataFrame:
+    return T.predict(model, df, "_m").withColumn("prediction", F.col("_m")[0]).drop("_m")
 
-def predict_regression(model, df: DataFrame, features: list[str], loss: str = "mse") -> DataFrame:
-    out = model.transform(assembled(df, features)).drop("_x")
-    return out.withColumn("prediction", F.expm1("prediction")) if loss == "msle" else out
 
+def train_classification(df: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 5, seed: int = 1, most_classes: int = 30, **more) -> tuple[T.Model, list]:
+    """(model, classes): logistic loss for two classes, multinomial for more."""
+    p = T.Parameters(trees=trees, depth=depth, seed=seed, **more)
+    few = len(df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).collect()) <= 2
+    model = T.fit(df, features, target, "logistic" if few else "multinomial", p=p, most_classes=most_classes)
+    return model, model.classes
 
-def train_classification(df: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 5, seed: int = 1, most_classes: int = 30) -> list[tuple[object, object]]:
-    """[(class, model)]: one model for two classes (of the larger), one a class otherwise."""
-    rows = assembled(df.where(F.col(target).isNotNull()), features)
-    classes = sorted(r[0] for r in rows.select(target).distinct().limit(most_classes + 1).collect())
-    if len(classes) > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
-    chosen = classes[1:] if len(classes) == 2 else classes
-    gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2)
-    return [(c, gbt.fit(rows.withColumn("_y", (F.col(target) == c).cast("double")))) for c in chosen], classes
 
-
-def predict_classification(models, classes: list, df: DataFrame, features: list[str], weights: dict | None = None, top: int = 2) -> DataFrame:
+def predict_classification(model: T.Model, classes: list, df: DataFrame, features: list[str], weights: dict | None = None, top: int = 2) -> DataFrame:
     """df with prediction and top_classes (class, probability, score), scores being weighted probabilities."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = assembled(df, features)
-    columns = []
-    for i, (_, m) in enumerate(models):
-        kept = out.columns
-        out = m.transform(out).select(*kept, vector_to_array("probability")[1].alias(f"_p{i}"))
-        columns.append(f"_p{i}")
-    if len(classes) == 2:
-        p = [1 - F.col("_p0"), F.col("_p0")]
+    out = T.predict(model, df, "_m")
+    if model.loss == "logistic":
+        one = 1 / (1 + F.exp(-F.col("_m")[0]))
+        p = [1 - one, one][: len(classes)] if len(classes) == 2 else [F.lit(1.0)] * len(classes)
     else:
-        total = sum((F.col(c) for c in columns), F.lit(1e-300))
-        p = [F.col(c) / total for c in columns]
+        shares = F.transform("_m", lambda v: F.exp(v - F.array_max("_m")))
+        total = F.aggregate(shares, F.lit(0.0), lambda s, v: s + v)
+        p = [shares[i] / total for i in range(len(classes))]
     entries = F.array(*[F.struct((-x * F.lit(float((weights or {}).get(c, 1.0)))).alias("order"), F.lit(c).alias("class"), x.alias("probability")) for c, x in zip(classes, p)])
     ranked = F.transform(F.slice(F.array_sort(entries), 1, top), lambda e: F.struct(e["class"].alias("class_name"), e["probability"].alias("class_probability"), (-e["order"]).alias("class_score")))
-    return out.withColumn("top_classes", ranked).withColumn("prediction", F.col("top_classes")[0]["class_name"]).drop("_x", *columns)
+    return out.withColumn("top_classes", ranked).withColumn("prediction", F.col("top_classes")[0]["class_name"]).drop("_m")
 
 
 def class_weights(scored: DataFrame, target: str, probability: str, grid: int = 99) -> tuple[float, float]:
@@ -87,41 +60,9 @@ def class_weights(scored: DataFrame, target: str, probability: str, grid: int =
     return at / (grid + 1), float(min(recall1[at], recall0[at]))
 
 
-def export_trees(model) -> list[dict]:
-    """Each tree as arrays: feature (-1 at leaves), threshold, left, right, value, cover; values carry the tree's weight."""
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        nodes = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
-
-        def walk(j) -> int:
-            at = len(nodes["feature"])
-            for v in nodes.values():
-                v.append(0)
-            leaf = j.numDescendants() == 0
-            nodes["value"][at] = j.prediction() * weight
-            nodes["cover"][at] = j.impurityStats().count()
-            if leaf:
-                nodes["feature"][at] = -1
-            else:
-                nodes["feature"][at] = j.split().featureIndex()
-                nodes["threshold"][at] = j.split().threshold()
-                nodes["left"][at], nodes["right"][at] = walk(j.leftChild()), walk(j.rightChild())
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append(nodes)
-    return out
-
-
-def tree_values(tree: dict, x: np.ndarray) -> np.ndarray:
-    """The leaf value of every row."""
-    f, t, left, right = (np.array(tree[k]) for k in ("feature", "threshold", "left", "right"))
-    at = np.zeros(len(x), int)
-    while (inner := f[at] >= 0).any():
-        r = np.flatnonzero(inner)
-        go = x[r, f[at[r]]] <= t[at[r]]
-        at[r] = np.where(go, left[at[r]], right[at[r]])
-    return np.array(tree["value"])[at]
+def export_trees(model: T.Model) -> list[dict]:
+    """Each tree as arrays: feature (-1 at leaves), threshold, missing_left, left, right, value, cover."""
+    return model.trees
 
 
 def conditional_value(tree: dict, x: np.ndarray, known: set[int], at: int = 0) -> np.ndarray:
@@ -132,7 +73,7 @@ def conditional_value(tree: dict, x: np.ndarray, known: set[int], at: int = 0) -
     l, r = tree["left"][at], tree["right"][at]
     a, b = conditional_value(tree, x, known, l), conditional_value(tree, x, known, r)
     if f in known:
-        return np.where(x[:, f] <= tree["threshold"][at], a, b)
+        return np.where(goes_left(tree, at, x[:, f]), a, b)
     share = tree["cover"][l] / max(tree["cover"][at], 1)
     return share * a + (1 - share) * b
 
@@ -151,7 +92,7 @@ def shapley(trees: list[dict], x: np.ndarray) -> np.ndarray:
             f = tree["feature"][at]
             if f >= 0:
                 for child, below in ((tree["left"][at], True), (tree["right"][at], False)):
-                    go = (x[:, f] <= tree["threshold"][at]) == below
+                    go = goes_left(tree, at, x[:, f]) == below
                     z = tree["cover"][child] / max(tree["cover"][at], 1)
                     o, c = path.get(f, (np.ones(len(x), bool), 1.0))
                     stack.append((child, path | {f: (o & go, c * z)}))
@@ -175,15 +116,15 @@ def shapley(trees: list[dict], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def feature_importance(model, df: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """(key, baseline, importances): per row, summing to the prediction."""
-    trees = export_trees(model)
+def feature_importance(model: T.Model, df: DataFrame, key: str, features: list[str], output: int = 0) -> DataFrame:
+    """(key, baseline, importances): per row, summing to the model's output (of msle, before it is brought to the target's scale)."""
+    trees = [t for t in export_trees(model) if t["class"] == output]
     shared = df.sparkSession.sparkContext.broadcast(trees)  # as large as the model
-    base = float(sum(conditional_value(t, np.zeros((1, len(features))), set())[0] for t in trees))
+    base = float(model.base[output] + sum(conditional_value(t, np.zeros((1, len(features))), set())[0] for t in trees))
 
     def run(batches):
         for pdf in batches:
-            x = pdf[[f"_f{i}" for i in range(len(features))]].fillna(-1e30).to_numpy(float)
+            x = pdf[[f"_f{i}" for i in range(len(features))]].to_numpy(float)
             yield pd.DataFrame({"key": pdf["_k"], "baseline": base, "importances": list(shapley(shared.value, x))})
 
     rows = df.select(F.col(key).alias("_k"), *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
@@ -205,12 +146,12 @@ def total_importance(importances: DataFrame, features: list[str]) -> DataFrame:
 
 def model_definition(model, features: list[str], kind: str = "regression") -> str:
     """The ensemble as JSON: feature names, trees as node lists, and how leaf values are put together."""
-    how = {"logistic_regression": {"weights": [1.0] * len(model.trees)}} if kind == "classification" else {"weighted_sum": {"weights": [1.0] * len(model.trees)}}
-    trees = []
+    how = {"logistic_regression": {"weights": [1.0] * (1 + len(model.trees))}} if kind == "classification" else {"weighted_sum": {"weights": [1.0] * (1 + len(model.trees))}}
+    trees = [{"tree": {"feature_names": features, "tree_structure": [{"node_index": 0, "leaf_value": model.base[0], "number_samples": 0}], "target_type": kind}}]  # the base
     for t in export_trees(model):
         nodes = [
             {"node_index": i, "leaf_value": t["value"][i], "number_samples": int(t["cover"][i])} if f < 0 else
-            {"node_index": i, "split_feature": f, "threshold": t["threshold"][i], "decision_type": "lte", "left_child": t["left"][i], "right_child": t["right"][i], "number_samples": int(t["cover"][i])}
+            {"node_index": i, "split_feature": f, "threshold": t["threshold"][i], "decision_type": "lte", "default_left": bool(t["missing_left"][i]), "left_child": t["left"][i], "right_child": t["right"][i], "number_samples": int(t["cover"][i])}
             for i, f in enumerate(t["feature"])
         ]
         trees.append({"tree": {"feature_names": features, "tree_structure": nodes, "target_type": kind}})
@@ -234,12 +175,3 @@ def aggregate_inference(values, how: str, weights: list[float] | None = None):
     raise ValueError(how)
 
 
-def tune_regression(df: DataFrame, features: list[str], target: str, depths=(3, 5), trees=(10, 20), folds: int = 3, seed: int = 1):
-    """The best of a grid of depths and tree counts by cross-validation, fitted on all rows with a target."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    rows = assembled(df.where(F.col(target).isNotNull()), features).withColumn("_y", F.col(target).cast("double"))
-    gbt = GBTRegressor(featuresCol="_x", labelCol="_y", seed=seed, stepSize=0.2)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(trees)).build()
-    return CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="_y"), numFolds=folds, seed=seed).fit(rows).bestModel

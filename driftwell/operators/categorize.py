@@ -256,8 +256,8 @@ def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(category_pos=found)
 
 
-def decided_lists(lists: DataFrame, window: int = LISTS) -> DataFrame:
-    """(partition, tokens, weights, rare, pos, category_pos) of the lists that no category of an earlier window resembles.
+def decided_lists(lists: DataFrame, window: int = LISTS) -> tuple[DataFrame, bool]:
+    """(partition, tokens, weights, rare, pos, category_pos) of the lists that no category of an earlier window resembles; whether that is all of them.
 
     Those whose category is their own are all categories, exactly as one state in order would find them.
     """
@@ -284,10 +284,10 @@ def decided_lists(lists: DataFrame, window: int = LISTS) -> DataFrame:
     if left is not lists:
         dropped(left)
     if len(found) < 2:
-        return found[0] if found else written(lists.select(*columns, F.col("pos").alias("category_pos")))
+        return found[0] if found else written(lists.select(*columns, F.col("pos").alias("category_pos"))), True
     out = written(*found)
     dropped(*found)
-    return out
+    return out, False
 
 
 def numbered_categories(categories: DataFrame) -> DataFrame:
@@ -318,14 +318,15 @@ def categorize(
     part = F.coalesce(F.col(partition).cast("string"), F.lit("")) if partition else F.lit("")
     rows = df.select(part.alias("partition"), F.col(key).alias("key"), tokens_of(c).alias("tokens"), F.struct(*order).alias("at"))
     lists = token_lists(rows, words, verbs)
-    decided = decided_lists(lists, window)
+    decided, whole = decided_lists(lists, window)
     categories = decided.where("pos = category_pos")
     assigned = decided.select("pos", "category_pos")
-    rest = lists.join(assigned.select("pos"), "pos", "left_anti")
-    best = alike(rest, categories).groupBy("pos").agg(F.max_by("category_pos", F.struct("similarity", -F.col("category_pos"))).alias("category_pos"))
-    of = written(assigned, best)
-    named = written(lists.select("partition", "tokens", "n", "pos").join(of, "pos").join(numbered_categories(categories), "category_pos").select("partition", "tokens", "n", "category", "global_category"))
-    dropped(lists, decided, of)
+    of = decided
+    if not whole:
+        near = alike(lists.join(assigned.select("pos"), "pos", "left_anti"), categories)
+        of = written(assigned, near.groupBy("pos").agg(F.max_by("category_pos", F.struct("similarity", -F.col("category_pos"))).alias("category_pos")))
+    named = written(lists.select("partition", "tokens", "n", "pos").join(of.select("pos", "category_pos"), "pos").join(numbered_categories(categories), "category_pos").select("partition", "tokens", "n", "category", "global_category"))
+    dropped(lists, decided, *([] if whole else [of]))
     return join_counted(rows, named, ["partition", "tokens"], "n", ["key"]).select("partition", "key", "category", "global_category")
 
 
