@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.special import beta_cdf, gamma_upper, t_two_sided
+from driftwell.operators.skew import join_counted
+from driftwell.sources.tables import dropped, written
 
 LEAST = 2.2250738585072014e-308
 
@@ -261,3 +263,107 @@ def constant_scores(df: DataFrame, keys: list[str], order: list[str], value: str
     on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     p = F.when(F.col(value) == F.col("constant"), 1.0).otherwise(LEAST)
     return known.join(first, on).select(*df.columns, "constant", p.alias("probability"))
+
+
+# --- populations: one model of an attribute over all its members -------------------------------------------
+
+#: The models of a population's values and, by each, the number that its law is of.
+POPULATION = ("normal", "log_normal", "gamma")
+
+
+def population_states(pdf: pd.DataFrame, rate: float) -> pd.DataFrame:
+    """Of one attribute's buckets in order: each model's parameters before and after the bucket, and the constant of its density."""
+    pdf = pdf.sort_values("t")
+    out = {f"{when}_{c}": [] for when in ("before", "after") for c in ("n", "n_mean", "n_scale", "l_mean", "l_scale", "shape", "rate", "n_const", "g_const")}
+    n, total, logs = 0.0, 0.0, 0.0
+    moments = {"n": [0.0, 0.0], "l": [0.0, 0.0]}  # mean and sum of squares about it
+
+    def note(when: str) -> None:
+        own = {"n": n}
+        for m, (mean, m2) in moments.items():
+            own[f"{m}_mean"] = mean
+            own[f"{m}_scale"] = math.sqrt(max(m2 / max(n, 1.0), 1e-12 * max(1.0, mean**2)) * (1 + 1 / max(n, 1.0)))
+        known = n >= 2
+        k = r = 1.0
+        if known:
+            s = max(math.log(total / n) - logs / n, 1e-6)
+            k = min((3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s), 1e5)
+            r = k / (total / n)
+        own |= {"shape": k, "rate": r, "g_const": k * math.log(r) - math.lgamma(k), "n_const": math.lgamma((n + 1) / 2) - math.lgamma(n / 2) - 0.5 * math.log(n * math.pi) if known else 0.0}
+        for c, v in own.items():
+            out[f"{when}_{c}"].append(v)
+
+    for row in pdf.itertuples():
+        keep = math.exp(-rate)
+        n, total, logs = n * keep, total * keep, logs * keep
+        for m in moments.values():
+            m[1] *= keep
+        note("before")
+        for m, mean, square in (("n", row.mean, row.square), ("l", row.log_mean, row.log_square)):
+            d = mean - moments[m][0]
+            moments[m] = [moments[m][0] + d * row.n / (n + row.n), moments[m][1] + square + d * d * n * row.n / (n + row.n)]
+        n, total, logs = n + row.n, total + row.total, logs + row.logs
+        note("after")
+    return pdf.assign(**out)
+
+
+def population_scores(df: DataFrame, keys: list[str], bucket: str, value: str, tail: str = "two_sided", rate: float = 0.0005) -> DataFrame:
+    """(df's columns, typical, probability, model): each member's value in a bucket against the model of all members of its attribute.
+
+    A bucket's values are learned together and scored afterwards.  What a law keeps of them are sums, which meet before any
+    shuffle; a key's buckets then go through in order, and rows look the laws up again, a common (key, bucket) from many
+    tasks.  So no group holds an attribute's members.  Rows without a value take no part; keys must not be null.
+    """
+    y = F.col(value).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y) & F.col(bucket).isNotNull()).withColumn("_x", y)
+    log, up = F.log1p(F.greatest("_x", F.lit(0.0))), F.greatest("_x", F.lit(0.0)) + 0.1
+    on = [*keys, bucket]
+    sums = rows.groupBy(*on).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("_x").alias("mean"), (F.count(F.lit(1)) * F.var_pop("_x")).alias("square"),
+        F.avg(log).alias("log_mean"), (F.count(F.lit(1)) * F.var_pop(log)).alias("log_square"), F.sum(up).alias("total"), F.sum(F.log(up)).alias("logs"),
+    ).withColumn("t", F.col(bucket))
+    kinds = dict(sums.dtypes)
+    names = [f"{when}_{c}" for when in ("before", "after") for c in ("n", "n_mean", "n_scale", "l_mean", "l_scale", "shape", "rate", "n_const", "g_const")]
+    first = ", ".join(f"`{c}` {kinds[c]}" for c in sums.columns)
+    states = written(sums.groupBy(*keys).applyInPandas(lambda pdf: population_states(pdf, rate), f"{first}, " + ", ".join(f"{c} double" for c in names)))
+    before = join_counted(rows.select(*on, "_x"), states.select(*on, "n", *names[:9]), on, "n", ["_x"])
+    n = F.col("before_n")
+    student = lambda v, m: F.col("before_n_const") - F.log(F.col(f"before_{m}_scale")) - (n + 1) / 2 * F.log1p(((v - F.col(f"before_{m}_mean")) / F.col(f"before_{m}_scale")) ** 2 / n)
+    known = lambda d: F.when(n >= 2, d).otherwise(-math.log(1e6))
+    densities = [known(student(F.col("_x"), "n")), known(student(log, "l")) - log, known(F.col("before_g_const") + (F.col("before_shape") - 1) * F.log(up) - F.col("before_rate") * up)]
+    bounded = [F.greatest(d, F.lit(-50.0)) for d in densities]
+    told = before.groupBy(*on).agg(*[F.sum(d).alias(f"_d{i}") for i, d in enumerate(bounded)])
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(bucket)
+        logs, out = np.zeros(len(POPULATION)), []
+        for d in pdf[[f"_d{i}" for i in range(len(POPULATION))]].to_numpy():
+            logs = logs * math.exp(-rate) + d
+            w = np.exp(logs - logs.max())
+            out.append(w / w.sum())
+        w = np.array(out).reshape(-1, len(POPULATION))
+        return pdf[on].assign(**{f"w{i}": w[:, i] for i in range(len(POPULATION))}, model=[POPULATION[i] for i in w.argmax(1)] if len(w) else [])
+
+    on_schema = ", ".join(f"`{c}` {kinds[c]}" for c in on)
+    weights = told.groupBy(*keys).applyInPandas(weigh, f"{on_schema}, " + ", ".join(f"w{i} double" for i in range(len(POPULATION))) + ", model string")
+    laws = written(states.select(*on, "n", *names[9:16]).join(weights, on))
+    dropped(states)
+
+    def tails(*columns: pd.Series) -> pd.Series:
+        out = []
+        for v, m, a, b, c, d, k, r, *w in zip(*columns):
+            low = high = 0.0
+            if m < 2:
+                low = high = 0.5
+            else:
+                for z, share in (((v - a) / b, w[0]), ((math.log1p(max(v, 0.0)) - c) / d, w[1])):
+                    half = t_two_sided(z, m) / 2
+                    low, high = low + share * (half if z < 0 else 1 - half), high + share * (1 - half if z < 0 else half)
+                upper = gamma_upper(k, r * (max(v, 0.0) + 0.1))
+                low, high = low + w[2] * (1 - upper), high + w[2] * upper
+            out.append(probability((low, high), tail))
+        return pd.Series(out, dtype=float)
+
+    p = F.pandas_udf(tails, "double")("_x", "after_n", "after_n_mean", "after_n_scale", "after_l_mean", "after_l_scale", "after_shape", "after_rate", "w0", "w1", "w2")
+    both = join_counted(rows, laws.withColumnRenamed("n", "_members"), on, "_members", ["_x"])
+    return both.select(*df.columns, F.col("after_n_mean").alias("typical"), p.alias("probability"), "model")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import expressions as X
 from driftwell.functions import text as TX
-from driftwell.operators import boost, categorize, cluster, features, frame, hierarchy, inference, models, outliers, rules, timeseries, windows
+from driftwell.operators import boost, categorize, cluster, features, frame, hierarchy, inference, models, outliers, rules, series, timeseries, trees, windows
 from driftwell.plans.config import FUNCTIONS, Condition, Detector, Rule
 from driftwell.sources import writers
 
@@ -440,7 +440,14 @@ def model_probabilities(spark, sf_dir):
 @query()
 def population_probabilities(spark, sf_dir):
     values = features.feature_values(read(spark, sf_dir, "events"), Detector("mean", "value", by="event_type", over="user_id"), "ts", X.DAY)
-    return models.model_scores(values, ["attribute"], "bucket", "value", counts=False)
+    return models.population_scores(values, ["attribute"], "bucket", "value").select("attribute", "bucket", "person", F.col("value").alias("actual"), "typical", "probability", "model")
+
+
+@query()
+def series_model(spark, sf_dir):
+    """Each hour against its type's model, whose forgetting follows its errors."""
+    scored, _ = series.series_scores(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", HOUR)
+    return rounded(scored, "actual", "typical", "lower", "upper", "multiplier")
 
 
 @query()
@@ -729,11 +736,19 @@ PRICE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 @query()
 def regression(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    train = frame.stratified_sample(rows, "l_returnflag", 0.5, "k")
-    model = boost.train_regression(train, PRICE, "l_extendedprice", trees=5, depth=4)
+    model = boost.train_regression(rows, PRICE, "l_extendedprice", trees=5, depth=4)
     return boost.predict_regression(model, rows, PRICE).select("k", "l_extendedprice", "prediction")
 
 
+@query()
+def regression_retrained(spark, sf_dir):
+    """A model of small parts, stored and read back, two of whose trees are grown anew on all parts."""
+    rows = read(spark, sf_dir, "part").withColumn("brand", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("double"))
+    model = trees.fit(rows.where("p_size <= 25"), ["p_size", "brand"], "p_retailprice", p=trees.Parameters(trees=4, depth=3))
+    again = trees.retrain(trees.read_model(model.to_json()), rows, "p_retailprice", 2, trees.Parameters(depth=3))
+    return boost.predict_regression(again, rows, again.features).select("p_partkey", "p_retailprice", "prediction")
+
+
 @query()
 def regression_importance(spark, sf_dir):
     rows = read(spark, sf_dir, "part").withColumn("brand", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("double"))
