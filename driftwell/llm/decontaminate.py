@@ -31,11 +31,12 @@ from .common import stash
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 6, 7), (0, 2, 4, 6, 8))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))  # for items of five to SHORT words
-SHORT = 7
+LEAST, SHORT = 5, 7
 WORD = re.compile(r"\w+")
 KEPT = 300_000
 LEAST_BITS, MOST_BITS = 20, 30
 MANY = 64
+BLOCK_BITS = 12  # words of the filter that come to the driver in one row, as a power of two
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -100,6 +101,8 @@ def item_seeds(benchmark: DataFrame, window: int) -> DataFrame:
             ids, seed, span, near, n = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = hashed(t)
+                if len(w) < LEAST:
+                    continue
                 for wide, h in seeds(w, len(w) <= SHORT):
                     ids.append(np.full(len(h), i, np.int64))
                     seed.append(h)
@@ -125,11 +128,18 @@ def bloom(seeds_of_items: DataFrame, bits: int) -> np.ndarray:
             at = np.unique(np.concatenate(probes(h, bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], ["word", "bit"])
 
-    words = (
-        seeds_of_items.select("seed").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    )
+    def fill(table: pa.Table) -> pa.Table:
+        word = table.column("word").to_numpy()
+        out = np.zeros(1 << BLOCK_BITS, np.uint32)
+        np.bitwise_or.at(out, word & ((1 << BLOCK_BITS) - 1), table.column("bit").to_numpy().astype(np.uint32))
+        return pa.table({"block": pa.array(word[:1] >> BLOCK_BITS), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    words = seeds_of_items.select("seed").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    blocks = words.groupBy(F.shiftright("word", BLOCK_BITS).alias("block")).applyInArrow(fill, "block long, bits binary")
     out = np.zeros(1 << (bits - 5), np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    for row in blocks.toLocalIterator():
+        at = row["block"] << BLOCK_BITS
+        out[at : at + (1 << BLOCK_BITS)] = np.frombuffer(row["bits"], np.uint32)
     return out.view(np.uint8)
 
 
@@ -216,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, simila
 
 def items_without_seeds(benchmark: DataFrame) -> DataFrame:
     """item_id of the items with fewer than five words."""
-    return benchmark.where(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+)"), 1)) < 5).select("item_id")
+    return benchmark.where(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\w+)"), 1)) < LEAST).select("item_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

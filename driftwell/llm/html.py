@@ -2,10 +2,13 @@
 
 A tree builder reads tags with implied ends (a block ends an open paragraph, an item the item before it, a
 cell the cell before it, and so on); visibility rules drop scripts, styles, heads, templates, comments, fallback
-content (of object, noscript, iframe, audio, video, canvas), descriptions in svg and math, elements marked hidden and those styled away, by a
-style attribute or by a rule of a style element for a tag, classes and ids; visibility is handed down and can be given back to a child.
-All options of a select are shown.  The layout keeps block spacing, line breaks, list marks with nesting, preformatted text (tabs
-to every eighth place) and tables: cells keep their lines, spans their columns, and columns line up, for which WIDEST blanks are put in at most.
+content (of object, noscript, iframe, audio, video, canvas), descriptions in svg and math, dialogs that aren't open, all of a closed details but its
+summary, elements marked hidden and those styled away, by a style attribute or by the rules of style elements.  Of several declarations the one
+that counts in a browser does: by !important, attribute before rules, ids, classes and tags of the selector, and the later one.  Selectors are
+tags, classes and ids, within one another (a b) or right within (a > b); others don't apply.  Visibility is handed down and can be given back to a child.
+All options of a select are shown.  The layout keeps block spacing, line breaks, list marks with nesting and numbers, preformatted text (tabs
+to every eighth place) and tables: cells keep their lines, spans their columns, and columns line up.  Only where that takes more than BLANKS
+blanks for each character of a table, cells wider than WIDEST move what follows them instead.
 
 Tags are found in time that grows with the page.  Elements more than DEEPEST deep are laid side by side, as in browsers.
 
@@ -26,10 +29,10 @@ NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 PLAIN = re.compile(r"[^>\"']*")
 COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-AWAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
-SHOWN = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"(>?)\s*([^\s>]+)\s*")
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
-WIDEST, DEEPEST = 60, 512  # blanks put in at most to line up a column; elements in one another, as browsers keep it
+WIDEST, BLANKS, DEEPEST = 60, 16, 512  # columns of tables that can't be lined up; elements in one another, as browsers keep it
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,18 +58,25 @@ FENCES = {"table", "td", "th", "caption", "object", "template", "html"}
 
 
 class Node:
-    """An element: gone (not rendered), shown (visibility of its own: True, False or None), names for style rules, cells' spans."""
+    """An element: gone (never rendered), hidden (unless a style shows it), style, names for rules, lists' and cells' numbers, whether it's open."""
 
-    __slots__ = ("across", "children", "down", "gone", "names", "shown", "start", "tag")
+    __slots__ = ("across", "back", "children", "down", "gone", "hidden", "names", "open", "start", "style", "tag")
 
     def __init__(self, tag: str, gone: bool = False):
-        self.tag, self.gone, self.shown, self.start, self.names, self.across, self.down, self.children = tag, gone, None, 1, (), 1, 1, []
+        self.tag, self.gone, self.hidden, self.style, self.names, self.children = tag, gone, tag == "dialog", {}, (), []
+        self.start, self.across, self.down, self.back, self.open = None, 1, 1, False, False
 
 
-def styled(style: str) -> tuple[bool, bool | None]:
-    """(display: none, visibility) of declarations; the last visibility counts."""
-    found = SHOWN.findall(style)
-    return bool(AWAY.search(style)), found[-1].lower() == "visible" if found else None
+def styled(style: str) -> dict[str, tuple[bool, bool]]:
+    """display and visibility of declarations: (important, shown); the last counts, and important ones before others."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in DECLARED.findall(style):
+        name, value, important = name.lower(), value.lower(), bool(important)
+        if name == "visibility" and value not in ("visible", "hidden", "collapse"):
+            continue
+        if name not in out or important >= out[name][0]:
+            out[name] = important, value == "visible" if name == "visibility" else value != "none"
+    return out
 
 
 def element(tag: str, attributes: str) -> Node:
@@ -76,31 +86,46 @@ def element(tag: str, attributes: str) -> Node:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden":
-            node.gone = True
+            node.hidden = True
+        elif name == "open":
+            node.open = True
+            node.hidden &= tag != "dialog"
+        elif name == "reversed":
+            node.back = tag == "ol"
         elif name == "style":
-            away, node.shown = styled(unescape(value))
-            node.gone |= away
+            node.style = styled(unescape(value))
         elif name == "class":
             node.names += tuple("." + x for x in unescape(value).split())
         elif name == "id":
             node.names += ("#" + unescape(value),)
-        elif name in ("start", "colspan", "rowspan") and re.fullmatch(r"-?\d{1,9}", value):
-            if name == "start":
-                node.start = int(value) if tag == "ol" else 1
+        elif name in ("start", "value", "colspan", "rowspan") and re.fullmatch(r"-?\d{1,9}", value):
+            if name == {"ol": "start", "li": "value"}.get(tag):
+                node.start = int(value)
             elif name == "colspan":
                 node.across = min(max(int(value), 1), 1000)
-            else:
+            elif name == "rowspan":
                 node.down = min(max(int(value), 1), 65534)
     return node
 
 
+def selector(text: str) -> list[tuple[str, set[str]]] | None:
+    """The compounds of a selector from the last to the first, each with what stands before it (> or nothing) and its names."""
+    out = []
+    for inside, one in COMPOUND.findall(text):
+        k = SELECTOR.fullmatch(one)
+        if not k:
+            return None
+        out.append((inside, {*([k[1].lower()] if k[1] and k[1] != "*" else []), *re.findall(r"[.#][^.#]+", k[2])}))
+    return out[::-1] or None
+
+
 def rules_of(sheet: str) -> dict[str, list]:
-    """The rules of a style sheet that hide or show: by their first name (tag, .class or #id) lists of (names, away, shown).
+    """The rules of a style sheet that hide or show: by a name of their last compound, lists of (rank, compounds, style).
 
-    Selectors are a tag, classes and ids without a space between; rules inside @media and the like don't apply, nor do longer selectors.
+    Rules inside @media and the like don't apply.
     """
     out: dict[str, list] = {}
-    depth, at, head = 0, 0, ""
+    depth, at, head, order = 0, 0, "", 0
     sheet = " ".join(part.split("*/", 1)[-1] if i else part for i, part in enumerate(sheet.split("/*")))
     for m in re.finditer(r"[{}]", sheet):
         part, at = sheet[at : m.start()], m.end()
@@ -109,30 +134,45 @@ def rules_of(sheet: str) -> dict[str, list]:
             if depth == 1:
                 head = part.rsplit(";", 1)[-1]
         else:
-            if depth == 1 and not head.lstrip().startswith("@") and len(head) < 10_000:
-                away, shown = styled(part)
-                if away or shown is not None:
-                    for one in head.split(","):
-                        if (k := SELECTOR.fullmatch(one.strip())) and one.strip():
-                            names = [*([k[1].lower()] if k[1] and k[1] != "*" else []), *re.findall(r"[.#][^.#]+", k[2])]
-                            out.setdefault(names[-1] if names else "*", []).append((set(names), away, shown))
+            if depth == 1 and not head.lstrip().startswith("@") and len(head) < 10_000 and (style := styled(part)):
+                order += 1
+                for one in head.split(","):
+                    if compounds := selector(one.strip()):
+                        kinds = [n[0] for _, names in compounds for n in names]
+                        rank = (kinds.count("#"), kinds.count("."), len(kinds), order)
+                        out.setdefault(max(compounds[0][1], key=lambda n: (n[0] in ".#", n), default="*"), []).append((rank, compounds, style))
             depth = max(0, depth - 1)
     return out
 
 
-def looks(node: Node, rules: dict[str, list], inherited: bool) -> tuple[bool, bool]:
-    """(rendered, text visible) of an element, by its own attributes before rules, later rules before earlier ones."""
+def applies(compounds: list[tuple[str, set[str]]], node: Node, above: list) -> bool:
+    """Whether a selector matches an element below these open ones, each the first of its entry."""
+    if not compounds[0][1] <= {node.tag, *node.names}:
+        return False
+    places = {len(above)}  # where the last compound looked at can stand
+    for (inside, _), (_, names) in zip(compounds, compounds[1:]):
+        fits = lambda i: names <= {above[i][0].tag, *above[i][0].names}  # noqa: B023, E731
+        places = {p - 1 for p in places if p and fits(p - 1)} if inside else {i for i in range(max(places)) if fits(i)}
+        if not places:
+            return False
+    return True
+
+
+def looks(node: Node, rules: dict[str, list], inherited: bool, above: list) -> tuple[bool, bool]:
+    """(rendered, text visible) of an element below the open ones."""
     if node.gone:
         return False, False
+    # by importance, attribute before rules, the selector's rank: the largest counts
+    found = {"display": (False, -1, (), not node.hidden), "visibility": (False, -1, (), inherited)}
     if rules:
         for name in ("*", node.tag, *node.names):
-            for names, away, shown in rules.get(name, ()):
-                if names <= {node.tag, *node.names}:
-                    if away:
-                        return False, False
-                    if shown is not None and node.shown is None:
-                        inherited = shown
-    return True, inherited if node.shown is None else node.shown
+            for rank, compounds, style in rules.get(name, ()):
+                if applies(compounds, node, above):
+                    for what, (important, shown) in style.items():
+                        found[what] = max(found[what], (important, 0, rank, shown))
+    for what, (important, shown) in node.style.items():
+        found[what] = max(found[what], (important, 1, (), shown))
+    return found["display"][-1], found["display"][-1] and found["visibility"][-1]
 
 
 def label_of(attributes: str) -> str:
@@ -322,17 +362,25 @@ class Table:
         row.append((at, across, []))
         return row[-1][2]
 
-    def lines(self) -> list[str]:
-        """The cells lined up in columns, two blanks between them; a cell wider than WIDEST is whole but moves what follows it."""
+    def places(self, widest: float) -> dict[int, int]:
+        """Where each column begins; wider cells count as `widest`."""
         wide: dict[int, int] = {}
         for row in self.rows:
             for at, across, lines in row:
                 held = max(map(len, lines), default=0)
-                wide[at] = max(wide.get(at, 0), min(held, WIDEST) if across == 1 else 0)
+                wide[at] = max(wide.get(at, 0), min(held, widest) if across == 1 else 0)
         left, x = {}, 0
         for c in sorted(wide):
             left[c] = x
             x += wide[c] + 2 if wide[c] else 0
+        return left
+
+    def lines(self) -> list[str]:
+        """The cells lined up in columns, two blanks between them."""
+        left = self.places(float("inf"))
+        held = [(at, len(x)) for row in self.rows for at, _, lines in row for x in lines]
+        if sum(left[at] for at, _ in held) > (BLANKS + 1) * sum(n for _, n in held) + 4096:
+            left = self.places(WIDEST)
         out = []
         for row in self.rows:
             for k in range(max((len(lines) for _, _, lines in row), default=0)):
@@ -365,6 +413,10 @@ def render(root: Node) -> str:
             continue
         top[1] = k + 1
         child = node.children[k]
+        if node.tag == "details" and not node.open:
+            if isinstance(child, str) or child.tag != "summary":
+                continue
+            top[1] = len(node.children)  # the first summary alone
         if isinstance(child, str):
             if not shown:
                 continue
@@ -380,7 +432,7 @@ def render(root: Node) -> str:
                 flow.text(child)
             continue
         tag = child.tag
-        rendered, shown = looks(child, rules, shown)
+        rendered, shown = looks(child, rules, shown, stack)
         if not rendered:
             continue
         if tag == "br":
@@ -426,7 +478,8 @@ def render(root: Node) -> str:
 
             stack.append([child, 0, table_end, shown])
         elif tag in ("ul", "ol", "menu"):
-            lists.append([tag, child.start])
+            items = sum(isinstance(c, Node) and c.tag == "li" for c in child.children) if child.back and child.start is None else 1
+            lists.append([tag, items if child.start is None else child.start, -1 if child.back else 1])
 
             def list_end(flow=flow):
                 flow.close()
@@ -438,8 +491,9 @@ def render(root: Node) -> str:
             kept = flow.prefix
             mark = "- "
             if lists and lists[-1][0] == "ol":
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                number = lists[-1][1] if child.start is None else child.start
+                mark = f"{number}. "
+                lists[-1][1] = number + lists[-1][2]
             flow.prefix, flow.mark = kept, mark
 
             def item_end(flow=flow, kept=kept):

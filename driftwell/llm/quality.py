@@ -132,7 +132,7 @@ def train(
 ) -> np.ndarray:
     """Dense weights (2**BITS places and the bias) for P(label = 1), from at most max_rows labelled rows.
 
-    In each of `epochs` rounds, each of `parts` groups goes through its rows until a pass has a mean loss of `enough` or less, `passes` times at most.
+    Of several rows with one doc_id one is fitted, the one whose text has the least hash.  In each of `epochs` rounds, each of `parts` groups goes through its rows until a pass has a mean loss of `enough` or less, `passes` times at most.
 
     The two classes get equal total weight; half of their log odds goes to the bias afterwards.  With labels of one class only there is
     nothing to learn from a text: all weights are zero and the bias is 3 for class 1, -3 for class 0.
@@ -155,7 +155,7 @@ def train(
             )
 
     rows = stash(
-        texts.join(chosen, "_id").select("_t", "_y", "_id").mapInArrow(vectors, "at array<int>, x array<float>, y double, _id long")
+        texts.join(chosen, "_id").groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).select("_t", "_y", "_id").mapInArrow(vectors, "at array<int>, x array<float>, y double, _id long")
     )
     odds = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # two classes
     total = sum(odds.values())

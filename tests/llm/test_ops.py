@@ -689,3 +689,49 @@ def test_ann_many_equal_vectors(spark):
 )
 def test_html_shows_what_browsers_show(page, want):
     assert html.extract_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<style>p{display:none}</style><style>p{display:block}</style><p>x", "x"),
+        ('<p style="display:none;display:block">x', "x"),
+        ('<p style="display:block;display:none">x</p>y', "y"),
+        ("<style>p{display:none !important}</style><p style='display:block'>x</p>y", "y"),
+        ("<style>#a{display:block} .b{display:none} p{display:none}</style><p id=a class=b>x</p><p>y</p>z", "x\n\nz"),
+        ("<style>.a .b{display:none}</style><div class=a><p><b class=b>no</b>yes</div><b class=b>also</b>", "yes\n\nalso"),
+        ("<style>.a > .b{display:none}</style><div class=a><i class=b>no</i><i><i class=b>yes</i></i></div>", "yes"),
+        ("<style>ul > li span{display:none}</style><ul><li><i><span>no</span></i>yes</ul><span>also</span>", "- yes\n\nalso"),
+        ("<style>a + b, p::before, [x], p:hover{display:none}</style><p x>yes", "yes"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<details><p>no<summary>head</summary>no<summary>no</summary></details><details open><summary>h</summary>body</details>", "head\nh\nbody"),
+        ("<style>.on{display:block}</style><p hidden class=on>x</p><p hidden>no", "x"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
+        ("<table><tr><td>" + "w" * 80 + "<td>1<tr><td>x<td>22</table>", "w" * 80 + "  1\n" + "x".ljust(82) + "22"),
+    ],
+)
+def test_html_cascade_and_layout(page, want):
+    assert html.extract_text(page) == want
+
+
+def test_html_blanks_of_a_table_are_bounded():
+    page = "<table><tr><td>" + "w" * 200_000 + "<td>1" + "<tr><td>x<td>2" * 5000 + "</table>"
+    assert len(html.extract_text(page)) < 600_000
+
+
+def test_quality_fits_one_row_an_id(spark, monkeypatch):
+    seen = []
+    kept = quality.stash
+    monkeypatch.setattr(quality, "stash", lambda df: seen.append(kept(df)) or seen[-1])
+    rows = [(1, f"text {i}") for i in range(300)] + [(2, "other words"), (3, None)]
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), max_rows=3, epochs=1, passes=1)
+    assert seen[0].count() == 3
+
+
+def test_items_of_four_words_are_not_sought(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta it is"), (2, "so one two three four five it is")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(2, 2)]
+    assert [r["item_id"] for r in decontaminate.items_without_seeds(bench).collect()] == [1]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [1]
