@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from driftwell.functions import expressions as X
 from driftwell.functions import text as TX
 from driftwell.operators import boost, categorize, cluster, features, frame, hierarchy, inference, models, outliers, rules, series, timeseries, trees, windows
-from driftwell.plans.config import FUNCTIONS, Condition, Detector, Rule
+from driftwell.plans import job
+from driftwell.plans.config import FUNCTIONS, Condition, Detector, JobConfig, Rule
 from driftwell.sources import writers
 
 HOUR = 3600
@@ -326,6 +327,14 @@ def flagship(spark, sf_dir):
     return rounded(out, "typical", "probability", "score")
 
 
+@query()
+def anomaly_job(spark, sf_dir):
+    """A job of two detectors from events to the reported nodes of its hierarchy."""
+    detectors = (Detector("high_count", by="event_type"), Detector("high_sum", "value", by="event_type"))
+    out = job.run(read(spark, sf_dir, "events"), JobConfig(detectors, bucket_span=HOUR, time_field="ts"))
+    return rounded(out.written_nodes(), "probability", "score", "normalised")
+
+
 # --- scores ------------------------------------------------------------------------------------
 
 P_SQL = "SELECT p_partkey, exp(-p_retailprice / 7.0) AS p FROM part"
