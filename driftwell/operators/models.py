@@ -8,13 +8,15 @@ buckets, not events.
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.special import beta_cdf, gamma_upper, t_two_sided
+from driftwell.functions.special import beta_cdf, f_right_tail, gamma_upper, t_two_sided
 from driftwell.operators.skew import join_counted
 from driftwell.sources.tables import dropped, written
 
@@ -367,3 +369,51 @@ def population_scores(df: DataFrame, keys: list[str], bucket: str, value: str, t
     p = F.pandas_udf(tails, "double")("_x", "after_n", "after_n_mean", "after_n_scale", "after_l_mean", "after_l_scale", "after_shape", "after_rate", "w0", "w1", "w2")
     both = join_counted(rows, laws.withColumnRenamed("n", "_members"), on, "_members", ["_x"])
     return both.select(*df.columns, F.col("after_n_mean").alias("typical"), p.alias("probability"), "model")
+
+
+def vector_probabilities(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of df that hold all numbers, with probability: the chance of a vector at most as likely under its key's normal model of d variables.
+
+    Mean and precision are unknown, so the predictive law is Student's of n - d degrees.  A key's moments are one aggregation that
+    merges before the shuffle, factored once a key; rows look the result up.  Fewer than d + 1 vectors, or vectors in a
+    plane, tell nothing: probability 1.  A null key joins no model and has probability 1 too.
+    """
+    d, values = len(columns), [F.col(c).cast("double") for c in columns]
+    whole = reduce(operator.and_, [v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) for v in values])
+    rows = df.where(whole)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)], *[F.covar_pop(values[i], values[j]).alias(f"_c{i}_{j}") for i, j in pairs]
+    )
+
+    def factor(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                c = np.zeros((d, d))
+                for i, j in pairs:
+                    c[i, j] = c[j, i] = getattr(row, f"c{i}_{j}")
+                scale = np.sqrt(np.diag(c))
+                ok = row.n > d and (scale > 0).all() and np.linalg.eigvalsh(c / np.outer(scale, scale))[0] > 1e-12
+                out.append((np.linalg.inv(np.linalg.cholesky(c)) / math.sqrt(row.n)).ravel().tolist() if ok else None)
+            yield pdf[[f"k{i}" for i in range(len(keys))] + ["n"]].assign(mean=[list(m) for m in pdf[[f"m{i}" for i in range(d)]].to_numpy()], factor=out)
+
+    kinds = dict(sums.dtypes)
+    plain = sums.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(c[1:]) for c in sums.columns if c not in keys])
+    schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", n long, mean array<double>, factor array<double>"
+    table = written(plain.mapInPandas(factor, schema)).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("factor").alias("_factor"))
+
+    def chance(x: pd.Series, n: pd.Series, mean: pd.Series, factor: pd.Series) -> pd.Series:
+        out = []
+        for v, k, m, f in zip(x, n, mean, factor):
+            if f is None or k <= d:
+                out.append(1.0)
+                continue
+            z = np.array(f, float).reshape(d, d) @ (np.array(v, float) - np.array(m, float))
+            out.append(max(f_right_tail(float(z @ z) * k / (k + 1) * (k - d) / d, d, k - d), LEAST))
+        return pd.Series(out, dtype=float)
+
+    p = F.pandas_udf(chance, "double")(F.array(*values), "_n", "_mean", "_factor")
+    known = join_counted(rows, table, keys, "_n", columns).select(*df.columns, p.alias("probability"))
+    null_key = reduce(operator.or_, [F.col(k).isNull() for k in keys], F.lit(False))
+    return known.unionByName(rows.where(null_key).withColumn("probability", F.lit(1.0)))
