@@ -133,6 +133,93 @@ def feature_relevance(df: DataFrame, columns: list[str], target: str, key: str,
     return long.groupBy("feature").applyInPandas(run, "feature string, mic double")
 
 
+def best_columns(table: np.ndarray, most: int) -> np.ndarray:
+    """For 1 to `most` columns, the largest sum over columns of sum(c log c) - C log C, c a column's counts by row of the table and C their sum.
+
+    Columns are runs of the table's fine columns; the best cut of the first j of them in l runs comes from those in l - 1.
+    """
+    upto = np.concatenate([np.zeros((1, table.shape[0])), np.cumsum(table.T, axis=0)])
+    inside = upto[None, :, :] - upto[:, None, :]  # counts between any two cuts
+    log = lambda c: np.where(c > 0, c * np.log(np.maximum(c, 1)), 0.0)
+    value = np.where(np.triu(np.ones(inside.shape[:2], bool), 1), log(inside).sum(2) - log(inside.sum(2)), -np.inf)
+    best, out = value[0], [value[0, -1]]
+    for _ in range(1, most):
+        best = (best[:, None] + value).max(0)
+        out.append(max(best[-1], out[-1]))
+    return np.array(out)
+
+
+def mic_of_table(table: np.ndarray, exponent: float = 0.6, clumps: int = 15) -> float:
+    """Maximal information coefficient of a table of counts over fine bins of x and y, from the grids of at most n**exponent cells.
+
+    Each side in turn is cut evenly, and the other where the information is largest.
+    """
+    n = table.sum()
+    if n < 4 or (table.sum(0) > 0).sum() < 2 or (table.sum(1) > 0).sum() < 2:
+        return 0.0
+    budget, best = max(n**exponent, 4), 0.0
+    for t in (table[table.sum(1) > 0][:, table.sum(0) > 0], table.T[table.sum(0) > 0][:, table.sum(1) > 0]):
+        share = np.cumsum(t.sum(1)) - t.sum(1) / 2
+        for rows in range(2, min(int(budget // 2), clumps, len(t)) + 1):
+            label = np.minimum((share * rows / n).astype(int), rows - 1)
+            merged = np.zeros((rows, t.shape[1]))
+            np.add.at(merged, label, t)
+            p = merged.sum(1)[merged.sum(1) > 0] / n
+            if len(p) < 2:
+                continue
+            gains = best_columns(merged, min(int(budget // rows), clumps, t.shape[1]))
+            for columns, gain in enumerate(gains, 1):
+                if columns > 1:
+                    best = max(best, (gain / n - (p * np.log(p)).sum()) / np.log(min(columns, len(p))))
+    return float(min(1.0, max(best, 0.0)))
+
+
+def relevance(df: DataFrame, columns: list[str], target: str, bins: int = 64) -> DataFrame:
+    """(feature, mic, rows) of each column with the target, over all rows that hold both.
+
+    Every column is cut in fine bins of about equal size; rows meet as counts by pair of bins, which is all that grids are looked
+    for in.  NaN counts as missing.
+    """
+    typed = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate([target, *columns])]).where("c0 is not null")
+    cuts = typed.approxQuantile([f"c{i}" for i in range(len(columns) + 1)], [k / bins for k in range(1, bins)], 1 / (8 * bins))
+    place = lambda i: F.size(F.filter(F.array(*[F.lit(float(v)) for v in sorted(set(cuts[i]))]).cast("array<double>"), lambda e: e < F.col(f"c{i}")))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(F.col(f"c{i}").isNotNull(), place(i)).alias("x")) for i, c in enumerate(columns, 1)])
+    counts = typed.select(place(0).alias("y"), F.explode(pairs).alias("f")).select("y", "f.feature", "f.x").where("x is not null").groupBy("feature", "x", "y").count()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((pdf["x"].max() + 1, pdf["y"].max() + 1))
+        table[pdf["x"], pdf["y"]] = pdf["count"]
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mic": [mic_of_table(table)], "rows": [int(pdf["count"].sum())]})
+
+    return counts.groupBy("feature").applyInPandas(run, "feature string, mic double, rows long")
+
+
+def quadratic_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, n, constant, linear, square): least squares of y on 1, x and x squared, from moments that add up as rows come.
+
+    x is taken about its mean over all rows and in units of its spread, and the result brought back.  With fewer than three
+    distinct x in a key square is null, with fewer than two linear too.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    about = both.agg(F.avg(x).alias("_m"), F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias("_s"))
+    u = (F.col(x) - F.col("_m")) / F.col("_s")
+    rows = both.join(F.broadcast(about)).withColumn("_u", u).withColumn("_q", u * u)  # one row on the right
+    g = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("ay"), F.avg("_u").alias("au"), F.avg("_q").alias("aq"), F.var_pop("_u").alias("uu"), F.var_pop("_q").alias("qq"),
+        F.covar_pop("_u", "_q").alias("uq"), F.covar_pop(y, "_u").alias("yu"), F.covar_pop(y, "_q").alias("yq"), F.first("_m").alias("m"), F.first("_s").alias("s"),
+    )
+    c = F.col
+    left = c("qq") - c("uq") ** 2 / F.nullif(c("uu"), F.lit(0.0))
+    square = F.when(left > 1e-10 * c("qq"), (c("yq") - c("yu") * c("uq") / c("uu")) / left)
+    linear = F.when(c("uu") > 0, (c("yu") - F.coalesce(c("_2"), F.lit(0.0)) * c("uq")) / c("uu"))
+    zero = lambda name: F.coalesce(c(name), F.lit(0.0))
+    fit = g.withColumn("_2", square).withColumn("_1", linear).withColumn("_0", c("ay") - zero("_1") * c("au") - zero("_2") * c("aq"))
+    return fit.select(
+        *keys, "n", (c("_0") - zero("_1") * c("m") / c("s") + zero("_2") * (c("m") / c("s")) ** 2).alias("constant"),
+        (c("_1") / c("s") - 2 * zero("_2") * c("m") / c("s") ** 2).alias("linear"), (c("_2") / c("s") ** 2).alias("square"),
+    )
+
+
 def choose_features(relevance: pd.DataFrame, redundancy: dict[tuple[str, str], float], most: int) -> list[str]:
     """Greedy choice by relevance less mean redundancy with those chosen before."""
     left, out = dict(zip(relevance["feature"], relevance["mic"])), []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import expressions as X
 from driftwell.functions import text as TX
-from driftwell.operators import boost, categorize, cluster, features, frame, hierarchy, inference, models, outliers, rules, series, timeseries, trees, windows
+from driftwell.operators import boost, categorize, cluster, features, frame, hierarchy, inference, models, online, outliers, rules, seasons, series, timeseries, trees, windows
 from driftwell.plans import job
 from driftwell.plans.config import FUNCTIONS, Condition, Detector, JobConfig, Rule
 from driftwell.sources import writers
@@ -260,9 +261,9 @@ def exclude_frequent_all(spark, sf_dir):
     return rules.exclude_frequent(read(spark, sf_dir, "events"), [], "event_type", 0.2).select("event_id")
 
 
-@query("WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY l_returnflag) AS f FROM c) SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM s WHERE s.l_returnflag = l.l_returnflag AND s.l_linestatus = l.l_linestatus AND f <= 0.4)")
+@query("WITH c AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY l_returnflag) AS f FROM c) SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM s WHERE s.l_returnflag = l.l_returnflag AND s.l_quantity = l.l_quantity AND f <= 0.02)")
 def exclude_frequent_by(spark, sf_dir):
-    return rules.exclude_frequent(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", 0.4).select("l_orderkey", "l_linenumber")
+    return rules.exclude_frequent(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 0.02).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '[*#$%&]+', '', 'g') AS stripped FROM conversations")
@@ -464,14 +465,34 @@ def series_decomposition(spark, sf_dir):
     return timeseries.decompose(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", HOUR)
 
 
-@query()
+#: The hour of a level shift that is added to each type's series.
+SHIFT = 1_705_320_000
+
+
+def planted(spark, sf_dir, season: float):
+    """Hourly means with a daily wave added, as the tables' own values hold none."""
+    wave = F.sin(2 * math.pi * F.pmod("bucket", F.lit(X.DAY)) / X.DAY)
+    return hourly(spark, sf_dir).withColumn("actual", F.col("actual") + season * wave)
+
+
+@query("SELECT event_type, CAST(86400 AS BIGINT) AS period FROM events GROUP BY 1")
 def series_seasonality(spark, sf_dir):
-    return timeseries.seasonality(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", HOUR)
+    """The strongest season of each type's series with a planted daily wave."""
+    found = timeseries.seasonality(planted(spark, sf_dir, season=400.0), ["event_type"], "bucket", "actual", HOUR)
+    return found.groupBy("event_type").agg(F.min_by("period", "p_value").alias("period"))
 
 
-@query()
+def changes(spark, sf_dir):
+    """Changes of the series of all types together, by four hours, so that no bucket is empty on small tables either."""
+    e = read(spark, sf_dir, "events").groupBy(X.bucket_of("ts", 4 * HOUR).alias("bucket")).agg(F.avg("value").alias("actual"))
+    shifted = e.withColumn("actual", F.col("actual") + F.when(F.col("bucket") >= SHIFT, 900.0).otherwise(0.0)).withColumn("event_type", F.lit("all"))
+    return timeseries.change_points(shifted, ["event_type"], "bucket", "actual", 4 * HOUR)
+
+
+@query(f"SELECT 'all' AS event_type, 'level_shift' AS kind, CAST({SHIFT} AS BIGINT) AS bucket FROM events LIMIT 1")
 def series_changes(spark, sf_dir):
-    return timeseries.change_points(hourly(spark, sf_dir), ["event_type"], "bucket", "actual", HOUR)
+    """The kind and place of a planted level shift."""
+    return changes(spark, sf_dir).select("event_type", "kind", "bucket")
 
 
 @query()
@@ -560,14 +581,20 @@ def stratified_sample(spark, sf_dir):
 
 @query()
 def feature_relevance(spark, sf_dir):
-    return frame.feature_relevance(read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "k", 10_000)
+    return frame.relevance(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
 
 
-@query("SELECT regr_slope(o_totalprice, CAST(epoch(o_orderdate) AS DOUBLE)) * 86400 > -1e9 AS fitted, o_orderpriority, round(regr_slope(o_totalprice, epoch(o_orderdate) / 86400), 4) + 0.0 AS slope FROM orders GROUP BY 2")
+@query(
+    "WITH r AS (SELECT o_orderpriority, o_totalprice AS y, epoch(o_orderdate) / 86400 AS x FROM orders), a AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM r), "
+    "u AS (SELECT o_orderpriority, y, (x - m) / s AS u, ((x - m) / s) ** 2 AS q, m, s FROM r, a), g AS (SELECT o_orderpriority, any_value(m) AS m, any_value(s) AS s, var_pop(u) AS uu, var_pop(q) AS qq, covar_pop(u, q) AS uq, covar_pop(y, u) AS yu, covar_pop(y, q) AS yq, regr_slope(y, u) / any_value(s) AS slope FROM u GROUP BY 1), "
+    "c AS (SELECT *, (yq - yu * uq / uu) / (qq - uq * uq / uu) AS c2 FROM g) SELECT o_orderpriority, round(slope, 4) + 0.0 AS slope, round((yu - c2 * uq) / uu / s - 2 * c2 * m / (s * s), 2) + 0.0 AS linear, round(c2 / (s * s), 5) + 0.0 AS square FROM c"
+)
 def online_regression(spark, sf_dir):
+    """Prices over days by priority: a line, and a parabola from moments."""
     o = read(spark, sf_dir, "orders").withColumn("x", X.epoch("o_orderdate") / 86400)
-    g = o.groupBy("o_orderpriority").agg(F.regr_slope("o_totalprice", "x").alias("slope"))
-    return rounded(g.select((F.col("slope") * 1 > -1e9).alias("fitted"), "o_orderpriority", "slope"), "slope", places=4)
+    line = o.groupBy("o_orderpriority").agg(F.regr_slope("o_totalprice", "x").alias("slope"))
+    out = line.join(frame.quadratic_fit(o, ["o_orderpriority"], "x", "o_totalprice"), "o_orderpriority").select("o_orderpriority", "slope", "linear", "square")
+    return rounded(rounded(rounded(out, "slope", places=4), "linear", places=2), "square", places=5)
 
 
 @query("SELECT c_custkey, lower(c_name) AS low, upper(c_mktsegment) AS up, levenshtein(c_mktsegment, 'BUILDING') AS distance, regexp_extract(c_name, '([0-9]+)', 1) AS digits, len(string_split(c_name, '#')) AS parts FROM customer")
@@ -633,7 +660,7 @@ def pruned_persons(spark, sf_dir):
 
 @query()
 def change_annotations(spark, sf_dir):
-    return writers.annotations(series_changes(spark, sf_dir), ["event_type"], "bucket")
+    return writers.annotations(changes(spark, sf_dir), ["event_type"], "bucket")
 
 
 @query("SELECT count(DISTINCT event_type) AS total_models, CAST(count(*) AS BIGINT) AS total_rows FROM events")
@@ -786,6 +813,31 @@ def x_means(spark, sf_dir):
     return cluster.x_means(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)[0]
 
 
+@query("WITH v AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (SELECT count(*)::DOUBLE FROM embeddings) AS points, round(sum(x), 6) + 0.0 AS total, round(sum(x * x), 6) + 0.0 AS squares FROM v")
+def cluster_features(spark, sf_dir):
+    """What features keep of all points, however they were merged."""
+    f = online.features_of(read(spark, sf_dir, "embeddings"), "embedding", 128)
+    total = F.aggregate("s", F.lit(0.0), lambda a, b: a + b)
+    return rounded(f.agg(F.sum("n").alias("points"), F.sum(total).alias("total"), F.sum("q").alias("squares")), "total", "squares")
+
+
+@query()
+def online_x_means(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return online.nearest_centre(e, "vec_id", "embedding", online.x_centres(online.features_of(e, "embedding"), 6))
+
+
+@query()
+def bootstrap_clusters(spark, sf_dir):
+    return online.bootstrap_clusters(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, samples=20)
+
+
+@query()
+def seasonal_component(spark, sf_dir):
+    """Each type's daily component, with buckets where its errors are."""
+    return rounded(seasons.seasonal_component(planted(spark, sf_dir, season=400.0), ["event_type"], "bucket", "actual", X.DAY, buckets=8), "mean", "fitted")
+
+
 @query()
 def agglomerative(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.array(F.col("s_acctbal")).alias("v"))

@@ -274,6 +274,17 @@ def pair_probabilities(spark, sf_dir):
     return rounded(p.select("p_partkey", "probability"), "probability", places=7)
 
 
+@query(
+    "WITH m AS (SELECT p_brand, count(*) AS n, avg(p_size) AS x, avg(p_retailprice) AS y, count(*) * var_pop(p_size) AS xx, count(*) * covar_pop(p_size, p_retailprice) AS xy, count(*) * var_pop(p_retailprice) AS yy FROM part GROUP BY 1), "
+    "d AS (SELECT p_partkey, n, ((p_size - x) ** 2 * yy - 2 * (p_size - x) * (p_retailprice - y) * xy + (p_retailprice - y) ** 2 * xx) / (xx * yy - xy * xy) * n / (n + 1) AS far FROM part JOIN m USING (p_brand)) "
+    "SELECT p_partkey, round(exp(-(n - 2) / 2.0 * ln(1 + far)), 7) + 0.0 AS probability FROM d"
+)
+def vector_probabilities(spark, sf_dir):
+    """The normal model of any number of variables, here of two, for which SQL has a closed form."""
+    p = models.vector_probabilities(read(spark, sf_dir, "part"), ["p_brand"], ["p_size", "p_retailprice"])
+    return rounded(p.select("p_partkey", "probability"), "probability", places=7)
+
+
 @query("SELECT l_orderkey, l_linenumber, first_value(l_tax) OVER w AS constant, CASE WHEN l_tax = first_value(l_tax) OVER w THEN 1.0 ELSE 0.0 END AS probability FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax)")
 def constant_scores(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
