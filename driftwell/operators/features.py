@@ -77,6 +77,9 @@ def prepared(df: DataFrame, d: Detector, time: str, span: int, summary_count: st
     ]
     if d.field_name:
         columns.append(F.col(d.field_name).alias("_field"))
+    if d.spec.value == "lat_long":
+        # split once a row, not once an aggregate
+        columns.append(F.transform(F.split(F.col(d.field_name), ",", 3), lambda s: s.try_cast("double")).alias("_place"))
     if summary_count:
         text = F.col(summary_count).cast("string")
         columns += [
@@ -100,7 +103,12 @@ def feature_values(df: DataFrame, d: Detector, time: str, span: int, summary_cou
     real = rows.where("not _explicit_null") if summary_count else rows
     if d.over:
         real = real.where("attribute is not null")
-    out = real.groupBy(*keys).agg(aggregate_of(spec.value, "_field" if d.field_name else None, weight).alias("value"))
+    if spec.value == "lat_long":
+        real = real.withColumn("_lat", F.get("_place", 0)).withColumn("_lon", F.get("_place", 1)).where("_lat is not null and _lon is not null")
+        value = F.struct(F.avg("_lat").alias("lat"), F.avg("_lon").alias("lon"))
+    else:
+        value = aggregate_of(spec.value, "_field" if d.field_name else None, weight)
+    out = real.groupBy(*keys).agg(value.alias("value"))
     if spec.value == "info_content":
         out = out.withColumn("value", info_content("value"))
     elif spec.value not in ("count", "distinct"):

@@ -222,9 +222,9 @@ def ranked(df: DataFrame, scope: list[str], score: str) -> DataFrame:
     keys = scope or ["_all"]
     rows = df.where(F.col(score).isNotNull()) if scope else df.where(F.col(score).isNotNull()).withColumn("_all", F.lit(0))
     counts = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("own"))
-    out = running_totals_by_value(counts, keys, score, ["own"]).withColumn("below", F.col("own_upto") - F.col("own"))
+    out = running_totals_by_value(counts, keys, score, ["own"], one_key=not scope).withColumn("below", F.col("own_upto") - F.col("own"))
     whole = counts.groupBy(*keys).agg(F.sum("own").alias("total"), F.max(score).alias("largest"))
-    return out.join(whole, keys).select(*scope, score, "own", "below", "total", "largest")
+    return out.join(whole if scope else F.broadcast(whole), keys).select(*scope, score, "own", "below", "total", "largest")
 
 
 def normalise(df: DataFrame, scope: list[str], score: str) -> DataFrame:

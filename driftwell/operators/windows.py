@@ -101,19 +101,22 @@ def seasonal_variance(df: DataFrame, keys: list[str], bucket: str, value: str, p
     )
 
 
-def running_totals_by_value(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = 256) -> DataFrame:
+def running_totals_by_value(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = 256, one_key: bool = False) -> DataFrame:
     """counts, one row a (keys, value), with {column}_upto: the column's total over the key's values up to this one.
 
+    one_key: the keys hold one value alone, so that what is known of its ranges goes to every task.
+
     A key's values are cut at approximate quantiles; each range sums its own rows in order and starts from the totals of the
     ranges before it.  A task holds a range, and only a key's few range totals meet in one window.  Results are exact wherever
     the cuts lie.
     """
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_edges"))
-    cut = counts.join(edges, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    known = F.broadcast if one_key else (lambda df: df)
+    cut = counts.join(known(edges), keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
     upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(upto), F.lit(0)).alias(f"_{c}_start") for c in columns])
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.join(starts, [*keys, "_range"]).select(
+    return cut.join(known(starts), [*keys, "_range"]).select(
         *counts.columns, *[(F.col(f"_{c}_start") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in columns]
     )
