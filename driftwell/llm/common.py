@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,13 +84,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
 
 
-def number_within(df: DataFrame, by: list[str], order: list[str], out: str, buckets: int = 256) -> DataFrame:
-    """Gapless long `out` from 0 within each value of `by`, in order of the `order` columns' hash bucket, then the columns.
+def number_within(df: DataFrame, by: list[str], order: list[str], out: str, buckets: int = 256, bucket: Column | None = None) -> DataFrame:
+    """Gapless long `out` from 0 within each value of `by`, in order of a bucket (that of the `order` columns' hash, unless given), then the columns.
 
     Rows are numbered inside (by, bucket) and offset by a running total over the few (by, bucket)
     counts, so no task sorts a whole value of `by`.  `by` must have few values.
     """
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_b", (F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket).cast("int"))
     counts = df.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

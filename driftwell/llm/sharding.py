@@ -1,12 +1,15 @@
 """Balanced label propagation: documents move towards their neighbours' shards under row quotas.
 
-Documents are linked through hubs (equal texts share one).  Every round counts each hub's members per
-shard, lets a hub's members propose its fullest shard that has room, and accepts proposals, the largest hubs first (but those no shard can hold last), while
-the target shard's quota lasts (its free room and what its own members ask to vacate).
+Documents are linked through hubs (equal texts share one).  Rows of one hub that start in one shard form a cell, and
+only cells of hubs with several rows take part, so rounds work on counts, not on rows.  Every round lets a hub's cells
+propose its fullest shard that has room, and accepts proposals, the largest hubs first (but those no shard can hold last), while
+the target shard's quota lasts (its free room and what its own members ask to vacate).  A move brings cells of a hub
+together and never parts any, so links within shards only grow, and rounds end when a round moves nothing.
 A last pass evens the counts out exactly (at most one apart), moving unlinked documents first.
 
 Quotas and numbering use running totals over a bounded table of (shard, bucket) counts, so no task
-or driver sees all documents of a shard, nor all members of a hub.
+or driver sees all documents of a shard, nor all members of a hub.  Rows are written once with a number of their own, which
+spreads rows that are alike in all columns over the buckets.
 
 Rows: a null hub links to nothing.  Null and repeated ids are ordinary rows.  An empty table gives an
 empty result.
@@ -20,23 +23,41 @@ from pyspark.sql import functions as F
 from .common import drop_stash, number_within, stash
 
 BUCKETS = 512
+PIECE = 4096
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.25) -> DataFrame:
-    """nodes (id, hub, ...) with a column shard; rows of one hub together where quotas allow."""
+def propagate(nodes: DataFrame, shards: int, rounds: int | None = None, slack: float = 0.25) -> DataFrame:
+    """nodes (id, hub, ...) with a column shard; rows of one hub together where quotas allow.
+
+    Goes on until a round moves nothing, or for so many rounds.
+    """
     total = nodes.count()
     room = max(1, int(total / shards * (1 + slack)))
-    now = stash(nodes.withColumn("shard", F.pmod(F.xxhash64("id", "hub"), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        sizes = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
-        full = [i for i, n in sizes.items() if n >= room] if turn else []
-        held = now.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        weight = F.when(F.col("shard").isin(full), 0).otherwise(F.col("n"))  # a full shard draws no one
-        best = held.groupBy("hub").agg(
-            F.max(F.struct(weight.alias("w"), F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("b"), F.sum("n").alias("members")
-        )
+    placed = nodes.withColumn("origin", F.pmod(F.xxhash64("id", "hub"), F.lit(shards)).cast("int"))
+    rows = {r["origin"]: r["n"] for r in placed.groupBy("origin").agg(F.count("*").alias("n")).collect()}  # one row a shard
+    now = stash(
+        placed.where("hub is not null")
+        .groupBy("hub", "origin")
+        .agg(F.count("*").alias("n"))
+        .withColumn("members", F.sum("n").over(Window.partitionBy("hub")))  # a row a shard at most
+        .where("members > 1")
+        .withColumn("shard", F.col("origin"))
+    )
+    first, together, turn = None, None, 0
+    while True:
+        held = now.groupBy("hub", "shard").agg(F.sum("n").alias("n"), F.first("members").alias("members"))
+        square = F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
+        found = held.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(square).alias("square")).collect()  # one row a shard
+        linked, before, together = {r["shard"]: r["n"] for r in found}, together, sum(int(r["square"]) for r in found)
+        first = linked if first is None else first
+        if together == before or turn == rounds:
+            break
+        turn += 1
+        sizes = {i: rows.get(i, 0) - first.get(i, 0) + linked.get(i, 0) for i in range(shards)}
+        weight = F.when(F.col("shard").isin([i for i, n in sizes.items() if n >= room]), 0).otherwise(F.col("n"))  # a full shard draws no one
+        best = held.groupBy("hub").agg(F.max(F.struct(weight.alias("w"), F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("b"))
         wish = (
-            held.join(best.where("members > 1"), "hub")
+            held.join(best, "hub")
             .where("shard <> b.shard and b.w > 0")
             .select("hub", "shard", "n", F.col("b.shard").alias("to"), "members")
         )
@@ -45,14 +66,14 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
         size = F.when(F.col("members") > room, 41).otherwise(40 - F.floor(F.log2("members")))  # those no shard can hold go last
         wish = wish.withColumn("rank", size * BUCKETS + F.pmod(F.xxhash64("hub", part), F.lit(BUCKETS)))
         leave = wish.groupBy(F.col("shard").alias("from3")).agg(F.sum("n").alias("leave"))
-        loads = now.groupBy(F.col("shard").alias("to")).agg(F.count("*").alias("held"))
+        loads = nodes.sparkSession.createDataFrame(list(sizes.items()), "to int, held long")  # one row a shard
         loads = loads.join(leave, F.col("to") == F.col("from3"), "left").select("to", (F.col("held") - F.coalesce("leave", F.lit(0))).alias("load"))
-        asked = wish.groupBy("to", "rank").agg(F.sum("n").alias("ask"))
+        asked = wish.groupBy("to", "rank").agg(F.sum("n").alias("ask")).join(F.broadcast(loads), "to")
         upto = Window.partitionBy("to").orderBy("rank")
         granted = (
-            asked.withColumn("upto", F.sum("ask").over(upto))
-            .join(loads, "to", "left")
-            .where(F.col("upto") + F.coalesce("load", F.lit(0)) <= room)
+            asked.where(F.col("ask") + F.col("load") <= room)  # what can't fit holds up no one behind it
+            .withColumn("upto", F.sum("ask").over(upto))
+            .where(F.col("upto") + F.col("load") <= room)
             .select(F.col("to").alias("to2"), F.col("rank").alias("rank2"))
         )
         moves = wish.join(granted, (F.col("to") == F.col("to2")) & (F.col("rank") == F.col("rank2"))).select(
@@ -65,14 +86,20 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 6, slack: float = 0.2
         )
         drop_stash(now)
         now = after
-    return now
+    cells = now.select(F.col("hub").alias("hub2"), F.col("origin").alias("from2"), "shard")
+    return (
+        placed.join(cells, (F.col("hub") == F.col("hub2")) & (F.col("origin") == F.col("from2")), "left")
+        .withColumn("shard", F.coalesce("shard", "origin"))
+        .drop("hub2", "from2", "origin")
+    )
 
 
 def even_out(nodes: DataFrame, shards: int) -> DataFrame:
-    """nodes (id, hub, shard, ...) with counts per shard at most one apart.
+    """nodes (id, hub, salt, shard, ...) with counts per shard at most one apart; salt tells rows of one id and hub apart.
 
     Rows that cost no link move first: unlinked ones (class 0), then members away from their hub's fullest shard or
-    of hubs that no shard could hold (class 1), and only then others (class 2).
+    of hubs that no shard could hold (class 1), and only then others (class 2).  Of these the smallest hubs go first, each
+    whole, or in pieces of about PIECE rows, so that a hub is parted at the ends of a shard's excess or lack alone.
     """
     total = nodes.count()
     target = [total // shards + (i < total % shards) for i in range(shards)]
@@ -86,11 +113,14 @@ def even_out(nodes: DataFrame, shards: int) -> DataFrame:
     linked = hubs.where("members > 1").select("hub3", (-F.col("b.s")).alias("home"), "members")
     kind = (
         F.when(F.col("hub3").isNull(), 0)
-        .when((F.col("home") != F.col("shard")) | (F.col("members") > max(1, target[0] // 2)), 1)
+        .when((F.col("home") != F.col("shard")) | (F.col("members") > max(1, target[0])), 1)
         .otherwise(2)
     )
-    ranked = nodes.join(linked, F.col("hub") == F.col("hub3"), "left").withColumn("kind", kind).drop("hub3", "home", "members")
-    numbered = number_within(ranked, ["shard", "kind"], ["hub", "id"], "at", BUCKETS)
+    ranked = nodes.join(linked, F.col("hub") == F.col("hub3"), "left").withColumn("kind", kind)
+    members = F.coalesce("members", F.lit(1))
+    piece = F.pmod(F.xxhash64("id", "salt"), F.when(F.col("kind") == 2, F.ceil(members / PIECE)).otherwise(members))
+    bucket = F.floor(F.log2(members)) * BUCKETS + F.pmod(F.xxhash64("hub", F.when(F.col("kind") == 0, F.xxhash64("id", "salt")).otherwise(piece)), F.lit(BUCKETS))
+    numbered = number_within(ranked, ["shard", "kind"], ["hub", "id", "salt"], "at", bucket=bucket).drop("hub3", "home", "members")
     free = {(r["shard"], r["kind"]): r["n"] for r in ranked.groupBy("shard", "kind").agg(F.count("*").alias("n")).collect()}
     mover, before = F.lit(None).cast("long"), 0
     for i in range(shards):
@@ -105,20 +135,29 @@ def even_out(nodes: DataFrame, shards: int) -> DataFrame:
     return numbered.withColumn("mover", mover).withColumn("shard", to.cast("int")).drop("mover", "at", "kind")
 
 
-def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; rows of equal text share a shard where quotas allow.
+def assign(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, cut_links; rows of equal text share a shard where quotas allow.
 
-    Null text: size 1, the CRC of no bytes, no hub.
+    group_rows: rows with this text; cut_links: those of them in other shards, so half their sum is the number of cut
+    edges.  Null text: size 1, the CRC of no bytes, no hub, a group of one.
     """
     text = F.col("text").cast("string")
-    nodes = docs.select(
-        F.col("doc_id").cast("long").alias("id"),
-        F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("hub"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+    nodes = stash(
+        docs.select(
+            F.col("doc_id").cast("long").alias("id"),
+            F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("hub"),
+            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+            F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+            F.monotonically_increasing_id().alias("salt"),
+        )
     )
-    spread = stash(even_out(propagate(nodes, shards, rounds), shards))
-    return number_within(spread, ["shard"], ["id", "text_crc32"], "slot", BUCKETS).select(
+    near = stash(propagate(nodes, shards, rounds))
+    spread = stash(even_out(near, shards))
+    held = spread.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("here"))
+    held = held.withColumn("group_rows", F.sum("here").over(Window.partitionBy("hub"))).where("group_rows > 1")  # a row a shard at most
+    held = held.select(F.col("hub").alias("hub4"), F.col("shard").alias("shard4"), "group_rows", (F.col("group_rows") - F.col("here")).alias("cut_links"))
+    counted = spread.join(held, (F.col("hub") == F.col("hub4")) & (F.col("shard") == F.col("shard4")), "left")
+    return number_within(counted, ["shard"], ["id", "text_crc32", "salt"], "slot", BUCKETS).select(
         F.col("id").alias("doc_id"),
         "size",
         "text_crc32",
@@ -126,4 +165,6 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
+        F.coalesce("group_rows", F.lit(1)).alias("group_rows"),
+        F.coalesce("cut_links", F.lit(0)).alias("cut_links"),
     )
