@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .blocks import ASKED, bucket_of, in_blocks, lean, planes, unplaned, utf8
+from .blocks import ASKED, Exchange, bucket_of, in_blocks, lean, planes, unplaned, utf8
 from .common import stash
 
 END = b""  # no word is empty
@@ -301,7 +301,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
     words = stash(word_counts(docs, modulus))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     own, n_blocks = in_blocks(docs)
-    buckets = n_blocks
+    buckets, way = n_blocks, Exchange(order * n_blocks)
     often = words.where(F.col("n") * 1000 > total).collect()  # fewer than a thousand
     hot = {r["word"]: min(buckets, 1 + int(4 * buckets * r["n"] / total)) for r in often}
 
@@ -310,6 +310,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
 
     def settle(key, table, replies):
         t = Texts(table, modulus, order, buckets, hot)
+        replies = way.received(replies)
         of = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist()))
         for level in t.levels:
             level.read(of)
@@ -329,7 +330,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, delta: float = 0.1
             }
         )
 
-    counted = own.groupBy("_block").applyInArrow(lean(ask), ASKED).groupBy("bucket").applyInArrow(lean(count_bucket), ASKED)
+    counted = way.replies(own.groupBy("_block").applyInArrow(lean(way.sent(ask)), ASKED), count_bucket)
     return (
         own.groupBy("_block")
         .cogroup(counted.groupBy("_block"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ASKED, answered, answers, asked, bucket_of, gathered, in_blocks, lean, planes, unplaned, utf8
+from .blocks import ASKED, Exchange, answered, answers, asked, bucket_of, gathered, in_blocks, lean, planes, unplaned, utf8
 
 GRAM = 24
 CHUNK = 65_000
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
     own, n = in_blocks(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     )
-    buckets = n
+    buckets, way = n, Exchange(n)
 
     def ask_samples(key, table):
         b = Block(table, length)
@@ -286,15 +286,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
 
     def ask_suffixes(key, table, replies):
         b = Block(table, length)
-        entries, _, _ = b.entries(answers(replies), buckets)
+        entries, _, _ = b.entries(answers(way.received(replies)), buckets)
         return texts_of_runs(b, key[0].as_py(), entries)
 
     def settle(key, table, replies):
         b = Block(table, length)
         step = replies.column("step").to_numpy()
-        entries, asking, (kind, nth, number) = b.entries(answers(replies.filter(pa.array(step == 1))), buckets)
+        entries, asking, (kind, nth, number) = b.entries(answers(way.received(replies.filter(pa.array(step == 1)))), buckets)
         got = np.empty(len(entries[0]), np.int64)
-        got[np.argsort(entries[-1], kind="stable")] = answers(replies.filter(pa.array(step == 2)), 1)[:, 0]
+        got[np.argsort(entries[-1], kind="stable")] = answers(way.received(replies.filter(pa.array(step == 2))), 1)[:, 0]
         bits = np.zeros(len(b.first), np.int64)
         bits[asking] = got[: len(asking)]
         known = got[len(asking) :][number] | (entries[3][len(asking) :][number] < b.kind_doc[kind])
@@ -325,14 +325,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ca
             out["carried"] = table.column("carried").combine_chunks().take(pa.array(b.order))
         return pa.table(out)
 
-    samples = own.groupBy("_block").applyInArrow(lean(ask_samples), ASKED).groupBy("bucket").applyInArrow(lean(sort_samples(hot)), ASKED)
-    suffixes = (
-        own.groupBy("_block")
-        .cogroup(samples.groupBy("_block"))
-        .applyInArrow(lean(ask_suffixes), ASKED)
-        .groupBy("bucket")
-        .applyInArrow(lean(sort_suffixes(length)), ASKED)
-    )
+    samples = way.replies(own.groupBy("_block").applyInArrow(lean(way.sent(ask_samples)), ASKED), sort_samples(hot))
+    runs = own.groupBy("_block").cogroup(samples.groupBy("_block")).applyInArrow(lean(way.sent(ask_suffixes)), ASKED)
+    suffixes = way.replies(runs, sort_suffixes(length))
     replies = samples.withColumn("step", F.lit(1)).unionByName(suffixes.withColumn("step", F.lit(2)))
     schema = T.StructType.fromDDL(
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text

@@ -314,6 +314,34 @@ def test_suffix_splits_hot_samples(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute_removed(texts)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_suffix_and_lm_in_two_steps(docs, texts, spark, monkeypatch, fan):
+    straight = {tuple(r) for r in lm.score(docs, 3).collect()}
+    monkeypatch.setattr(blocks, "FAN", fan)
+    assert blocks.Exchange(blocks.in_blocks(docs)[1]).width > 1
+    assert Counter(tuple(r) for r in suffix.remove_repeats(docs, with_text=False).collect()) == brute_removed(texts)
+    stepped = {tuple(r) for r in lm.score(docs, 3).collect()}
+    near = lambda rows: sorted(tuple(str(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert near(stepped) == near(straight)
+
+
+def test_rows_of_an_exchange_grow_with_the_blocks(spark):
+    def ask(key, table):
+        return blocks.rows_of((key[0].as_py(), b, f"{key[0].as_py()} asks {b}".encode()) for b in range(n))
+
+    def run(table):
+        return blocks.rows_of((i, b, d + b"!" * len(table)) for i, b, d in blocks.columns_of(table))
+
+    for n in (4, 12, 30):
+        way = blocks.Exchange(n, 6)
+        own = spark.range(n).select(F.col("id").cast("int").alias("_block")).groupBy("_block")
+        rows = own.applyInArrow(blocks.lean(way.sent(ask)), blocks.ASKED)
+        back = way.replies(rows, run).toArrow()
+        assert rows.count() <= n * 6 and back.num_rows <= n * 6
+        want = [(i, b, f"{i} asks {b}".encode() + b"!" * n) for i in range(n) for b in range(n)]
+        assert sorted(blocks.columns_of(way.received(back))) == want
+
+
 def test_suffix_keeps_columns(docs):
     out = suffix.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and {r["data"] for r in out.collect()} == {"y"}
