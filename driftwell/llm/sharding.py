@@ -26,8 +26,24 @@ BUCKETS = 512
 PIECE = 4096
 
 
+def beside(nodes: DataFrame, cells: DataFrame, at: str, total: int, *columns: str) -> DataFrame:
+    """nodes with `columns` of cells (hub, `at`, members, ...), null where there is no such cell.
+
+    Hubs of more than a BUCKETS-th of all rows are fewer than BUCKETS, a row a shard each, and come by broadcast.  Their rows,
+    and those without a hub, are dealt by their own numbers in the join with the other cells.
+    """
+    big, facts = F.col("members") * BUCKETS > total, F.struct(*columns)
+    few = cells.where(big).select(F.col("hub").alias("hub1"), F.col(at).alias("at1"), facts.alias("few"))
+    many = cells.where(~big).select(F.col("hub").alias("hub2"), F.col(at).alias("at2"), F.lit(-1).cast("long").alias("own2"), facts.alias("many"))
+    near = nodes.join(F.broadcast(few), (F.col("hub") == F.col("hub1")) & (F.col(at) == F.col("at1")), "left")
+    near = near.withColumn("own", F.when(F.col("few").isNull() & F.col("hub").isNotNull(), -1).otherwise(F.col("salt")))
+    near = near.join(many, (F.col("hub") == F.col("hub2")) & (F.col(at) == F.col("at2")) & (F.col("own") == F.col("own2")), "left")
+    found = F.coalesce("few", "many")
+    return near.select(*nodes.columns, *[found.getField(c).alias(c) for c in columns])
+
+
 def propagate(nodes: DataFrame, shards: int, rounds: int | None = None, slack: float = 0.25) -> DataFrame:
-    """nodes (id, hub, ...) with a column shard; rows of one hub together where quotas allow.
+    """nodes (id, hub, salt, ...) with a column shard; rows of one hub together where quotas allow.
 
     Goes on until a round moves nothing, or for so many rounds.
     """
@@ -86,12 +102,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int | None = None, slack: f
         )
         drop_stash(now)
         now = after
-    cells = now.select(F.col("hub").alias("hub2"), F.col("origin").alias("from2"), "shard")
-    return (
-        placed.join(cells, (F.col("hub") == F.col("hub2")) & (F.col("origin") == F.col("from2")), "left")
-        .withColumn("shard", F.coalesce("shard", "origin"))
-        .drop("hub2", "from2", "origin")
-    )
+    return beside(placed, now, "origin", total, "shard").withColumn("shard", F.coalesce("shard", "origin")).drop("origin")
 
 
 def even_out(nodes: DataFrame, shards: int) -> DataFrame:
@@ -109,18 +120,19 @@ def even_out(nodes: DataFrame, shards: int) -> DataFrame:
     if not sum(excess):
         return nodes
     held = nodes.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    hubs = held.groupBy(F.col("hub").alias("hub3")).agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"), F.sum("n").alias("members"))
-    linked = hubs.where("members > 1").select("hub3", (-F.col("b.s")).alias("home"), "members")
+    hub = Window.partitionBy("hub")  # a row a shard at most
+    linked = held.select("hub", "shard", F.max(F.struct("n", (-F.col("shard")).alias("s"))).over(hub).alias("b"), F.sum("n").over(hub).alias("members"))
+    linked = linked.where("members > 1").withColumn("home", -F.col("b.s"))
     kind = (
-        F.when(F.col("hub3").isNull(), 0)
+        F.when(F.col("home").isNull(), 0)
         .when((F.col("home") != F.col("shard")) | (F.col("members") > max(1, target[0])), 1)
         .otherwise(2)
     )
-    ranked = nodes.join(linked, F.col("hub") == F.col("hub3"), "left").withColumn("kind", kind)
+    ranked = beside(nodes, linked, "shard", total, "home", "members").withColumn("kind", kind)
     members = F.coalesce("members", F.lit(1))
     piece = F.pmod(F.xxhash64("id", "salt"), F.when(F.col("kind") == 2, F.ceil(members / PIECE)).otherwise(members))
     bucket = F.floor(F.log2(members)) * BUCKETS + F.pmod(F.xxhash64("hub", F.when(F.col("kind") == 0, F.xxhash64("id", "salt")).otherwise(piece)), F.lit(BUCKETS))
-    numbered = number_within(ranked, ["shard", "kind"], ["hub", "id", "salt"], "at", bucket=bucket).drop("hub3", "home", "members")
+    numbered = number_within(ranked, ["shard", "kind"], ["hub", "id", "salt"], "at", bucket=bucket).drop("home", "members")
     free = {(r["shard"], r["kind"]): r["n"] for r in ranked.groupBy("shard", "kind").agg(F.count("*").alias("n")).collect()}
     mover, before = F.lit(None).cast("long"), 0
     for i in range(shards):
@@ -154,9 +166,8 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> Data
     near = stash(propagate(nodes, shards, rounds))
     spread = stash(even_out(near, shards))
     held = spread.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("here"))
-    held = held.withColumn("group_rows", F.sum("here").over(Window.partitionBy("hub"))).where("group_rows > 1")  # a row a shard at most
-    held = held.select(F.col("hub").alias("hub4"), F.col("shard").alias("shard4"), "group_rows", (F.col("group_rows") - F.col("here")).alias("cut_links"))
-    counted = spread.join(held, (F.col("hub") == F.col("hub4")) & (F.col("shard") == F.col("shard4")), "left")
+    held = held.withColumn("members", F.sum("here").over(Window.partitionBy("hub"))).where("members > 1")  # a row a shard at most
+    counted = beside(spread, held, "shard", spread.count(), "members", "here")
     return number_within(counted, ["shard"], ["id", "text_crc32", "salt"], "slot", BUCKETS).select(
         F.col("id").alias("doc_id"),
         "size",
@@ -165,6 +176,6 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int | None = None) -> Data
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
-        F.coalesce("group_rows", F.lit(1)).alias("group_rows"),
-        F.coalesce("cut_links", F.lit(0)).alias("cut_links"),
+        F.coalesce("members", F.lit(1)).alias("group_rows"),
+        F.coalesce(F.col("members") - F.col("here"), F.lit(0)).alias("cut_links"),
     )

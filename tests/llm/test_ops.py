@@ -407,8 +407,8 @@ def test_sharding_against_every_placement(spark):
 
 
 def test_sharding_moves_until_nothing_moves(spark):
-    rows = [(i, f"t{i % 300}") for i in range(1200)]
-    nodes = spark.createDataFrame(rows, "id long, hub string")
+    rows = [(i, f"t{i % 300}", i) for i in range(1200)]
+    nodes = spark.createDataFrame(rows, "id long, hub string, salt long")
     settled = sharding.propagate(nodes, 8)
     assert settled.where("hub is null").count() == 0 and settled.count() == 1200
     apart = lambda df: df.groupBy("hub").agg(F.count_distinct("shard").alias("n")).agg(F.sum("n")).first()[0]
