@@ -78,7 +78,8 @@ class Level:
         rank = np.empty(len(states), np.int64)
         rank[by_hash] = np.arange(len(states))
         code = bucket * len(states) + rank[of]
-        self.order = np.argsort(code, kind="stable")  # grams as they are sent
+        # grams as they are sent: by their hashes, so that the order of the block's rows, which another reading may change, says nothing
+        self.order = np.lexsort((arcs, code))
         every = np.unique(np.append(code, probes[0] * len(states) + rank[probes[1]]))
         self.sizes = np.bincount(np.searchsorted(every, code), minlength=len(every))  # arcs in each group
         self.bucket, self.state = every // max(len(states), 1) + first, by_hash[every % max(len(states), 1)]

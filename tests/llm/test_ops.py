@@ -527,6 +527,29 @@ def test_lm_reads_long_texts_in_stretches():
         assert np.allclose(a.read(t.word, t.starts, t.sizes), whole)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_answers_fit_rows_in_any_order(order):
+    """A block's rows come in another order when they are read again."""
+    import pyarrow as pa
+
+    rng = random.Random(43)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    table = lambda r: pa.table({"doc_id": [i for i, _ in r], "text": [t for _, t in r]})
+    hot = {w: 2 for w in lm.Texts(table(rows), 10, 1, 3, {}).levels[0].arcs.view(np.int64)[:5].tolist()}
+
+    def scores(read):
+        sent, t = lm.Texts(table(rows), 10, order, 3, hot), lm.Texts(table(read), 10, order, 3, hot)
+        replies = {b: lm.count_bucket(pa.table({"_block": [0], "bucket": [b], "data": [d]}))["data"][0].as_py() for level in sent.levels for b, d in level.rows()}
+        for level in t.levels:
+            level.read(replies)
+        a = lm.Automaton(t, 1000, 100, 0.1, 0.75)
+        doc = np.repeat(np.arange(len(t.sizes)), t.sizes)
+        sums = [np.bincount(doc, x[t.word], len(t.sizes)) for x in (a.known, a.base)] + [a.read(t.word, t.starts, t.sizes)]
+        return {i: [round(float(s[n]), 9) for s in sums] for n, i in enumerate(t.ids)}
+
+    assert scores(rng.sample(rows, len(rows))) == scores(rows)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm(docs, texts, none, order):
     held = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
