@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import heapq
 import math
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -54,44 +57,124 @@ def x_means(df: DataFrame, key: str, vector: str, most: int = 10, seed: int = 1)
 
 
 def agglomerate(x: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of a group's points; single, complete, average, weighted or ward linkage."""
-    n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    if linkage == "ward":
-        d = d**2 / 2
-    np.fill_diagonal(d, np.inf)
-    size, label, out = np.ones(n), list(range(n)), []
-    for step in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
-        h = d[i, j]
+    """Merges (a, b, height) of a group's points, lowest first; single, complete, average, weighted or ward linkage.
+
+    The n-th merge makes the cluster len(x) + n.  Points on a line take n log n steps, others the square of n: ward by centroids, in
+    memory of the points alone, the other linkages by a table of all distances, in a file where it is large.
+    """
+    if linkage not in ("single", "complete", "average", "weighted", "ward"):
+        raise ValueError(linkage)
+    found = merges_on_line(x[:, 0], linkage) if x.shape[1] == 1 else merges_by_chains(x, linkage)
+    of, label, out = list(range(len(x))), list(range(len(x))), []
+
+    def first(i: int) -> int:
+        while of[i] != i:
+            of[i] = i = of[of[i]]
+        return i
+
+    for step, (i, j, h) in enumerate(found):
+        i, j = sorted((first(i), first(j)))
         out.append((label[i], label[j], float(math.sqrt(2 * h) if linkage == "ward" else h)))
-        a, b = d[i].copy(), d[j].copy()
+        of[j], label[i] = i, len(x) + step
+    return out
+
+
+def merges_on_line(x: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """(i, j, height), lowest first, of points on a line; i and j are the first points of the clusters that merge.
+
+    By each of the linkages the two nearest clusters lie side by side, so only those are kept in order.
+    """
+    order = np.argsort(x, kind="stable").tolist()
+    n, first, alive = len(x), list(order), [True] * len(x)
+    low = [float(x[i]) for i in order]
+    high, centre, size = list(low), list(low), [1] * n
+    left, right, turn = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+
+    def height(p: int, q: int) -> float:
         if linkage == "single":
-            new = np.minimum(a, b)
-        elif linkage == "complete":
-            new = np.maximum(a, b)
-        elif linkage == "average":
-            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-        elif linkage == "weighted":
-            new = (a + b) / 2
-        else:
-            with np.errstate(invalid="ignore"):
-                new = ((size[i] + size) * a + (size[j] + size) * b - size * h) / (size[i] + size[j] + size)
-        new[~np.isfinite(b) | ~np.isfinite(a)] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[i] = n + step
+            return low[q] - high[p]
+        if linkage == "complete":
+            return high[q] - low[p]
+        if linkage == "ward":
+            return size[p] * size[q] / (size[p] + size[q]) * (centre[q] - centre[p]) ** 2
+        return centre[q] - centre[p]
+
+    entry = lambda p, q: (height(p, q), *sorted((first[p], first[q])), p, q, turn[p], turn[q])
+    heap = [entry(p, p + 1) for p in range(n - 1)]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        h, i, j, p, q, *at = heapq.heappop(heap)
+        if not (alive[p] and alive[q]) or at != [turn[p], turn[q]]:
+            continue
+        out.append((i, j, h))
+        share = 0.5 if linkage == "weighted" else size[q] / (size[p] + size[q])
+        centre[p] += (centre[q] - centre[p]) * share
+        high[p], size[p], first[p], alive[q] = high[q], size[p] + size[q], i, False
+        turn[p] += 1
+        right[p] = right[q]
+        if right[p] < n:
+            left[right[p]] = p
+            heapq.heappush(heap, entry(p, right[p]))
+        if left[p] >= 0:
+            heapq.heappush(heap, entry(left[p], p))
     return out
 
 
-def agglomerative(df: DataFrame, group: str, key: str, vector: str, linkage: str = "average", most: int = 2000) -> DataFrame:
-    """(group, a, b, height, step): merges within each group; groups over `most` rows are refused with an error."""
+def merges_by_chains(x: np.ndarray, linkage: str, in_memory: int = 4096) -> list[tuple[int, int, float]]:
+    """(i, j, height), lowest first, by chains of nearest neighbours; i and j are the first points of the clusters that merge."""
+    n = len(x)
+    size, alive, reached, out, chain = np.ones(n), np.ones(n, bool), np.zeros(n), [], []
+    with tempfile.TemporaryFile() if n > in_memory and linkage != "ward" else contextlib.nullcontext() as file:
+        centre, d = x.astype(float), None
+        if linkage != "ward":
+            d = np.memmap(file, float, "w+", shape=(n, n)) if file else np.empty((n, n))
+            for i in range(n):
+                d[i] = np.sqrt(((x - x[i]) ** 2).sum(1))
+
+        def distances(i: int) -> np.ndarray:
+            out = size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1) if d is None else np.array(d[i])
+            out[~alive] = out[i] = np.inf
+            return out
+
+        while len(out) < n - 1:
+            if not chain:
+                chain.append(int(np.argmax(alive)))
+            near = distances(chain[-1])
+            best = int(np.argmin(near))
+            if len(chain) > 1 and near[chain[-2]] <= near[best]:
+                best = chain[-2]
+            if len(chain) < 2 or best != chain[-2]:
+                chain.append(best)
+                continue
+            i, j = sorted((chain.pop(), chain.pop()))
+            # rounding must not put a merge before those that made its clusters
+            h = max(float(near[best]), reached[i], reached[j])
+            out.append((i, j, h))
+            if d is None:
+                centre[i] += (centre[j] - centre[i]) * (size[j] / (size[i] + size[j]))
+            else:
+                a, b = np.array(d[i]), np.array(d[j])
+                if linkage == "single":
+                    a = np.minimum(a, b)
+                elif linkage == "complete":
+                    a = np.maximum(a, b)
+                else:
+                    share = 0.5 if linkage == "weighted" else size[j] / (size[i] + size[j])
+                    a += (b - a) * share
+                d[i], d[:, i] = a, a
+            size[i] += size[j]
+            reached[i], alive[j] = h, False
+    return sorted(out, key=lambda m: m[2])
+
+
+def agglomerative(df: DataFrame, group: str, key: str, vector: str, linkage: str = "average") -> DataFrame:
+    """(group, a, b, height, step): merges within each group, of any size; a group is one task's.
+
+    Vectors that are null or hold null or non-finite entries take no part.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has more than {most} rows")
         pdf = pdf.sort_values("key")
         ids = pdf["key"].tolist()
         merges = agglomerate(np.array(pdf["v"].tolist(), float), linkage) if len(pdf) > 1 else []
@@ -100,7 +183,8 @@ def agglomerative(df: DataFrame, group: str, key: str, vector: str, linkage: str
         return pd.DataFrame(rows, columns=["grp", "a", "b", "height", "step"])
 
     kind = dict(df.dtypes)[group]
-    rows = df.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    rows = df.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.forall("v", fine))
     return rows.groupBy("grp").applyInPandas(run, f"grp {kind}, a long, b long, height double, step int")
 
 
