@@ -3,7 +3,8 @@
 Categories are those token lists that no category before them resembles.  Only distinct token lists need comparing, by their
 first arrival.  No group of rows holds a partition: the earliest undecided lists, bounded in number, are gone
 through in order, which decides each of them, as everything earlier is decided; the new categories then take what
-resembles them out of all later lists at once, by a set-similarity join over rare tokens, and so on until no list is left.
+resembles them out of all later lists at once, by a set-similarity join over rare pairs of tokens side by side (over rare
+tokens where a dictionary weighs them), and so on until no list is left.
 Each list at last joins the most similar category that came before it, of equally similar ones the oldest.
 """
 
@@ -22,10 +23,11 @@ from driftwell.sources.tables import dropped, written
 UPPER, LOWER = 0.85, 0.7
 #: Lists more similar than LOWER have this share of either's weight in common, as total weights differ by LOWER at most.
 SHARED = 2 - 1 / LOWER
-LISTS = 16_384  # lists that are gone through in order at a time, about
+LISTS = 32_768  # lists that are gone through in order at a time, about
 RANGES = 8192  # ranges of the order of arrival at most
 EXAMPLE = 1000  # characters that are kept of an example
-FREQUENT = 10_000  # tokens whose frequency is known to every task
+FREQUENT = 10_000  # tokens, or pairs of them, whose frequency is known to every task
+BETWEEN = "\x1f"  # what parts the tokens of a pair
 # English names of days and months and zone names that count as date words.
 DATE_WORDS = [w for n in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December") for w in (n, n[:3])] + ["GMT", "UTC"]
 TOKEN = r"[a-zA-Z0-9/]+(?:[_.\-]+[a-zA-Z0-9/]+)*"
@@ -119,6 +121,24 @@ def rare_tokens(tokens: list[str], weights: list[int], frequency: dict[str, int]
     return out or [""]
 
 
+def rare_pairs(tokens: list[str], frequency: dict[str, int]) -> list[str]:
+    """Where every token weighs 1: enough of the rarest pairs of tokens side by side that similar lists share one of them.
+
+    Both ends count as tokens, and repeated pairs are numbered.  A step of the edit distance takes at most two pairs from the longer
+    of two lists, so of m + 1 pairs all but twice the steps that LOWER allows are in both.  An empty list has the empty token alone.
+    """
+    if not tokens:
+        return [""]
+    ends, held, named = ["", *tokens, ""], {}, []
+    for a, b in zip(ends, ends[1:]):
+        pair = a + BETWEEN + b
+        held[pair] = nth = held.get(pair, 0) + 1
+        named.append((frequency.get(pair, 0), pair, nth))
+    n = len(tokens)
+    shared = min(m + 1 - 2 * int((1 - LOWER) * m + 1e-9) for m in range(n, int(n / LOWER + 1e-9) + 1))
+    return [f"{pair}{BETWEEN}{nth}" for _, pair, nth in sorted(named)[: n + 2 - shared]]
+
+
 class Category:
     def __init__(self, tokens: list[str], weights: list[int]):
         self.base, self.weights, self.count = tokens, weights, 0
@@ -201,15 +221,24 @@ class Categorizer:
 
 
 def token_lists(rows: DataFrame, words: frozenset[str], verbs: frozenset[str]) -> DataFrame:
-    """(partition, tokens, n, weights, rare, pos, range): the distinct lists; pos rises with first arrival, in ranges of it."""
+    """(partition, tokens, n, weights, rare, pos, range): the distinct lists; pos rises with first arrival, in ranges of it.
+
+    rare is in one order of all tokens, or pairs of them, rarest first; of similar lists both have one of them.
+    """
     lists = written(rows.groupBy("partition", "tokens").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")))
-    often = lists.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
+    # without a dictionary all tokens weigh 1, and pairs of tokens, which are much rarer, tell lists apart
+    token = lambda i: F.coalesce(F.get("tokens", i), F.lit(""))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda i: F.concat(token(i - 1), F.lit(BETWEEN), token(i)))
+    told = F.array_distinct("tokens" if words else pairs)
+    often = lists.select(F.explode(told).alias("t")).groupBy("t").count().where("count > 1").orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
     known = rows.sparkSession.sparkContext.broadcast({r["t"]: r["count"] for r in often})
 
     def run(batches):
         for pdf in batches:
-            weights = [weights_of(list(t), words, verbs) for t in pdf["tokens"]]
-            yield pdf.assign(weights=weights, rare=[rare_tokens(list(t), w, known.value) for t, w in zip(pdf["tokens"], weights)])
+            tokens = [list(t) for t in pdf["tokens"]]
+            weights = [weights_of(t, words, verbs) for t in tokens]
+            rare = [rare_tokens(t, w, known.value) if words else rare_pairs(t, known.value) for t, w in zip(tokens, weights)]
+            yield pdf.assign(weights=weights, rare=rare)
 
     kind = lists.schema["first"].dataType.simpleString()
     wide = lists.mapInPandas(run, f"partition string, tokens array<string>, first {kind}, n long, weights array<int>, rare array<string>")
@@ -240,19 +269,24 @@ def alike(lists: DataFrame, categories: DataFrame) -> DataFrame:
 
 def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     """One partition's lists, each with the position of its category, which is its own for a new one."""
-    state, found = Categorizer(by_count=False), []
     pdf = pdf.sort_values("pos")
-    at = []
-    for pos, tokens, weights in zip(pdf["pos"], pdf["tokens"], pdf["weights"]):
-        tokens, weights = list(tokens), list(weights)
-        best = state.match(tokens, weights)
-        if best is None:
-            best = len(at)
-            at.append(pos)
-            state.categories.append(Category(tokens, weights))
-            for t in set(tokens):
-                state.under.setdefault(t, []).append(best)
-        found.append(at[best])
+    categories: list[tuple[int, list[str], list[int], int]] = []
+    under: dict[str, list[int]] = {}
+    found = []
+    for pos, tokens, weights, rare in zip(pdf["pos"], pdf["tokens"], pdf["weights"], pdf["rare"]):
+        tokens, weights, total, best, top = list(tokens), list(weights), int(sum(weights)), pos, LOWER
+        for i in sorted({i for t in rare for i in under.get(t, ())}):
+            at, base, theirs, other = categories[i]
+            if min(total, other) < LOWER * max(total, other):
+                continue
+            s = similarity(tokens, base, weights, theirs)
+            if s > top:
+                best, top = at, s
+        if best == pos:
+            for t in rare:
+                under.setdefault(t, []).append(len(categories))
+            categories.append((pos, tokens, weights, total))
+        found.append(best)
     return pdf.assign(category_pos=found)
 
 

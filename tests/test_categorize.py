@@ -93,3 +93,26 @@ def test_examples_and_status(spark):
     counts = spark.createDataFrame([(i, c) for i, c in enumerate([90, 9, 1, 1])], "category int, count long")
     r = C.categorization_status(counts).first()
     assert (r["messages"], r["categories"], r["rare"], r["frequent"], r["status"]) == (101, 4, 2, 2, "ok")
+
+
+def test_few_lists_of_common_words_meet(spark):
+    rng = random.Random(6)
+    rows = [("a", i, " ".join(f"w{rng.randrange(300)}x" for _ in range(12))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "partition string, at long, t string").select("partition", "at", C.tokens_of(F.col("t")).alias("tokens"))
+    lists = C.token_lists(df, frozenset(), frozenset()).select("pos", F.explode("rare").alias("t"))
+    met = lists.groupBy("t").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert met < 20_000
+
+
+def test_similar_lists_share_a_rare_pair():
+    rng = random.Random(7)
+    for n in range(1, 40):
+        for _ in range(60):
+            a = [rng.choice("abc") for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randrange(0, 1 + n // 2)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = [rng.choice("abcd")] * rng.randrange(2)
+            if b and C.similarity(a, b, [1] * len(a), [1] * len(b)) > C.LOWER:
+                f = {"a\x1fb": 5, "b\x1fa": 3, "\x1fa": 9}
+                assert set(C.rare_pairs(a, f)) & set(C.rare_pairs(b, f))
