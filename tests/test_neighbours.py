@@ -105,3 +105,12 @@ def test_lof_of_copies(spark):
     assert all(got[i] == pytest.approx(1.0) for i in range(10)) and got[99] == max(got.values()) > 5
     only = {r["key"]: r["score"] for r in outliers.lof(N.neighbours(frame(spark, rows[:10]), "id", "v", 3)).collect()}
     assert set(only.values()) == {1.0}
+
+
+def test_vectors_do_not_travel_to_meet(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(400)]
+    points, n, _, d = N.of_one_length(N.distinct_points(N.usable(frame(spark, rows), "id", "v"), 3))
+    asks, held, _, tables = N.rings_of(points, n, d, 3, 16)
+    plan = N.pairs_of(asks, held)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    N.dropped(*tables)
