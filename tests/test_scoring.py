@@ -102,3 +102,9 @@ def test_first_buckets(spark):
     first = lambda **k: features.whole_buckets(df, "ts", 300, **k).agg(F.min("id")).first()[0]
     assert (first(), first(restored=True), first(restored=True, latency=100)) == (100, 300, 200)
     assert features.whole_buckets(df.where("false"), "ts", 300).count() == 0
+
+
+def test_series_do_not_travel_to_meet(spark):
+    rows = spark.range(600).selectExpr("CAST(id % 60 AS INT) AS s", "CAST(id / 60 AS INT) AS b", "CAST(hash(id) % 100 AS DOUBLE) AS v")
+    plan = outliers.most_correlated(rows, "s", "b", "v", 5, block=9)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
