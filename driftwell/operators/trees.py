@@ -162,13 +162,24 @@ def binned(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:
 
 def packed(b: np.ndarray, y, now: np.ndarray, old: np.ndarray) -> pa.RecordBatch:
     """Rows of bins, target, margins so far and the margins of the model that is trained again."""
-    rows = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
+
+    def rows(a: np.ndarray) -> pa.Array:
+        wide = a.itemsize * a.shape[1]
+        ends = np.arange(0, (len(a) + 1) * wide, wide, dtype=np.int32) if wide else np.zeros(len(a) + 1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(a))])
+
     return pa.RecordBatch.from_arrays([rows(b), y, rows(now), rows(old)], ["b", "y", "m", "old"])
 
 
 def unpacked(batch: pa.RecordBatch, pending: list[dict], wide: int, outputs: int):
     """The arrays of packed(), the margins with the trees that are not yet in them."""
-    whole = lambda c, kind, k: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, k)
+
+    def whole(c: str, kind, k: int) -> np.ndarray:
+        column = batch.column(c)
+        _, ends, data = column.buffers()
+        start = int(np.frombuffer(ends, np.int32, 1, 4 * column.offset)[0])
+        return np.frombuffer(data, np.uint8)[start : start + len(column) * k * np.dtype(kind).itemsize].view(kind).reshape(len(column), k)
+
     b, m = whole("b", np.uint8, wide), whole("m", float, outputs).copy()
     for t in pending:
         m[:, t["class"]] += np.array(t["value"])[walk(t, b)]
@@ -444,7 +455,7 @@ def predict(model: Model, df: DataFrame, name: str = "margins") -> DataFrame:
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in model.features])
 
     def run(column: pd.Series) -> pd.Series:
-        m = shared.value.margins(np.array(column.tolist(), float).reshape(-1, wide))
+        m = shared.value.margins(np.concatenate(column.to_numpy()).astype(float).reshape(-1, wide) if len(column) else np.empty((0, wide)))
         return pd.Series(list(np.expm1(m) if loss == "msle" else m))
 
     return df.withColumn(name, F.pandas_udf(run, "array<double>")(x))
