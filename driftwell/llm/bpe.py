@@ -5,8 +5,9 @@ smaller of their children.  The root yields the leftmost pair of the lowest rank
 three leaves, each in logarithmic time, until no pair has a rank.  Trees of many words go in step.
 
 The vocabulary file is read as data: its normaliser (NFC, white space, lower case), its split pattern,
-its byte alphabet and its merges.  Chunks between white space repeat, so every Python worker keeps those it has met,
-the last CACHED to 2 * CACHED of them.
+its byte alphabet and its merges.  Words of ASCII and Latin-1 are found in the texts' bytes, many texts at once; a chunk between
+white space that holds anything else is taken whole and split character by character.  Words and such chunks repeat, so every
+Python worker keeps those it has met, the last CACHED to 2 * CACHED of them.
 
 Rows: null text is empty; an empty text has no ids.  Repeated rows are encoded alike; extra columns
 are ignored; an empty table gives an empty result.
@@ -17,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,16 @@ from pyspark.sql import functions as F
 CACHED = 300_000
 CELLS = 1 << 20
 NONE = 1 << 60
+#: The split pattern by which KINDS tells words apart: runs of letters, single digits, runs of marks.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+LATIN = 0xC3  # the first byte of the letters from À to ÿ, and of × and ÷
+KINDS, LOWER = np.full(256, OTHER, np.uint8), np.arange(256, dtype=np.uint8)
+for _kind, _chars in ((SPACE, " \t\n\v\f\r"), (LETTER, string.ascii_letters), (DIGIT, string.digits), (MARK, string.punctuation)):
+    KINDS[list(_chars.encode())] = _kind
+KINDS[ord("'")] = OTHER
+KINDS[LATIN] = LETTER
+LOWER[65:91] += 32
 
 
 def byte_alphabet() -> list[str]:
@@ -115,20 +128,23 @@ class Vocabulary:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.space = regex.compile(r"\s+")
         self.odd_space = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
+        self.kinds = KINDS.copy()
+        self.kinds[[t.encode("utf-8")[0] for t in self.added]] = OTHER
+        if self.split.pattern != PATTERN:
+            self.kinds[KINDS != SPACE] = OTHER
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[str], known: dict[str, bytes]) -> None:
+    def learn(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
         """Encode the words and put their packed ids into known."""
-        by_size: dict[int, list[str]] = {}
+        by_size: dict[int, list[bytes]] = {}
         for w in words:
-            by_size.setdefault(max(1, len(w.encode("utf-8")) - 1).bit_length(), []).append(w)
+            by_size.setdefault(max(1, len(w) - 1).bit_length(), []).append(w)
         for size, group in by_size.items():
             step = max(1, CELLS >> size)
             for at in range(0, len(group), step):
-                part = group[at : at + step]
-                raw = [w.encode("utf-8") for w in part]
+                raw = group[at : at + step]
                 n = np.fromiter(map(len, raw), np.int64, len(raw))
                 ends = np.cumsum(n)
                 flat = self.inner[flat_bytes := np.frombuffer(b"".join(raw), np.uint8)]
@@ -138,7 +154,7 @@ class Vocabulary:
                 out = merge_words(symbols, self.pairs, self.merged)
                 kept = out >= 0
                 packed, cuts = out[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
-                known.update(zip(part, (packed[a:b] for a, b in zip([0, *cuts], cuts))))
+                known.update(zip(raw, (packed[a:b] for a, b in zip([0, *cuts], cuts))))
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no word or added token spans."""
@@ -158,22 +174,68 @@ class Vocabulary:
         # each character's lower case by itself: no final sigma
         return self.split.findall(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text."""
-        rows = [self.chunks(t or "") for t in texts]
+    def units(self, data: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The units of UTF-8 bytes that end with white space, which of them are chunks, and which bytes they hold.
+
+        A unit is a word in lower case, or a chunk between white space as it stands, where that holds an OTHER byte.
+        """
+        kind, low = self.kinds[data], LOWER[data]
+        second = np.flatnonzero(data == LATIN) + 1
+        byte = data[second]
+        kind[second] = np.where((byte == 0x97) | (byte == 0xB7), OTHER, self.kinds[LATIN])  # × and ÷ are no letters
+        low[second] = np.where(byte < 0x9F, byte + 32, byte)
+        if len(other := np.flatnonzero(kind == OTHER)):
+            space = np.append(np.flatnonzero(kind == SPACE), -1)
+            chunk = np.unique(np.searchsorted(space[:-1], other))
+            edge = np.zeros(len(data), np.int8)
+            edge[space[chunk - 1] + 1] = 1
+            edge[space[chunk]] = -1
+            whole = np.cumsum(edge, dtype=np.int8).view(bool)
+            kind[whole], low[whole] = OTHER, data[whole]
+        held = kind != SPACE
+        kind, before = kind[held], np.append(np.uint8(SPACE), kind[:-1])[held]
+        first = np.flatnonzero((kind != before) | (kind == DIGIT))
+        ends = pa.py_buffer(np.append(first, len(kind)).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(low[held])]), kind[first] == OTHER, held
+
+    def packed(self, units: list[bytes], chunk: list[bool]) -> list[bytes]:
+        """The packed ids of distinct units."""
         young, old = self.young, self.old
-        fresh = set().union(*rows).difference(young)
-        for c in fresh & old.keys():
-            young[c] = old[c]
-        cut = {c: (c.lower(),) if c.isascii() and c.isalpha() else self.split_chunk(c) for c in fresh.difference(young)}
-        words = {" " + t: np.array([i], "<u4").tobytes() for t, i in self.added.items()}
-        self.learn(list(set().union(*cut.values()).difference(words)), words)
-        young.update((c, words[w[0]] if len(w) == 1 else b"".join(map(words.__getitem__, w))) for c, w in cut.items())
-        out = [b"".join(map(young.__getitem__, row)) for row in rows]
+        out = list(map(young.get, units))
+        fresh = [i for i, ids in enumerate(out) if ids is None]
+        known = {u: old[u] for u in (units[i] for i in fresh) if u in old}
+        cut = {u: [w for c in self.chunks(u.decode("utf-8")) for w in self.split_chunk(c)] for u in (units[i] for i in fresh if chunk[i]) if u not in known}
+        self.learn([u for u in (units[i] for i in fresh if not chunk[i]) if u not in known], known)
+        if cut:
+            words = {" " + t: np.array([i], "<u4").tobytes() for t, i in self.added.items()}
+            new, learnt = {w: w.encode("utf-8") for w in set().union(*cut.values()).difference(words)}, {}
+            self.learn(list(new.values()), learnt)
+            words.update((w, learnt[raw]) for w, raw in new.items())
+            known.update((u, b"".join(map(words.__getitem__, w))) for u, w in cut.items())
+        for i in fresh:
+            out[i] = known[units[i]]
+        young.update(known)
         if len(young) > CACHED:
             self.old, self.young = young, {}
         return out
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text."""
+        raw = [(t or "").encode("utf-8") for t in texts]
+        values, whole, held = self.units(np.frombuffer(b"\n".join([*raw, b""]), np.uint8))
+        if not len(values):
+            return [b""] * len(raw)
+        coded = values.dictionary_encode()
+        chunk = np.zeros(len(coded.dictionary), bool)
+        chunk[coded.indices.to_numpy()[whole]] = True
+        known = self.packed(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), chunk.tolist())
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        _, ends, packed = ids.buffers()
+        text_ends = np.cumsum(np.add.reduceat(held, np.cumsum([0, *(len(r) + 1 for r in raw[:-1])]), dtype=np.int64))
+        firsts = np.frombuffer(values.buffers()[1], np.int32)
+        cuts = np.frombuffer(ends, np.int64, len(ids) + 1)[np.searchsorted(firsts, text_ends)].tolist()
+        return [packed[a:b].to_pybytes() for a, b in pairwise([0, *cuts])]
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
@@ -182,7 +244,7 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def portions(texts: list[str | None], chars: int = 1 << 20):
+def portions(texts: list[str | None], chars: int = 1 << 21):
     """Consecutive slices of the list with about so many characters, or one long text."""
     at = held = 0
     for i, t in enumerate(texts):

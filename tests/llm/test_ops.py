@@ -461,6 +461,37 @@ def test_bpe_forgets_and_learns_again(monkeypatch, reference_tokenizer):
     assert [np.frombuffer(p, "<u4").tolist() for r in rows for p in v.encode_all([r])] == [reference_tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
 
 
+def test_bpe_learns_a_word_once_whatever_stands_beside_it(monkeypatch, reference_tokenizer):
+    learnt, split = [], []
+    learn, split_chunk = bpe.Vocabulary.learn, bpe.Vocabulary.split_chunk
+    monkeypatch.setattr(bpe.Vocabulary, "learn", lambda self, words, known: learnt.extend(words) or learn(self, words, known))
+    monkeypatch.setattr(bpe.Vocabulary, "split_chunk", lambda self, chunk: split.append(chunk) or split_chunk(self, chunk))
+    v = bpe.Vocabulary(registry.vocabulary_path())
+    rows = ["Canción, canción. (CANCIÓN)", "canción! früh;früh 7früh7", None, "", "early Früh&&& early,", "l'été canción"]
+    assert [np.frombuffer(p, "<u4").tolist() for r in rows for p in v.encode_all([r])] == [reference_tokenizer.encode(r or "", add_special_tokens=False).ids for r in rows]
+    assert Counter(map(str, learnt)).most_common(1)[0][1] == 1 and split == ["l'été"]
+
+
+LATIN = ["a", "Z", "À", "ß", "ÿ", "Ÿ", "×", "÷", "Ö", "Þ", "ª", "µ", "º", "¿", "é", "e\u0301", "\u0301", "Ã", "Ł", "1", "42", "½", "_", "&&", "'", "'S", "'re", "<", "|", "<|ENDOFTEXT|>", "<|endoftext|>", "\xa0", "\x1d", "\x7f", " ", "\r\n", "\v", "\f", "—", "中"]
+
+
+def test_bpe_many_texts_at_once(reference_tokenizer):
+    rng, v = random.Random(12), bpe.Vocabulary(registry.vocabulary_path())
+    for k in range(40):
+        rows = ["".join(rng.choice(LATIN[: rng.choice([5, 16, len(LATIN)])]) for _ in range(rng.randrange(0, 25))) or rng.choice([None, ""]) for _ in range(k)]
+        assert [np.frombuffer(p, "<u4").tolist() for p in v.encode_all(rows)] == [reference_tokenizer.encode(r or "", add_special_tokens=False).ids for r in rows]
+
+
+@pytest.mark.parametrize("odd", ["a", "Ã"])
+def test_bpe_other_split_patterns_and_added_tokens(odd, reference_tokenizer):
+    rows, v = ["ab 12-Ãb, cÃ a", "Ã"], bpe.Vocabulary(registry.vocabulary_path())
+    v.kinds[odd.encode()[0]] = bpe.OTHER  # as where an added token begins so
+    want = [reference_tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
+    assert [np.frombuffer(p, "<u4").tolist() for p in v.encode_all(rows)] == want
+    v.kinds[bpe.KINDS != bpe.SPACE] = bpe.OTHER  # as where the split pattern is another
+    assert [np.frombuffer(p, "<u4").tolist() for p in v.encode_all(rows)] == want
+
+
 # --- 7 ---
 
 
