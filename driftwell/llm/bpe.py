@@ -184,15 +184,12 @@ class Vocabulary:
         byte = data[second]
         kind[second] = np.where((byte == 0x97) | (byte == 0xB7), OTHER, self.kinds[LATIN])  # × and ÷ are no letters
         low[second] = np.where(byte < 0x9F, byte + 32, byte)
-        if len(other := np.flatnonzero(kind == OTHER)):
-            space = np.append(np.flatnonzero(kind == SPACE), -1)
-            chunk = np.unique(np.searchsorted(space[:-1], other))
-            edge = np.zeros(len(data), np.int8)
-            edge[space[chunk - 1] + 1] = 1
-            edge[space[chunk]] = -1
-            whole = np.cumsum(edge, dtype=np.int8).view(bool)
-            kind[whole], low[whole] = OTHER, data[whole]
         held = kind != SPACE
+        if (kind == OTHER).any():
+            space = np.flatnonzero(~held)
+            begin = np.append(0, space[:-1] + 1)
+            whole = held & np.repeat(np.maximum.reduceat(kind, begin) == OTHER, space + 1 - begin)  # OTHER is the largest kind
+            kind[whole], low[whole] = OTHER, data[whole]
         kind, before = kind[held], np.append(np.uint8(SPACE), kind[:-1])[held]
         first = np.flatnonzero((kind != before) | (kind == DIGIT))
         ends = pa.py_buffer(np.append(first, len(kind)).astype(np.int32))
