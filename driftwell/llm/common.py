@@ -54,6 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a min per node and an equi-join, until the star
     forest no longer changes; every round is cut by a written table.  Isolated nodes have no row.
+    Joins are told to merge, as written tables are sized by their compressed files.
     """
     now = stash(
         edges.where("a is not null and b is not null and a <> b")
@@ -65,11 +66,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.where("v > u").join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            large.join(least.hint("merge"), "u")
             .select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
             .select(F.col("e.x").alias("u"), F.col("e.y").alias("v"))
         )

@@ -62,12 +62,14 @@ def posting_lists(fps: DataFrame, width: int) -> DataFrame:
     """(key, fp, n): the inverted index of the values of fp by every choice of `width` byte positions, lists of n > 1 only.
 
     A key is a hash of the positions and their bytes; two lists that a collision joins only add candidates.
+    Here and below joins are told to merge: Spark sizes a table as before its explode, and by its compressed files, so it would
+    send tables of gigabytes through the driver.
     """
     masks = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
     rows = fps.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "fp", "n")
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "key").select("key", "fp", "n")
 
 
 def pairs_of_short(lists: DataFrame, distance: int) -> DataFrame:
@@ -125,17 +127,17 @@ def near_roots(fps: DataFrame, distance: int = 2) -> DataFrame:
     """(fp2, root, component_id): the component of each value of fp, and the smallest doc_id of its rows."""
     parts = connected_components(near_links(fps, distance))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(parts, classes.fp == parts.node, "left").select(
+    rooted = classes.join(parts.hint("merge"), classes.fp == parts.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(tops, "root").select(F.col("fp").alias("fp2"), "root", "component_id")
+    return rooted.join(tops.hint("merge"), "root").select(F.col("fp").alias("fp2"), "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     fps = stash(fingerprints(docs, words))
-    return fps.join(near_roots(fps, distance), F.col("fp") == F.col("fp2")).select(
+    return fps.join(near_roots(fps, distance).hint("merge"), F.col("fp") == F.col("fp2")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

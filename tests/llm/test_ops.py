@@ -212,6 +212,27 @@ def test_simhash_links_in_long_lists(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want)
 
 
+def written_plans(monkeypatch, *modules):
+    """A list that takes the physical plan of every table that the modules write from now on."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(df)
+
+    stash = common.stash
+    for m in modules:
+        monkeypatch.setattr(m, "stash", noted)
+    return plans
+
+
+def test_near_duplicates_broadcast_nothing(spark, docs, monkeypatch):
+    plans = written_plans(monkeypatch, common, simhash)
+    last = simhash.near_duplicates(docs)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_keep_one(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
