@@ -209,7 +209,7 @@ def similar_lists(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("sig", 4 * i + 1, 4).alias("key")) for i in range(BANDS)])
     rows = sigs.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
     lists = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(lists, ["band", "key"])
+    shared = rows.join(lists.hint("merge"), ["band", "key"])
     few = shared.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     pairs = (
         few.select(F.explode("nodes").alias("a"), "nodes")
@@ -222,7 +222,7 @@ def similar_lists(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared.where(F.col("n") > FEW)
         .select("band", "key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
         .select("band", "key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .join(sigs, "node")
+        .join(sigs.hint("merge"), "node")
         .select("band", "key", "lo", "hi", "node", "sig")
     )
     return pairs, cells
@@ -255,7 +255,7 @@ def similar_pairs(sigs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame,
 
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("s1"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("s2"))
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
+    close = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "s1", "s2").mapInArrow(tally, "a long, b long")
     return close.unionByName(cells.groupBy("band", "key", "lo", "hi").applyInArrow(span, "a long, b long")).distinct(), cells
 
 
@@ -265,7 +265,7 @@ def crossing_links(cells: DataFrame, parts: DataFrame, sets: DataFrame, similari
     A pair is compared in the first band that it shares; the sets come to the cell, so no row is made for each pair.
     """
     least, keys = least_tally(similarity), ["band", "key", "lo", "hi"]
-    marked = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = cells.join(parts.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = marked.groupBy(*keys).agg((F.min("root") < F.max("root")).alias("open")).where("open").drop("open")
 
     def cross(table):
@@ -283,7 +283,7 @@ def crossing_links(cells: DataFrame, parts: DataFrame, sets: DataFrame, similari
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    return marked.join(split, keys).join(sets, "node").select(*keys, "node", "root", "sig", "hashes").groupBy(*keys).applyInArrow(cross, "a long, b long")
+    return marked.join(split.hint("merge"), keys).join(sets.hint("merge"), "node").select(*keys, "node", "root", "sig", "hashes").groupBy(*keys).applyInArrow(cross, "a long, b long")
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -319,7 +319,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> Data
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("h1"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("h2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "h2").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "h1", "h2").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
@@ -345,17 +345,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     near, cells = similar_pairs(nodes.select("node", "sig"), similarity)
     of = nodes.groupBy("fp").agg(F.min("node").alias("top"))
     far = near_links(nodes, distance)
-    far = far.join(of.select(F.col("fp").alias("a"), F.col("top").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("top").alias("y")), "b")
-    same = nodes.join(of, "fp").where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    ends = [of.select(F.col("fp").alias(end), F.col("top").alias(top)).hint("merge") for end, top in ("ax", "by")]
+    far = far.join(ends[0], "a").join(ends[1], "b")
+    same = nodes.join(of.hint("merge"), "fp").where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
     extra = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same)
     first = stash(near.unionByName(extra).distinct())
     met = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(cells.select("node")).distinct()
-    texts = keyed(docs).groupBy("digest").agg(F.first("text").alias("text")).join(nodes.select("node", "digest").join(met, "node", "left_semi"), "digest")
+    texts = keyed(docs).groupBy("digest").agg(F.first("text").alias("text")).join(nodes.select("node", "digest").join(met.hint("merge"), "node", "left_semi").hint("merge"), "digest")
     sets = stash(shingle_sets(texts.select("node", "text"), words))
     links = stash(verified(first, sets, similarity))
     more = crossing_links(cells, connected_components(links), sets, similarity)
     parts = connected_components(links.unionByName(more))
-    return marked.select("doc_id", "digest", "node").join(parts, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    return marked.select("doc_id", "digest", "node").join(parts.hint("merge"), "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -369,7 +370,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
     kept = kept.select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"))
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    found = docs.withColumn("_of", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
+    found = docs.withColumn("_of", digest).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
     return found.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
 
 
@@ -388,5 +389,5 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
 
     marked = stash(keyed(docs).mapInArrow(run, "doc_id long, digest binary, fp long"))
     roots = near_roots(marked, distance)
-    kept = one_of_each(docs, marked.join(roots, F.col("fp") == F.col("fp2")).select("doc_id", "digest", "root"))
+    kept = one_of_each(docs, marked.join(roots.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", "digest", "root"))
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

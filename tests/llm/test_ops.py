@@ -233,6 +233,13 @@ def test_near_duplicates_broadcast_nothing(spark, docs, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_similar_one, simhash.keep_one])
+def test_dropping_near_duplicates_broadcasts_nothing(docs, monkeypatch, keep):
+    plans = written_plans(monkeypatch, common, simhash)
+    plans.append(keep(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_keep_one(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
