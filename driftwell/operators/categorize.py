@@ -251,20 +251,26 @@ def token_lists(rows: DataFrame, words: frozenset[str], verbs: frozenset[str]) -
 
 
 def alike(lists: DataFrame, categories: DataFrame) -> DataFrame:
-    """(pos, category_pos, similarity): lists with the categories before them that they resemble."""
-    a = lists.select("partition", "pos", "tokens", "weights", "rare", F.explode("rare").alias("t"))
-    b = categories.select("partition", F.explode("rare").alias("t"), *[F.col(c).alias(f"b_{c}") for c in ("pos", "tokens", "weights", "rare")])
-    add = lambda w: F.aggregate(w, F.lit(0), lambda x, y: x + y)
-    total, other = add("weights"), add("b_weights")
-    # a pair meets under each rare token that both have, and is compared under the first of them
-    pairs = a.join(b, ["partition", "t"]).where((F.col("b_pos") < F.col("pos")) & (F.element_at(F.array_intersect("rare", "b_rare"), 1) == F.col("t")))
-    fit = pairs.where(F.least(total, other) >= LOWER * F.greatest(total, other))
+    """(pos, category_pos, similarity): lists with the categories before them that they resemble.
+
+    Lists meet by narrow rows, one a rare token; what they hold comes to the pairs that met.  Joins are told to merge: Spark sizes a
+    table as before its explode, and by its compressed files, so it would send the lists through the driver.
+    """
+    total = F.aggregate("weights", F.lit(0), lambda x, y: x + y)
+    # one number a token; what another token's number joins is compared like any other pair
+    rows = lambda df, pos, total_of: df.select(F.col("pos").alias(pos), total.alias(total_of), F.explode("rare").alias("t"), "partition").select(
+        pos, total_of, F.xxhash64("partition", "t").alias("t")
+    )
+    held = lambda df, *names: df.select(*[F.col(c).alias(n) for c, n in zip(("pos", "tokens", "weights", "partition"), names)]).hint("merge")
+    met = rows(lists, "pos", "total").join(rows(categories, "category_pos", "other").hint("merge"), "t").where("category_pos < pos")
+    fit = met.where(F.least("total", "other") >= LOWER * F.greatest("total", "other")).select("pos", "category_pos").distinct()
+    pairs = fit.join(held(lists, "pos", "a", "wa", "p"), "pos").join(held(categories, "category_pos", "b", "wb", "q"), "category_pos").where("p = q")
 
     def compare(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
         return pd.Series([similarity(list(x), list(y), list(v), list(w)) for x, y, v, w in zip(a, b, wa, wb)], dtype=float)
 
-    s = F.pandas_udf(compare, "double")("tokens", "b_tokens", "weights", "b_weights")
-    return fit.select("pos", F.col("b_pos").alias("category_pos"), s.alias("similarity")).where(F.col("similarity") > LOWER)
+    s = F.pandas_udf(compare, "double")("a", "b", "wa", "wb")
+    return pairs.select("pos", "category_pos", s.alias("similarity")).where(F.col("similarity") > LOWER)
 
 
 def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -359,9 +365,9 @@ def categorize(
     if not whole:
         near = alike(lists.join(assigned.select("pos"), "pos", "left_anti"), categories)
         of = written(assigned, near.groupBy("pos").agg(F.max_by("category_pos", F.struct("similarity", -F.col("category_pos"))).alias("category_pos")))
-    named = written(lists.select("partition", "tokens", "n", "pos").join(of.select("pos", "category_pos"), "pos").join(numbered_categories(categories), "category_pos").select("partition", "tokens", "n", "category", "global_category"))
+    named = written(lists.select("partition", "tokens", "n", "pos").join(of.select("pos", "category_pos").hint("merge"), "pos").join(numbered_categories(categories).hint("merge"), "category_pos").select("partition", "tokens", "n", "category", "global_category"))
     dropped(lists, decided, *([] if whole else [of]))
-    return join_counted(rows, named, ["partition", "tokens"], "n", ["key"]).select("partition", "key", "category", "global_category")
+    return join_counted(rows, named, ["partition", "tokens"], "n", ["key"], wide=True).select("partition", "key", "category", "global_category")
 
 
 def category_definitions(assigned: DataFrame, messages: DataFrame, key: str, text: str, examples: int = 4) -> DataFrame:

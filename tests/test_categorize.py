@@ -116,3 +116,19 @@ def test_similar_lists_share_a_rare_pair():
             if b and C.similarity(a, b, [1] * len(a), [1] * len(b)) > C.LOWER:
                 f = {"a\x1fb": 5, "b\x1fa": 3, "\x1fa": 9}
                 assert set(C.rare_pairs(a, f)) & set(C.rare_pairs(b, f))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_meet_without_broadcast(spark):
+    rows = spark.createDataFrame(logs(300, 9), "p string, k long, t string").select(F.col("p").alias("partition"), F.col("k").alias("at"), C.tokens_of(F.col("t")).alias("tokens"))
+    lists = C.token_lists(rows, frozenset(), frozenset())
+    near = C.alike(lists, lists)
+    assert "SortMergeJoin" in plan_of(near) and "Broadcast" not in plan_of(near)
+    held = {r["pos"]: r for r in lists.collect()}
+    like = lambda a, b: C.similarity(list(a["tokens"]), list(b["tokens"]), list(a["weights"]), list(b["weights"]))
+    want = {(x, y) for x, a in held.items() for y, b in held.items() if y < x and a["partition"] == b["partition"] and like(a, b) > C.LOWER}
+    got = [(r["pos"], r["category_pos"]) for r in near.collect()]
+    assert set(got) == want and len(got) == len(want) > 0
