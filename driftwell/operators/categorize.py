@@ -372,14 +372,14 @@ def categorize(
 
 def category_definitions(assigned: DataFrame, messages: DataFrame, key: str, text: str, examples: int = 4) -> DataFrame:
     """(partition, category, count, terms, regex, max_length, examples) of each category."""
-    rows = assigned.join(messages.select(F.col(key).alias("key"), F.col(text).alias("_t")), "key").withColumn("tokens", tokens_of(F.col("_t")))
+    rows = assigned.join(messages.select(F.col(key).alias("key"), F.col(text).alias("_t")).hint("merge"), "key").withColumn("tokens", tokens_of(F.col("_t")))
     counts = rows.groupBy("partition", "category").agg(F.count(F.lit(1)).alias("count"), F.max(F.length("_t")).alias("longest"), F.min(F.struct("key", "tokens")).getField("tokens").alias("base"))
     distinct = rows.select("partition", "category", F.substring("_t", 1, EXAMPLE).alias("e")).where("e is not null").distinct()
     place = F.row_number().over(Window.partitionBy("partition", "category").orderBy("e"))
     some = distinct.withColumn("_p", place).where(F.col("_p") <= examples).groupBy("partition", "category").agg(F.array_sort(F.collect_list("e")).alias("examples"))
     held = rows.select("partition", "category", "key", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("partition", "category", "t").agg(F.count(F.lit(1)).alias("n"))
-    common = held.join(counts.select("partition", "category", "count"), ["partition", "category"]).where("n = count").groupBy("partition", "category").agg(F.collect_set("t").alias("common"))
-    out = counts.join(some, ["partition", "category"], "left").join(common, ["partition", "category"], "left")
+    common = held.join(counts.select("partition", "category", "count").hint("merge"), ["partition", "category"]).where("n = count").groupBy("partition", "category").agg(F.collect_set("t").alias("common"))
+    out = counts.join(some.hint("merge"), ["partition", "category"], "left").join(common.hint("merge"), ["partition", "category"], "left")
     kept = F.filter("base", lambda t: F.array_contains(F.coalesce("common", F.array().cast("array<string>")), t))
     quoted = F.transform(kept, lambda t: F.regexp_replace(t, r"([.\-/])", r"\\$1"))
     return out.select(

@@ -132,3 +132,11 @@ def test_lists_meet_without_broadcast(spark):
     want = {(x, y) for x, a in held.items() for y, b in held.items() if y < x and a["partition"] == b["partition"] and like(a, b) > C.LOWER}
     got = [(r["pos"], r["category_pos"]) for r in near.collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_texts_and_tokens_are_not_broadcast(spark):
+    df = spark.createDataFrame(logs(60, 9), "p string, k long, t string")
+    plan = plan_of(C.category_definitions(C.categorize(df, "k", "t", ["k"], partition="p"), df, "k", "t"))
+    # only the keys of common lists, skew.HOT at most, are known to every task
+    sent = [x for x in plan.split("\n") if "BroadcastHashJoin" in x]
+    assert "SortMergeJoin" in plan and all("_hot_tokens" in x for x in sent)
